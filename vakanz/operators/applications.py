@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vakanz import fixed
-from vakanz.operators.common import lag_by_bucket, latest_per_key
+from vakanz.operators.common import lag_by_bucket, latest_per_key, open_array
 
 
 def valid_status(status: Column) -> Column:
@@ -154,7 +154,7 @@ def violations(
     found = F.filter(
         F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]), lambda v: v.isNotNull()
     )
-    return df.select(key, F.explode(found).alias("violation"))
+    return open_array(df, [key], found, "violation")
 
 
 def bounded(c: Column, low: float, high: float) -> Column:
@@ -246,7 +246,7 @@ def profile_facts(profiles: DataFrame, key: str, data: str) -> DataFrame:
         tasks,
     ]
     facts = F.concat(*[F.coalesce(part, empty) for part in parts])
-    rows = p.select(key, F.explode(facts).alias("f"))
+    rows = open_array(p, [key], facts, "f")
     value = F.substring(F.trim("f.value"), 1, 1000)
     return rows.select(key, "f.evidence_id", "f.category", value.alias("value")).filter(
         F.coalesce(F.col("value"), F.lit("")) != ""

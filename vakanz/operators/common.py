@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 from vakanz.session import ensure_checkpoint_dir
 
 
+def open_array(
+    df: DataFrame, columns: Sequence[str | Column], array: Column, value: str, pos: str | None = None
+) -> DataFrame:
+    """One row per non-null element of a computed array, with its 0-based position if named.
+
+    A plain ``explode`` makes the planner add a filter on the array's size, which computes the
+    whole array expression a second time below; the outer form with a filter on its result
+    computes it once.
+    """
+    opened = F.posexplode_outer(array).alias(pos, value) if pos else F.explode_outer(array).alias(value)
+    return df.select(*columns, opened).filter(F.col(value).isNotNull())
+
+
 def _top_per_key(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], n: int) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n)

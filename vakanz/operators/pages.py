@@ -28,7 +28,7 @@ from vakanz.functions.urls import (
     path_of,
     resolve,
 )
-from vakanz.operators.common import dedupe_first
+from vakanz.operators.common import dedupe_first, open_array
 
 JSON_LD = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
 SCHEMA_TYPE = r"(?i)^(?:.*[/#])?jobposting$"
@@ -45,7 +45,7 @@ def match_targets(
     and any further columns.
     """
     hosted = pages.select(page_key, bare_host(F.col(url)).alias("_host"))
-    suffixes = hosted.select(page_key, F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
+    suffixes = open_array(hosted, [page_key], host_suffixes(F.col("_host")), "_suffix")
     named = targets.withColumn("_suffix", bare_host(F.col("target_url")))
     return dedupe_first(
         suffixes.join(named, "_suffix"), [page_key], [F.col("target_pos")]
@@ -340,7 +340,7 @@ def discover_details(
     """
     direct = F.coalesce(job_like(F.col(url), strong_paths), F.lit(False))
     links = F.when(direct, F.array(F.col(url))).otherwise(page_links(F.col(url), F.col(html)))
-    opened = listings.select(bare_host(F.col(url)).alias("_site"), F.explode(links).alias("_link"))
+    opened = open_array(listings, [bare_host(F.col(url)).alias("_site")], links, "_link")
     found = opened.select(
         canonical_url(F.col("_link")).alias("canonical_url"),
         (bare_host(F.col("_link")) == F.col("_site")).alias("_same"),

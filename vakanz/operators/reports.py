@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vakanz import fixed
 from vakanz.functions.text import blank_to_null, collapse
 from vakanz.functions.urls import host_of
-from vakanz.operators.common import dedupe_first, latest_per_key, top_per_key
+from vakanz.operators.common import dedupe_first, latest_per_key, open_array, top_per_key
 
 
 def run_ledger(outcomes: DataFrame, keys: Sequence[str], diagnostics: DataFrame | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def count_with_recent(df: DataFrame, keys: Sequence[Column | str], created: str,
 def parse_targets(sources: DataFrame, source_key: str = "source_id", metadata: str = "metadata_json") -> DataFrame:
     """Configured targets of every source: strings or objects, label and kind filled in."""
     listed = F.from_json(F.get_json_object(metadata, "$.firecrawl.targets"), "array<string>")
-    items = sources.select(source_key, F.posexplode(listed).alias("target_pos", "_item"))
+    items = open_array(sources, [source_key], listed, "_item", "target_pos")
     plain = ~F.trim("_item").startswith("{")
 
     def part(*names: str) -> Column:

@@ -25,6 +25,7 @@ def score_all(
     *,
     columns,
     features,
+    structured: str | None = None,
     key: str = "job_id",
     title: str = "title",
     body: str = "description_text",
@@ -35,7 +36,7 @@ def score_all(
     targets = postings.select(key, *[c.alias(n) for n, c in features.items()])
     known = targets.join(examples, key)
     signal = feedback_signal(targets, known, key=key)
-    scored = evaluate(postings, title, body, columns, profile, rubric, reasons)
+    scored = evaluate(postings, title, body, columns, profile, structured, rubric, reasons)
     keep = [key, "relevance", "fit"] + (["relevance_reasons", "fit_reasons"] if reasons else [])
     result = adjusted_score(scored.select(*keep), signal, key=key)
     if reasons:

@@ -228,6 +228,10 @@ def _mutual(value: Column, wanted: Sequence[str]) -> Column:
     return result
 
 
+def _mutual_with(wanted: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda value: _mutual(value, wanted)
+
+
 def _choice(
     code: str, label: str, known: Column, matched: Column, weight: int, evidence: Column,
     good: str, bad: str,
@@ -248,8 +252,8 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     """The ten built-in dimensions over posting columns.
 
     ``columns`` names: employment_type, contract_type, language, remote_type,
-    required_skills, industries, company_sizes (arrays), commute_minutes, salary,
-    travel_percent (numbers). A missing entry behaves like a column of nulls.
+    required_skills, industries, company_sizes (arrays of normalized text), commute_minutes,
+    salary, travel_percent (numbers). A missing entry behaves like a column of nulls.
     """
 
     def col(name: str, kind: str = "string") -> Column:
@@ -258,7 +262,7 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     dims: list[Dimension] = []
     none = F.array().cast("array<string>")
 
-    required = _normal_set(col("required_skills", "array<string>"))
+    required = F.coalesce(col("required_skills", "array<string>"), none)
     own = _set(profile.skills)
     owned = F.array(*[F.lit(s) for s in own]) if own else none
     overlap = F.array_sort(F.array_intersect(required, owned))
@@ -382,8 +386,8 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
          "Die Unternehmensgröße entspricht deiner Präferenz.",
          "Die Unternehmensgröße weicht von deiner Präferenz ab."),
     ):
-        values, choice = _normal_set(col(name, "array<string>")), _set(wanted)
-        hit = F.exists(values, lambda v, choice=choice: _mutual(v, choice))
+        values, choice = F.coalesce(col(name, "array<string>"), none), _set(wanted)
+        hit = F.exists(values, _mutual_with(choice))
         dims.append(
             _choice(code, label, (F.size(values) > 0) & F.lit(bool(choice)), hit, points, values,
                     good, bad)
@@ -404,14 +408,29 @@ def fit_score(
     df: DataFrame,
     columns: Mapping[str, Column],
     profile: Profile,
+    structured: str | None = None,
     extra: Sequence[Callable[[Mapping[str, Column]], Dimension]] = (),
     value: str = "fit",
     reasons: str | None = "fit_reasons",
 ) -> DataFrame:
     """Add the fit value: earned over possible points of the dimensions with enough data.
 
+    ``structured`` names a JSON column whose details add to ``columns``; it is read once.
     ``extra`` registers further dimensions. With no usable dimension the value is 50.
+    Inputs are computed in a projection of their own, so each is evaluated once per row.
     """
+    if structured is not None:
+        df = df.withColumn("_details", F.from_json(structured, "map<string,string>"))
+        columns = {**structured_columns(F.col("_details")), **columns}
+    inputs = {n: f"_in_{n}" for n in columns}
+    df = df.select(
+        "*",
+        *[
+            (_normal_set(c) if n in LIST_INPUTS else c).alias(inputs[n])
+            for n, c in columns.items()
+        ],
+    )
+    columns = {n: F.col(alias) for n, alias in inputs.items()}
     dims = [*fit_dimensions(columns, profile), *(make(columns) for make in extra)]
     names = [f"_d{i}" for i in range(len(dims))]
     df = df.select(
@@ -448,23 +467,24 @@ def fit_score(
         )
         items.append(F.when(possible == 0, empty))
         df = df.withColumn(reasons, F.filter(F.array(*items), lambda r: r.isNotNull()))
-    return df.drop(*names)
+    return df.drop(*names, *inputs.values(), "_details")
 
 
-def structured_columns(data: Column) -> dict[str, Column]:
-    """Fit inputs read from a posting's JSON details."""
+LIST_INPUTS = ("required_skills", "industries", "company_sizes")
+
+
+def structured_columns(details: Column) -> dict[str, Column]:
+    """Fit inputs read from a posting's details, a map of JSON values."""
+
+    def value(name: str) -> Column:
+        return F.try_element_at(details, F.lit(name))
 
     def text(*names: str) -> Column:
         return F.coalesce(
-            *[
-                F.nullif(F.nullif(F.get_json_object(data, f"$.{n}"), F.lit("")), F.lit("[]"))
-                for n in names
-            ]
+            *[F.nullif(F.nullif(value(n), F.lit("")), F.lit("[]")) for n in names]
         )
 
-    travel = F.coalesce(
-        F.get_json_object(data, "$.travel_percent"), F.get_json_object(data, "$.travel_required")
-    )
+    travel = F.coalesce(value("travel_percent"), value("travel_required"))
     percent = (
         F.when(travel == "true", 100)
         .when(travel == "false", 0)
@@ -476,28 +496,24 @@ def structured_columns(data: Column) -> dict[str, Column]:
         "company_sizes": coerce_list(
             text("company_size", "unternehmensgroesse", "company_sizes")
         ),
-        "commute_minutes": F.get_json_object(data, "$.commute_minutes")
-        .try_cast("double").cast("bigint"),
-        "salary": first_number(
-            *[
-                F.get_json_object(data, f"$.{n}")
-                for n in ("salary_yearly", "salary_max", "salary_min")
-            ]
-        ),
+        "commute_minutes": value("commute_minutes").try_cast("double").cast("bigint"),
+        "salary": first_number(*[value(n) for n in ("salary_yearly", "salary_max", "salary_min")]),
         "travel_percent": percent,
     }
 
 
 def evaluate(
     df: DataFrame, title: str, body: str, columns: Mapping[str, Column], profile: Profile,
-    rubric: Rubric = DEFAULT_RUBRIC, reasons: bool = True,
+    structured: str | None = None, rubric: Rubric = DEFAULT_RUBRIC, reasons: bool = True,
 ) -> DataFrame:
     """Relevance and fit in one pass; the profile's role terms extend the title terms."""
     scored = rubric_score(
         df, title, body, rubric, profile.role_terms if profile.has_preferences else (),
         reasons="relevance_reasons" if reasons else None,
     )
-    return fit_score(scored, columns, profile, reasons="fit_reasons" if reasons else None)
+    return fit_score(
+        scored, columns, profile, structured, reasons="fit_reasons" if reasons else None
+    )
 
 
 def half_up(value: float, digits: int = 1) -> float:

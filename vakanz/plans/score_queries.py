@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vakanz.operators import learning, rescore, scoring, upsert
-from vakanz.operators.common import latest_per_key
+from vakanz.operators.common import latest_per_key, open_array
 from vakanz.plans.registry import query
 from vakanz.plans.views import (
     LATEST,
@@ -93,7 +93,7 @@ _REASONS = [
 )
 def rubric_reasons(spark, d):
     scored = scoring.rubric_score(postings(spark, d), "title", "description_text", TEXT_RUBRIC)
-    rows = scored.select("job_id", F.explode("relevance_reasons").alias("r"))
+    rows = open_array(scored, ["job_id"], F.col("relevance_reasons"), "r")
     return rows.select(
         "job_id", "r.code", "r.effect", "r.points", "r.possible_points", F.size("r.evidence").alias("shown")
     )
@@ -138,12 +138,12 @@ FIT_SQL = (
 @query("fit_score", ctes(POSTINGS, *FIT_SQL) + " SELECT job_id, fit FROM fitted")
 def fit_score(spark, d):
     p = postings(spark, d)
-    return scoring.fit_score(p, fit_inputs(), PROFILE, reasons=None).select("job_id", "fit")
+    scored = scoring.fit_score(p, fit_inputs(), PROFILE, "structured_data", reasons=None)
+    return scored.select("job_id", "fit")
 
 
 def fit_inputs():
-    plain = {n: F.col(n) for n in ("employment_type", "contract_type", "language", "remote_type")}
-    return {**plain, **scoring.structured_columns(F.col("structured_data"))}
+    return {n: F.col(n) for n in ("employment_type", "contract_type", "language", "remote_type")}
 
 
 @query(
@@ -160,8 +160,8 @@ def fit_inputs():
       UNION ALL SELECT job_id, 'skills', 0, 0 FROM dims""",
 )
 def fit_dimensions(spark, d):
-    scored = scoring.fit_score(postings(spark, d), fit_inputs(), PROFILE)
-    rows = scored.select("job_id", F.explode("fit_reasons").alias("r"))
+    scored = scoring.fit_score(postings(spark, d), fit_inputs(), PROFILE, "structured_data")
+    rows = open_array(scored, ["job_id"], F.col("fit_reasons"), "r")
     return rows.select("job_id", "r.code", "r.possible_points", "r.points")
 
 
@@ -276,6 +276,7 @@ def rescore_all(spark, d):
         labels.select(F.col("doc_id").alias("job_id"), direction.alias("direction")),
         PROFILE,
         columns=fit_inputs(),
+        structured="structured_data",
         features=learning.feature_columns(F.col("structured_data")),
         rubric=TEXT_RUBRIC,
         reasons=False,

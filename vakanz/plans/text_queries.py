@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vakanz import fixed
 from vakanz.functions import parse, text, urls
 from vakanz.operators import listing, pages
+from vakanz.operators.common import open_array
 from vakanz.plans.registry import query
 from vakanz.plans.views import POSTINGS, ctes, norm_sql, postings, quote, table
 
@@ -122,9 +123,8 @@ def excerpt(spark, d):
 
 @query("text_chunks")
 def text_chunks(spark, d):
-    return table(spark, d, "documents").select(
-        "doc_id", F.posexplode(text.text_chunks(text.collapse(F.col("text")))).alias("chunk_no", "chunk")
-    )
+    chunks = text.text_chunks(text.collapse(F.col("text")))
+    return open_array(table(spark, d, "documents"), ["doc_id"], chunks, "chunk", "chunk_no")
 
 
 @query(
@@ -161,7 +161,7 @@ def language_guess(spark, d):
 def ordered_distinct(spark, d):
     """Keep-first distinct words of whole documents; opened into rows because texts are long."""
     docs = table(spark, d, "documents")
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "v"))
+    words = open_array(docs, ["doc_id"], F.split("text", " "), "v", "pos")
     words = words.withColumn("v", F.trim("v")).filter("v <> ''")
     first = words.groupBy("doc_id", text.fold(F.col("v")).alias("k")).agg(
         F.min(F.struct("pos", "v")).alias("s")
@@ -342,7 +342,7 @@ resolved AS (
 )
 def page_links(spark, d):
     p = table(spark, d, "pages")
-    return p.select("page_id", F.explode(urls.page_links(F.col("url"), F.col("html"))).alias("link"))
+    return open_array(p, ["page_id"], urls.page_links(F.col("url"), F.col("html")), "link")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz.functions.text import ordered_distinct
-from vakanz.operators.common import global_row_number  # noqa: F401  (numbering for batches)
+from vakanz.operators.common import global_row_number, open_array
 
 STATIC = ("name", "kind", "is_official", "free_api")
 
@@ -76,11 +76,9 @@ def query_plan(
     wanted = F.transform(places, lambda p: F.struct(p.alias("location"), F.lit(False).alias("remote_query")))
     far = F.array(F.struct(F.lit(remote_location).alias("location"), F.lit(True).alias("remote_query")))
     wanted = F.when(F.col(remote), F.concat(wanted, far)).otherwise(wanted)
-    opened = preferences.select(
-        key, F.posexplode(terms).alias("term_pos", "text"), wanted.alias("_wanted")
-    )
-    return opened.select(
-        key, "term_pos", "text", F.posexplode("_wanted").alias("location_pos", "_w")
+    opened = open_array(preferences, [key, wanted.alias("_wanted")], terms, "text", "term_pos")
+    return open_array(
+        opened, [key, "term_pos", "text"], F.col("_wanted"), "_w", "location_pos"
     ).select(key, "term_pos", "text", "location_pos", "_w.location", "_w.remote_query")
 
 

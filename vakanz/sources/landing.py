@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vakanz.functions.parse import parse_timestamp, variant_text
 from vakanz.functions.text import blank_to_null, fold
-from vakanz.operators.common import dedupe_first
+from vakanz.operators.common import dedupe_first, open_array
 
 Rule = Callable[[Column], Column]
 
@@ -291,10 +291,8 @@ def explode_items(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFr
     """One row per posting object: the first list found under the spec's paths."""
     parsed = df.withColumn("_payload", F.try_parse_json(payload))
     lists = [F.try_variant_get("_payload", p, "array<variant>") for p in spec.items]
-    rows = parsed.select(
-        *[c for c in df.columns if c != payload],
-        F.posexplode(F.coalesce(*lists)).alias("item_pos", "item"),
-    )
+    kept = [c for c in df.columns if c != payload]
+    rows = open_array(parsed, kept, F.coalesce(*lists), "item", "item_pos")
     if spec.unwrap:
         inner = F.try_variant_get("item", spec.unwrap, "variant")
         rows = rows.withColumn("item", F.coalesce(inner, F.col("item")))
@@ -363,9 +361,7 @@ def explode_xml(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFram
     tag = spec.xml_items
     body = F.regexp_replace(payload, r"<(/?)[A-Za-z_][\w.-]*:", "<$1")
     items = F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1)
-    rows = df.select(
-        *[c for c in df.columns if c != payload], F.posexplode(items).alias("item_pos", "_xml")
-    )
+    rows = open_array(df, [c for c in df.columns if c != payload], items, "_xml", "item_pos")
     names = spec.items
     values = [xml_texts(F.col("_xml"), n) for n in names]
     as_map = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values))
@@ -411,7 +407,7 @@ def board_counters(records: DataFrame, board: str = "board") -> DataFrame:
 def parse_boards(sources: DataFrame, key: str, config: str) -> DataFrame:
     """Configured boards: a text or an object, first of four id keys, first spelling kept."""
     listed = F.from_json(F.col(config), "array<string>")
-    items = sources.select(key, F.posexplode(listed).alias("pos", "_item"))
+    items = open_array(sources, [key], listed, "_item", "pos")
 
     def part(*names: str) -> Column:
         return F.coalesce(*[blank_to_null(F.get_json_object("_item", f"$.{n}")) for n in names])
