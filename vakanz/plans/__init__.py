@@ -3,6 +3,13 @@
 
 def load():
     """Import every query module and return the registry."""
-    from vakanz.plans import registry, text_queries, score_queries  # noqa: F401
+    from vakanz.plans import (  # noqa: F401
+        listing_queries,
+        page_queries,
+        report_queries,
+        registry,
+        score_queries,
+        text_queries,
+    )
 
     return registry
