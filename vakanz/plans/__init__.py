@@ -6,9 +6,11 @@ def load():
     from vakanz.plans import (  # noqa: F401
         listing_queries,
         page_queries,
+        profile_queries,
         report_queries,
         registry,
         score_queries,
+        source_queries,
         text_queries,
     )
 
