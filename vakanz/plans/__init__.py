@@ -11,6 +11,7 @@ def load():
         registry,
         score_queries,
         source_queries,
+        stream_queries,
         text_queries,
     )
 

@@ -36,6 +36,10 @@ class VersionedTable:
         row = manifest.orderBy(F.col("version").desc(), F.col("folder")).first()
         return (row.version, row.folder) if row else (0, None)
 
+    def has_note(self, note: str) -> bool:
+        manifest = self._manifest()
+        return manifest is not None and not manifest.filter(F.col("note") == note).isEmpty()
+
     def read(self) -> DataFrame | None:
         _, folder = self.current()
         return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from vakanz.operators.common import lag_by_bucket
 from vakanz.sources.landing import Spec, normalize_payload, to_posting
 from vakanz.sources.tables import VersionedTable, apply_upsert
 
@@ -105,45 +106,73 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "6 hours", delay:
     )
 
 
-def failure_counter(stream: DataFrame, key: str, failed: Column, success: Column, at: str) -> DataFrame:
-    """Failures since the last success per posting.
+def fold_failures(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Failures since the last success per key after one more batch.
 
-    The row state is two aggregates: the time of the last success, and failures per key in
-    time order are counted after it. A stateful operator keeps (count, last time) per key.
+    ``batch``: key, at, failed, success. Both steps are partial aggregates, so a key with a
+    third of the rows is counted on the map side. A success in the batch drops the old count.
     """
-    rows = stream.select(F.col(key).alias("key"), F.col(at).alias("at"), failed.alias("failed"),
-                         success.alias("success"))
-
-    def update(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (count,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-        for failed_row, success_row in zip(rows["failed"], rows["success"]):
-            count = 0 if success_row else count + int(failed_row)
-        state.update((count,))
-        yield pd.DataFrame({"key": [keys[0]], "failures": [count]})
-
-    return rows.groupBy("key").applyInPandasWithState(
-        update, "key long, failures long", "failures long", "update", "NoTimeout"
+    last = batch.groupBy("key").agg(F.max(F.when(F.col("success"), F.col("at"))).alias("_last"))
+    after = F.col("_last").isNull() | (F.col("at") > F.col("_last"))
+    new = batch.join(last, "key").groupBy("key").agg(
+        F.count_if(F.col("failed") & after).alias("_new"),
+        F.bool_or(F.col("_last").isNotNull()).alias("_reset"),
     )
+    if state is None:
+        return new.select("key", F.col("_new").alias("failures"))
+    joined = state.join(new, "key", "full_outer")
+    kept = F.when(F.coalesce("_reset", F.lit(False)), F.lit(0)).otherwise(F.coalesce("failures", F.lit(0)))
+    return joined.select("key", (kept + F.coalesce("_new", F.lit(0))).alias("failures"))
 
 
-def change_detector(stream: DataFrame, key: str, value: str, at: str) -> DataFrame:
-    """Changes of a value per key; the state is the last value seen."""
-    rows = stream.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(at).alias("at"))
+def changes_in(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Rows of a batch whose value differs from the one before, across batches.
 
-    def update(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-        before = rows["value"].shift(1)
-        if len(rows):
-            before.iloc[0] = last
-        changed = rows[before.ne(rows["value"])]
-        state.update((rows["value"].iloc[-1],))
-        yield changed[["key", "value", "at"]]
-
-    return rows.groupBy("key").applyInPandasWithState(
-        update, "key long, value string, at timestamp", "last string", "append", "NoTimeout"
-    )
+    ``batch``: key, value, at, tie. Inside the batch the value before comes from day-wise
+    windows; the first row of a key is compared with the stored last value.
+    """
+    rows = lag_by_bucket(batch, ["key"], ["at", "tie"], F.to_date("at"), {"value": "_before"})
+    before = F.col("_before")
+    if state is not None:
+        rows = rows.join(state.select("key", F.col("value").alias("_stored")), "key", "left")
+        before = F.when(F.col("is_first"), F.col("_stored")).otherwise(F.col("_before"))
+    return rows.filter(~before.eqNullSafe(F.col("value"))).select("key", "value", "at")
+
+
+def fold_last(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Last value per key after one more batch."""
+    new = batch.groupBy("key").agg(F.max_by("value", F.struct("at", "tie")).alias("value"))
+    if state is None:
+        return new
+    old = state.select("key", F.col("value").alias("_old"))
+    joined = old.join(new, "key", "full_outer")
+    return joined.select("key", F.coalesce("value", "_old").alias("value"))
+
+
+def run_with_state(
+    stream: DataFrame,
+    store: VersionedTable,
+    fold: Callable[[DataFrame | None, DataFrame], DataFrame],
+    checkpoint: str,
+    emit: Callable[[DataFrame | None, DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Keep a keyed state table over micro-batches.
+
+    Each batch reads the visible version, folds itself in and publishes the next one under its
+    batch number; a batch that is repeated after a failure finds its number and is skipped.
+    ``emit`` sees the state before the batch.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        note = f"batch {batch_id}"
+        if store.has_note(note):
+            return
+        before = store.read()
+        if emit is not None:
+            emit(before, batch, batch_id)
+        store.replace(fold(before, batch), note)
+
+    return run_once(stream, sink, checkpoint)
 
 
 def stuck_runs(stream: DataFrame, run: str, at: str, finished: Column, limit_ms: int = 3 * 3600 * 1000,
@@ -158,15 +187,16 @@ def stuck_runs(stream: DataFrame, run: str, at: str, finished: Column, limit_ms:
             state.remove()
             yield pd.DataFrame({"run_id": [keys[0]], "state": ["error"]})
             return
-        rows = pd.concat(list(frames))
-        if rows["finished"].any():
+        start, ended = (state.get[0] if state.exists else None), False
+        for frame in frames:  # one Arrow batch at a time
+            ended = ended or bool(frame["finished"].any())
+            first = int(frame["at"].min().timestamp() * 1000)
+            start = first if start is None else min(start, first)
+        if ended:
             if state.exists:
                 state.remove()
             yield pd.DataFrame({"run_id": [keys[0]], "state": ["finished"]})
             return
-        start = int(rows["at"].min().timestamp() * 1000)
-        (known,) = state.get if state.exists else (start,)
-        start = min(start, known)
         state.update((start,))
         deadline = start + limit_ms
         if deadline > state.getCurrentWatermarkMs():
