@@ -131,11 +131,11 @@ def changes_in(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     ``batch``: key, value, at, tie. Inside the batch the value before comes from day-wise
     windows; the first row of a key is compared with the stored last value.
     """
-    rows = lag_by_bucket(batch, ["key"], ["at", "tie"], F.to_date("at"), {"value": "_before"})
-    before = F.col("_before")
+    rows = lag_by_bucket(batch, ["key"], ["at", "tie"], F.to_date("at"), {"value": "previous"})
+    before = F.col("previous")
     if state is not None:
         rows = rows.join(state.select("key", F.col("value").alias("_stored")), "key", "left")
-        before = F.when(F.col("is_first"), F.col("_stored")).otherwise(F.col("_before"))
+        before = F.when(F.col("is_first"), F.col("_stored")).otherwise(F.col("previous"))
     return rows.filter(~before.eqNullSafe(F.col("value"))).select("key", "value", "at")
 
 
