@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,40 +57,51 @@ def matching_terms(c: Column, terms: Sequence[str]) -> Column:
     return F.filter(wanted, lambda t: F.contains(c, t))
 
 
-def _entities(c: Column, table: Mapping[str, str]) -> Column:
-    for name, value in table.items():
-        if name != "amp":
-            c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
-    return F.replace(_numeric_entities(c), F.lit("&amp;"), F.lit("&"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
 
+    An expression used several times inside conditions is otherwise evaluated at each use.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _entity(name: Column, table: Mapping[str, str]) -> Column:
+    """Character of one entity name such as ``amp``, ``#8364`` or ``#x20ac``; null if unknown."""
+    decimal = F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
+    hexa = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1)
+    code = F.when(decimal != "", F.hex(decimal.cast("bigint"))).when(hexa != "", hexa)
+    numeric = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    return F.when(name.startswith("#"), numeric).otherwise(lookup(name, table))
 
-def _numeric_entities(c: Column) -> Column:
-    """``&#8364;`` and ``&#x20ac;``: cut at ``&#`` and decode the head of every later piece."""
 
-    def decode(piece: Column, index: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(decimal != "", F.hex(decimal.cast("bigint"))).when(hexa != "", hexa)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]{1,7};", "")
-        plain = F.when(index == 0, piece).otherwise(F.concat(F.lit("&#"), piece))
-        return F.when((index > 0) & code.isNotNull(), F.concat(char, rest)).otherwise(plain)
+def _decode_entities(text: Column, table: Mapping[str, str]) -> Column:
+    """Cut at ``&`` and decode the head of every later piece: one pass, whatever the table."""
 
-    decoded = F.array_join(F.transform(F.split(c, "&#"), decode), "")
-    return F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
+    def piece(part: Column, index: Column) -> Column:
+        name = F.substring_index(F.substring(part, 1, 10), ";", 1)
+        value = F.when(F.contains(F.substring(part, 1, 10), F.lit(";")), _entity(name, table))
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        decoded = F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
+        return F.when(index == 0, part).otherwise(decoded)
+
+    return F.array_join(F.transform(F.split(text, "&"), piece), "")
 
 
 def unescape(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit("&")), _entities(c, fixed.ENTITIES)).otherwise(c)
+    """HTML entities to characters, one level."""
+    return let(
+        c,
+        lambda t: F.when(F.contains(t, F.lit("&")), _decode_entities(t, fixed.ENTITIES)).otherwise(t),
+    )
 
 
 def tidy_lines(c: Column) -> Column:
     """One blank between words, no blanks at line ends, at most one empty line."""
-    c = F.translate(c, " \r", " ")
-    c = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
+    c = F.replace(F.replace(c, F.lit("\r"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
+    c = F.regexp_replace(c, r"[ \t\x0B\f\x{85}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+", " ")
     c = F.regexp_replace(c, r" *\n *", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \n"))
 
 
 def strip_markup(c: Column) -> Column:
@@ -261,9 +272,8 @@ def ordered_distinct(values: Column) -> Column:
 
 def language_guess(title: Column, text: Column, explicit: Column | None = None) -> Column:
     """Stop-word counts decide between German and English; an explicit value wins."""
-    body = fold(F.concat_ws(" ", title, text))
 
-    def hits(words: Iterable[str]) -> Column:
+    def hits(body: Column, words: Iterable[str]) -> Column:
         total = F.lit(0)
         for word in words:
             w = py_fold(word)
@@ -272,6 +282,14 @@ def language_guess(title: Column, text: Column, explicit: Column | None = None)
             ) / F.lit(len(w))
         return total
 
-    german, english = hits(fixed.GERMAN_WORDS), hits(fixed.ENGLISH_WORDS)
-    guess = F.when((german == 0) & (english == 0), None).when(german >= english, "de").otherwise("en")
+    def decide(counts: Column) -> Column:
+        german, english = counts["de"], counts["en"]
+        return F.when((german == 0) & (english == 0), None).when(german >= english, "de").otherwise("en")
+
+    def count(body: Column) -> Column:
+        return F.struct(
+            hits(body, fixed.GERMAN_WORDS).alias("de"), hits(body, fixed.ENGLISH_WORDS).alias("en")
+        )
+
+    guess = let(let(fold(F.concat_ws(" ", title, text)), count), decide)
     return guess if explicit is None else F.coalesce(blank_to_null(explicit), guess)

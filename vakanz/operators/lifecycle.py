@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz import fixed
-from vakanz.functions.text import collapse, contains_any, fold, unescape
+from vakanz.functions.text import collapse, contains_any, fold, let, unescape
 from vakanz.operators.common import dedupe_first
 
 
@@ -67,18 +67,31 @@ def apply_availability(
 
 def page_verdict(title: Column, html: Column) -> tuple[Column, Column]:
     """Status and reason of a landed page: closed phrase, posting markup, title, or unknown."""
-    compact = fold(collapse(html))
-    visible = collapse(unescape(F.regexp_replace(compact, "<[^>]+>", " ")))
-    name = fold(collapse(unescape(title)))
-    closed = contains_any(visible, fixed.CLOSED_MARKERS)
-    marked = compact.rlike(r"""["']@type["']\s*:\s*["']jobposting["']""")
-    named = (F.length(name) >= 8) & F.contains(visible, name)
-    status = F.when(closed, "inactive").when(marked | named, "active").otherwise("check_failed")
-    why = (
-        F.when(closed, "closed_page_marker")
-        .when(marked, "jobposting_structured_data")
-        .when(named, "job_title_present")
-        .otherwise("job_content_not_recognized")
+
+    def seen(page: Column) -> Column:
+        """Class of a page from its text, its markup and the title looked for."""
+        visible, name = page["visible"], page["name"]
+        named = (F.length(name) >= 8) & F.contains(visible, name)
+        return (
+            F.when(contains_any(visible, fixed.CLOSED_MARKERS), "closed_page_marker")
+            .when(page["marked"], "jobposting_structured_data")
+            .when(named, "job_title_present")
+            .otherwise("job_content_not_recognized")
+        )
+
+    def read(compact: Column) -> Column:
+        return F.struct(
+            collapse(unescape(F.regexp_replace(compact, "<[^>]+>", " "))).alias("visible"),
+            fold(collapse(unescape(title))).alias("name"),
+            compact.rlike(r"""["']@type["']\s*:\s*["']jobposting["']""").alias("marked"),
+        )
+
+    why = let(let(fold(collapse(html)), read), seen)
+    status = let(
+        why,
+        lambda w: F.when(w == "closed_page_marker", "inactive")
+        .when(w == "job_content_not_recognized", "check_failed")
+        .otherwise("active"),
     )
     return status, why
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz import fixed
-from vakanz.functions.text import contains_any, fold, py_fold, py_normalize, normalize_text
+from vakanz.functions.text import contains_any, fold, let, normalize_text, py_fold, py_normalize
 from vakanz.operators.common import latest_per_key, top_per_key
 
 
@@ -79,7 +79,7 @@ def priority_condition(
 
 
 def title_matches(title: Column, terms: Sequence[str]) -> Column:
-    return contains_any(normalize_text(title), [py_normalize(t) for t in terms])
+    return let(normalize_text(title), lambda t: contains_any(t, [py_normalize(x) for x in terms]))
 
 
 def title_token_subset(
@@ -136,9 +136,9 @@ def role_scope(
     """``strategic`` by flag, by class, or by title and management terms; else ``core``."""
     flag = F.coalesce(F.get_json_object(structured, "$.strategic_adjacent"), F.lit("false"))
     kind = F.coalesce(F.get_json_object(structured, "$.classification"), F.lit(""))
-    text = fold(F.concat_ws(" ", title, body))
-    by_text = contains_any(fold(title), [py_fold(t) for t in title_terms]) & contains_any(
-        text, [py_fold(t) for t in management_terms]
+    by_text = let(fold(title), lambda t: contains_any(t, [py_fold(x) for x in title_terms])) & let(
+        fold(F.concat_ws(" ", title, body)),
+        lambda t: contains_any(t, [py_fold(x) for x in management_terms]),
     )
     strategic = ~flag.isin("false", "0", "", "null") | (kind == "strategisch_erweitert") | by_text
     return F.when(strategic, "strategic").otherwise("core")

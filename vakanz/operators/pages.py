@@ -17,7 +17,7 @@ from vakanz.functions.parse import (
     salary_range,
     title_location,
 )
-from vakanz.functions.text import blank_to_null, collapse, contains_any, fold, unescape
+from vakanz.functions.text import blank_to_null, collapse, contains_any, fold, let, unescape
 from vakanz.functions.urls import (
     bare_host,
     canonical_url,
@@ -83,16 +83,19 @@ def json_ld_posting(html: Column) -> Column:
 
     every = F.flatten(F.transform(F.filter(blocks, lambda b: b.isNotNull()), candidates))
     posting = F.try_element_at(F.filter(every, is_posting), F.lit(1))
-    return F.when(F.contains(F.lower(html), F.lit("ld+json")), F.to_json(posting))
+    return F.when(html.rlike("(?i)ld\\+json"), F.to_json(posting))
 
 
 def signal_count(text: Column, groups: Sequence[Sequence[str]] = fixed.SIGNAL_GROUPS) -> Column:
     """How many content groups of a posting occur in the text."""
-    folded = fold(text)
-    total = F.lit(0)
-    for terms in groups:
-        total = total + contains_any(folded, terms).cast("int")
-    return total
+
+    def count(folded: Column) -> Column:
+        total = F.lit(0)
+        for terms in groups:
+            total = total + contains_any(folded, terms).cast("int")
+        return total
+
+    return let(fold(text), count)
 
 
 def generic_title(title: Column, titles: Sequence[str] = fixed.GENERIC_TITLES) -> Column:
