@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture for every column expression; it dominates the time to build large plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

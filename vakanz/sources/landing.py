@@ -275,7 +275,9 @@ class Spec:
     keep: Rule | None = None
     payload: str = "json"
     xml_items: str = ""
-    notes: Mapping[str, str] = field(default_factory=dict)
+    cards: str = ""
+    parts: Mapping[str, str] = field(default_factory=dict)
+    escaped: bool = False
 
 
 SPECS: dict[str, Spec] = {}
@@ -345,7 +347,8 @@ def normalize_payload(
             "target",
             F.struct(*[F.lit(None).cast("string").alias(n) for n in TARGET_FIELDS]),
         )
-    rows = explode_xml(df, spec, payload) if spec.payload == "xml" else explode_items(df, spec, payload)
+    opener = {"xml": explode_xml, "html": explode_cards}.get(spec.payload, explode_items)
+    rows = opener(df, spec, payload)
     return split_valid(normalize_items(rows, spec))
 
 
@@ -386,6 +389,28 @@ def xml_texts(xml: Column, name: str) -> Column:
     return F.filter(F.transform(plain, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def explode_cards(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
+    """Result cards of a landed HTML page: one pattern per card, one per field of a card.
+
+    A field is the first match inside its card, without tags and with entities decoded.
+    """
+    from vakanz.functions.text import collapse, unescape
+
+    body = F.regexp_replace(payload, r"<!\[CDATA\[|\]\]>", "")
+    if spec.escaped:
+        body = unescape(body)
+    cards = F.regexp_extract_all(body, F.lit(spec.cards), 0)
+    rows = open_array(df, [c for c in df.columns if c != payload], cards, "_card", "item_pos")
+    texts = [
+        blank_to_null(
+            collapse(unescape(F.regexp_replace(F.regexp_extract("_card", p, 1), "<[^>]*>", " ")))
+        )
+        for p in spec.parts.values()
+    ]
+    as_map = F.map_from_arrays(F.array(*[F.lit(n) for n in spec.parts]), F.array(*texts))
+    return rows.withColumn("item", F.try_parse_json(F.to_json(as_map))).drop("_card")
+
+
 # --- record-level landing operators ----------------------------------------------------------
 
 
@@ -425,6 +450,16 @@ def parse_boards(sources: DataFrame, key: str, config: str) -> DataFrame:
     return unique.drop("_fold")
 
 
+def dedupe_targets(targets: DataFrame, key: str, url: str, mode: str, pos: str) -> DataFrame:
+    """Crawl targets with the same canonical address and mode, first one kept."""
+    from vakanz.functions.urls import canonical_url
+
+    named = targets.withColumn("_url", canonical_url(F.col(url))).withColumn(
+        "_mode", fold(F.trim(F.coalesce(mode, F.lit("crawl"))))
+    )
+    return dedupe_first(named, [key, "_url", "_mode"], [F.col(pos)]).drop("_url", "_mode")
+
+
 def incremental(
     records: DataFrame, sources: DataFrame, *, key: str = "source_id", at: str = "published_at",
     overlap: str = "24 HOURS",

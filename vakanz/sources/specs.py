@@ -686,3 +686,200 @@ register(Spec(
                          homeoffice_type=text(*_both("homeofficetyp"))),
     },
 ))
+
+
+def _tkms_remote(i: Column) -> Column:
+    return F.when(fold(text("remote")(i)).rlike("hybrid|remote"), True)
+
+
+_tkms_url = template("https://jobs.tkmsgroup.com/{language}/job/{id}", language=param("language"),
+                     id=text("id", "idClient"))
+register(Spec(
+    "tkms", ("$.jobs",),
+    {
+        "source_job_id": text("id", "idClient"),
+        "title": text("title"),
+        "company": text("company"),
+        "locations": strings("locations", "cityState", "city"),
+        "canonical_url": _tkms_url,
+        "apply_url": first(lambda i: F.concat(F.lit("https://jobs.tkmsgroup.com/"), F.regexp_replace(
+            text("applicationUrl")(i), "^/+", "")), _tkms_url),
+        "published_at": time("postingDate"),
+        "employment_types": strings("employmentType"),
+        "remote": _tkms_remote,
+        "metadata": meta(contract=text("contract"), entry_level=text("entryLevel"),
+                         job_field=text("jobField"), job_number=text("jobNumber")),
+    },
+    unwrap="$.data",
+))
+
+
+# An item joins a search hit with the JSON-LD of its detail page: {id, url, title, job}.
+def _ld_places(i: Column) -> Column:
+    entries = F.coalesce(
+        get(i, "job.jobLocation", "array<variant>"),
+        F.filter(F.array(get(i, "job.jobLocation", "variant")), lambda v: v.isNotNull()),
+    )
+
+    def render(e: Column) -> Column:
+        def part(name: str) -> Column:
+            return blank_to_null(F.try_variant_get(e, f"$.address.{name}", "string"))
+
+        country = F.coalesce(
+            blank_to_null(F.try_variant_get(e, "$.address.addressCountry.name", "string")),
+            part("addressCountry"),
+        )
+        full = F.concat_ws(", ", part("streetAddress"), part("postalCode"), part("addressLocality"),
+                           part("addressRegion"), country)
+        plain = F.try_variant_get(e, "$.address", "string")
+        return F.coalesce(
+            F.nullif(full, F.lit("")),
+            F.when(~plain.startswith("{"), blank_to_null(plain)),
+            blank_to_null(F.try_variant_get(e, "$.name", "string")),
+        )
+
+    found = F.filter(F.transform(entries, render), lambda v: v.isNotNull())
+    return F.coalesce(F.array_distinct(found), no_list())
+
+
+_icims_url = first(same_host(text("job.url"), text("url")), text("url"))
+register(Spec(
+    "icims", ("$.items",),
+    {
+        "source_job_id": text("id"),
+        "title": text("job.title", "title"),
+        "company": first(param("company"), text("job.hiringOrganization.name")),
+        "locations": _ld_places,
+        "description": text("job.description"),
+        "description_format": when_present(text("job.description"), "html"),
+        "canonical_url": _icims_url,
+        "apply_url": _icims_url,
+        "published_at": time("job.datePosted"),
+        "updated_at": time("job.dateModified"),
+        "employment_types": strings("job.employmentType"),
+        "remote": lambda i: F.when(
+            F.contains(fold(F.coalesce(text("job.jobLocationType")(i), F.lit(""))), F.lit("telecommute")),
+            True,
+        ).otherwise(any_contains(_ld_places, ("remote",))(i)),
+        "salary": first(_range("job.baseSalary.value.minValue", "job.baseSalary.value.maxValue",
+                               "job.baseSalary.currency", "job.baseSalary.value.unitText", "–"),
+                        text("job.baseSalary")),
+        "metadata": meta(identifier=text("job.identifier.value", "job.identifier"),
+                         valid_through=text("job.validThrough"), direct_apply=text("job.directApply")),
+    },
+))
+
+
+# Result pages without an API: cards of a landed page.
+def _listed(name: str, separator: str) -> Rule:
+    def rule(i: Column) -> Column:
+        parts = F.transform(
+            F.split(text(name)(i), separator), lambda p: F.regexp_replace(p, r"^[ ,]+|[ ,]+$", "")
+        )
+        return F.coalesce(F.array_distinct(F.filter(parts, lambda p: p != "")), no_list())
+
+    return rule
+
+
+_db_url = lambda i: F.concat(F.lit("https://db.jobs/"), F.regexp_replace(text("href")(i), "^/+", ""))
+register(Spec(
+    "deutsche_bahn", (),
+    {
+        "source_job_id": text("id"),
+        "title": text("title"),
+        "company": text("company"),
+        "locations": _listed("location", ","),
+        "canonical_url": _db_url,
+        "apply_url": _db_url,
+    },
+    payload="html",
+    cards=r"(?is)<a\b(?=[^>]*\bm-search-hit\b)[^>]*>.*?</a>",
+    parts={
+        "id": r'data-job-id="([^"]*)"',
+        "href": r'\bhref="([^"]*)"',
+        "title": r'(?is)m-search-hit__title-text[^>]*>(.*?)</',
+        "location": r'(?is)aria-label="Arbeitsort"[^>]*>\s*</i>(.*?)</(?:div|span|li|p)>',
+        "company": r'(?is)aria-label="Arbeitgeber(?::in)?"[^>]*>\s*</i>(.*?)</(?:div|span|li|p)>',
+    },
+))
+
+
+def _card_part(n: int) -> Rule:
+    return lambda i: blank_to_null(
+        F.try_element_at(F.split(text("line")(i), r" \| ", 3), F.lit(n))
+    )
+
+
+_rm_url = lambda i: F.concat(F.lit("https://www.rheinmetall.com/"), F.regexp_replace(text("href")(i), "^/+", ""))
+register(Spec(
+    "rheinmetall", (),
+    {
+        "source_job_id": lambda i: F.nullif(
+            F.regexp_extract(text("href")(i), r"/(\d+)(?:[/?#]|$)", 1), F.lit("")
+        ),
+        "title": _card_part(1),
+        "company": first(_card_part(2), const("Rheinmetall")),
+        "locations": as_list(_card_part(3)),
+        "canonical_url": _rm_url,
+        "apply_url": _rm_url,
+    },
+    payload="html",
+    cards=r'(?is)<a\b[^>]*href="[^"]*/(?:de|en)/job/[^"]*"[^>]*>.*?</a>',
+    parts={"href": r'\bhref="([^"]*)"', "line": r"(?is)^<a\b[^>]*>(.*)</a>$"},
+))
+
+_sg_url = _absolute(text("href"))
+register(Spec(
+    "softgarden", (),
+    {
+        "source_job_id": first(lambda i: F.nullif(
+            F.regexp_extract(text("href")(i), r"/job/(\d+)", 1), F.lit("")), text("id")),
+        "title": text("title"),
+        "company": param("company"),
+        "locations": _listed("location", ";"),
+        "canonical_url": _sg_url,
+        "apply_url": _sg_url,
+        "published_at": time("date"),
+    },
+    payload="html",
+    cards=r'(?is)<[a-z]+\b(?=[^>]*\bmatchElement\b)[^>]*\bid="job_id_.*?(?=<[a-z]+\b[^>]*\bmatchElement\b|\z)',
+    parts={
+        "id": r'\bid="job_id_([^"]*)"',
+        "href": r'(?is)<a\b[^>]*href="([^"]*/job/[^"]*)"',
+        "title": r'(?is)<a\b[^>]*href="[^"]*/job/[^"]*"[^>]*>(.*?)</a>',
+        "date": r'(?is)class="[^"]*\bdate\b[^"]*"[^>]*>(.*?)</',
+        "location": r'(?is)class="[^"]*ProjectGeoLocationCity[^"]*"[^>]*>(.*?)</',
+    },
+))
+
+
+def _interamt_remote(i: Column) -> Column:
+    mode = fold(text("Dienstort")(i))
+    return F.when(mode.rlike("hybrid|homeoffice|remote"), True).when(mode.rlike("vor ort|präsenz"), False)
+
+
+_ia_fields = ("StellenangebotId", "Stellenbezeichnung", "PLZOrte", "Dienstort", "Behoerde", "Von",
+              "Bewerbungsfrist", "BesoldungGruppeDisplayString", "TarifEbeneDisplayString")
+_ia_id: Rule = lambda i: F.nullif(F.regexp_extract(text("StellenangebotId")(i), r"^(\d+)", 1), F.lit(""))
+_ia_url = template("https://interamt.de/koop/app/stelle?id={id}", id=_ia_id)
+register(Spec(
+    "interamt", (),
+    {
+        "source_job_id": _ia_id,
+        "title": text("Stellenbezeichnung"),
+        "company": text("Behoerde"),
+        "locations": as_list(text("PLZOrte")),
+        "canonical_url": _ia_url,
+        "apply_url": _ia_url,
+        "published_at": time("Von"),
+        "remote": _interamt_remote,
+        "salary": joined(" / ", text("BesoldungGruppeDisplayString"), text("TarifEbeneDisplayString")),
+        "metadata": meta(workplace_type=text("Dienstort"), application_deadline=text("Bewerbungsfrist"),
+                         pay_grade=text("BesoldungGruppeDisplayString"),
+                         collective_pay=text("TarifEbeneDisplayString")),
+    },
+    payload="html",
+    cards=r"(?is)<tr\b(?=[^>]*\bia-e-table__row\b)[^>]*>.*?</tr>",
+    parts={n: rf'(?is)<td\b[^>]*data-field="{n}"[^>]*>(.*?)</td>' for n in _ia_fields},
+    escaped=True,
+))
