@@ -282,6 +282,9 @@ def test_continuous_ingest_and_restart(spark, tmp_path):
     ingest()
     assert store.read().count() == 3 and store.current()[0] == 2
     assert spark.read.parquet(str(tmp_path / "snap")).count() == 4
+    merged = store.read()
+    store.compact()
+    assert store.read().exceptAll(merged).count() == 0 and store.current()[0] == 3
 
 
 def test_state_over_many_batches(spark, tmp_path):

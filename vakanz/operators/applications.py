@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vakanz import fixed
-from vakanz.operators.common import lag_by_bucket, latest_per_key, open_array
+from vakanz.operators.common import lag_by_bucket, latest_per_key, open_array, time_bucket
 
 
 def valid_status(status: Column) -> Column:
@@ -37,7 +37,7 @@ def feedback_from_status(log: DataFrame, key: str = "job_id", order: Sequence[st
     """
     rows = lag_by_bucket(
         log.filter(valid_status(F.col("status"))), [key], order,
-        F.date_trunc("day", F.col(order[0])), {"status": "old_status"},
+        time_bucket(order[0]), {"status": "old_status"},
     )
     changed = ~F.coalesce("old_status", F.lit(fixed.NEW)).eqNullSafe(F.col("status"))
     kept = rows.filter(changed & F.col("status").isin(fixed.SAVED, fixed.NOT_SUITABLE))
@@ -79,21 +79,21 @@ def pipeline_board(records: DataFrame, spark_statuses: DataFrame | None = None)
 def revision_numbers(existing: DataFrame, drafts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Next revision numbers of new drafts: highest stored number plus the place in the batch.
 
-    Numbers inside a posting are counted per day first and shifted by the days before, so one
+    Numbers inside a posting are counted per hour first and shifted by the hours before, so one
     posting's drafts are not sorted in one task.
     """
     highest = existing.groupBy(key).agg(F.max("revision").alias("_highest"))
-    day = F.date_trunc("day", F.col(order[0]))
-    numbered = drafts.withColumn("_day", day).withColumn(
-        "_in_day", F.row_number().over(Window.partitionBy(key, "_day").orderBy(*order))
+    slot = time_bucket(order[0])
+    numbered = drafts.withColumn("_slot", slot).withColumn(
+        "_in_slot", F.row_number().over(Window.partitionBy(key, "_slot").orderBy(*order))
     )
-    days = drafts.withColumn("_day", day).groupBy(key, "_day").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(key, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = numbered.join(days, [key, "_day"]).join(highest, key, "left")
-    number = F.coalesce("_highest", F.lit(0)) + F.col("_before") + F.col("_in_day")
+    slots = drafts.withColumn("_slot", slot).groupBy(key, "_slot").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(key, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = numbered.join(slots, [key, "_slot"]).join(highest, key, "left")
+    number = F.coalesce("_highest", F.lit(0)) + F.col("_before") + F.col("_in_slot")
     return joined.withColumn("revision", number.cast("bigint")).drop(
-        "_day", "_in_day", "_before", "_highest"
+        "_slot", "_in_slot", "_before", "_highest"
     )
 
 

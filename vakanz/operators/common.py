@@ -52,13 +52,22 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return _top_per_key(df, keys, order, n).withColumnRenamed("_rank", "position")
 
 
+# Width of the time buckets that split a long key: narrow enough that one key's bucket fits a
+# task, wide enough that most keys have few buckets.
+BUCKET = "hour"
+
+
+def time_bucket(at: str) -> Column:
+    return F.date_trunc(BUCKET, F.col(at))
+
+
 def lag_by_bucket(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, values: dict[str, str]
 ) -> DataFrame:
     """Previous value per key without sorting a whole key in one task.
 
     Rows are windowed within (key, bucket), where the bucket is a coarse function of the first
-    order column such as its day. The last value of every bucket comes from a partial
+    order column such as its hour. The last value of every bucket comes from a partial
     aggregate, and a second window over those few rows hands it to the bucket that follows.
     ``values`` maps a column to the name of its lagged copy.
     """

@@ -13,9 +13,12 @@ from vakanz.operators.common import dedupe_first, lag_by_bucket
 
 
 class Upsert(NamedTuple):
+    """``current`` is the whole merged table, ``delta`` only the rows the batch touched."""
+
     current: DataFrame
     new_snapshots: DataFrame
     outcomes: DataFrame
+    delta: DataFrame
 
 
 def posting_key(source_id: Column, external_id: Column) -> Column:
@@ -43,45 +46,49 @@ def upsert_versioned(
     unseen, so a return to an old version is an update without a new snapshot.
 
     ``current`` carries the keys, the incoming columns, ``content_hash`` and ``last_seen_at``;
-    ``snapshots`` carries the keys and ``content_hash``. Three equi joins on the same keys.
+    ``snapshots`` carries the keys and ``content_hash``. Outcomes, snapshots and the delta join
+    the batch with the keys and hashes of the table only, so no stored text is shuffled; just
+    ``current``, a full rewrite, moves whole rows.
     """
     order = [F.col(c) for c in (arrival or keys)]
     if "content_hash" not in incoming.columns:
         incoming = incoming.withColumn("content_hash", content_hash([F.col(c) for c in hash_cols]))
     batch = dedupe_first(incoming, keys, order)
     payload = [c for c in incoming.columns if c not in keys and c not in arrival]
-    new = batch.select(*keys, F.struct(*payload).alias("_new"))
-    old_cols = [c for c in current.columns if c not in keys]
-    old = current.select(*keys, F.struct(*old_cols).alias("_old"))
-    merged = old.join(new, list(keys), "full_outer")
-    outcome = (
-        F.when(F.col("_new").isNull(), "untouched")
-        .when(F.col("_old").isNull(), "created")
-        .when(F.col("_old.content_hash").eqNullSafe(F.col("_new.content_hash")), "skipped")
-        .otherwise("updated")
+    columns = list(dict.fromkeys([*(c for c in current.columns if c not in keys), *payload]))
+    once = [c for c in ("canonical_key",) if c in payload and c in current.columns]
+    carried = [c for c in current.columns if c not in (*keys, *payload)]
+
+    # narrow side of the table: keys, hash, and the columns a batch does not bring
+    old = current.select(
+        *keys,
+        F.lit(True).alias("_known"),
+        *[F.col(c).alias(f"_old_{c}") for c in ("content_hash", *once, *carried)],
+    )
+    decided = batch.join(old, list(keys), "left").withColumn(
+        "outcome",
+        F.when(F.col("_known").isNull(), "created")
+        .when(F.col("_old_content_hash").eqNullSafe(F.col("content_hash")), "skipped")
+        .otherwise("updated"),
     )
-    merged = merged.withColumn("outcome", outcome)
 
-    arrived = F.col("_new").isNotNull()
-    fields = []
-    for name in dict.fromkeys([*old_cols, *payload]):
+    def settled(name: str) -> Column:
         if name == "last_seen_at":
-            value = F.when(arrived, now).otherwise(F.col("_old.last_seen_at"))
-        elif name not in payload:
-            value = F.col(f"_old.{name}")
-        elif name not in old_cols:
-            value = F.col(f"_new.{name}")
-        elif name == "canonical_key":
-            value = F.coalesce(F.col("_old.canonical_key"), F.col("_new.canonical_key"))
+            value = now
+        elif name in once:
+            value = F.coalesce(f"_old_{name}", name)
+        elif name in carried:
+            value = F.col(f"_old_{name}")
         else:
-            value = F.when(arrived, F.col(f"_new.{name}")).otherwise(F.col(f"_old.{name}"))
-        fields.append(value.alias(name))
-    table = merged.select(*keys, *fields)
+            value = F.col(name)
+        return value.alias(name)
+
+    delta = decided.select(*keys, *[settled(c) for c in columns])
 
-    text = [F.col(f"_new.{text_col}").alias("cleaned_text")] if text_col else []
-    versions = merged.filter(F.col("outcome").isin("created", "updated")).select(
+    text = [F.col(text_col).alias("cleaned_text")] if text_col else []
+    versions = decided.filter(F.col("outcome") != "skipped").select(
         *keys,
-        F.col("_new.content_hash").alias("content_hash"),
+        "content_hash",
         F.when(F.col("outcome") == "created", "created").otherwise("changed").alias("change_kind"),
         now.alias("fetched_at"),
         *text,
@@ -89,8 +96,9 @@ def upsert_versioned(
     fresh = versions.join(
         snapshots.select(*keys, "content_hash"), [*keys, "content_hash"], "left_anti"
     )
-    outcomes = merged.filter(arrived).select(*keys, "outcome")
-    return Upsert(table, fresh, outcomes)
+    untouched = current.join(batch.select(*keys), list(keys), "left_anti")
+    table = untouched.unionByName(delta, allowMissingColumns=True)
+    return Upsert(table, fresh, decided.select(*keys, "outcome"), delta)
 
 
 def with_canonical_key(df: DataFrame, title: str, employer: str, location: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vakanz.functions import text
 from vakanz.operators import lifecycle, listing, upsert
-from vakanz.operators.common import dedupe_first, dedupe_last, latest_per_key
+from vakanz.operators.common import dedupe_first, dedupe_last, latest_per_key, time_bucket
 from vakanz.plans.registry import query
 from vakanz.plans.text_queries import _HASH_SQL, _KEY_SQL, HASH_COLS
 from vakanz.plans.views import (
@@ -220,7 +220,7 @@ def dedupe_last_query(spark, d):
 def change_points(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
     rows = upsert.change_points(
-        e, ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts")
+        e, ["user_id"], ["ts", "event_id"], "event_type", time_bucket("ts")
     )
     return rows.select("user_id", "event_id", "previous_value")
 

@@ -9,52 +9,79 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vakanz.operators.common import dedupe_first
 from vakanz.operators.upsert import upsert_versioned
 
 
 class VersionedTable:
-    """``root/v-*`` hold data, ``root/manifest`` names the visible version per partition."""
+    """``root/v-*`` hold data, ``root/manifest`` lists the visible folders.
 
-    def __init__(self, spark: SparkSession, root: str):
+    A ``base`` folder is a whole table. A ``delta`` folder holds the rows one batch touched;
+    readers take the newest row per key over the last base and the deltas after it, and
+    ``compact`` turns them into a new base.
+    """
+
+    MANIFEST = "version long, folder string, kind string, note string"
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ()):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keys = list(keys)
 
     def _manifest(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return self.spark.read.json(path.toString(), schema="version long, folder string, note string") if fs.exists(path) else None
-
-    def current(self) -> tuple[int, str | None]:
-        """Newest version number and its folder; one manifest row per commit is read."""
-        manifest = self._manifest()
-        if manifest is None:
-            return 0, None
-        row = manifest.orderBy(F.col("version").desc(), F.col("folder")).first()
-        return (row.version, row.folder) if row else (0, None)
+        path = f"{self.root}/manifest"
+        if not path_exists(self.spark, path):
+            return None
+        return self.spark.read.json(path, schema=self.MANIFEST)
 
     def has_note(self, note: str) -> bool:
         manifest = self._manifest()
         return manifest is not None and not manifest.filter(F.col("note") == note).isEmpty()
 
+    def visible(self) -> list[tuple[int, str]]:
+        """Newest base folder and the deltas after it; one small manifest row per commit."""
+        manifest = self._manifest()
+        if manifest is None:
+            return []
+        base = manifest.filter("kind = 'base'").agg(F.max("version")).scalar()
+        rows = manifest.filter(F.col("version") >= F.coalesce(base, F.lit(0)))
+        return [(r.version, r.folder) for r in rows.orderBy("version").collect()]
+
+    def current(self) -> tuple[int, str | None]:
+        folders = self.visible()
+        return folders[-1] if folders else (0, None)
+
     def read(self) -> DataFrame | None:
-        _, folder = self.current()
-        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
+        """The table as of the last commit."""
+        folders = self.visible()
+        if not folders:
+            return None
+        if len(folders) == 1:
+            return self.spark.read.parquet(f"{self.root}/{folders[0][1]}")
+        parts = [
+            self.spark.read.parquet(f"{self.root}/{f}").withColumn("_version", F.lit(v))
+            for v, f in folders
+        ]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return dedupe_first(rows, self.keys, [F.col("_version").desc()]).drop("_version")
 
     def write_version(self, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
         folder = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{folder}")
         return folder
 
-    def publish(self, folder: str, note: str = "") -> int:
-        """Make a written version visible: one appended row."""
+    def publish(self, folder: str, note: str = "", kind: str = "base") -> int:
+        """Make a written folder visible: one appended manifest row."""
         version, _ = self.current()
         row = self.spark.range(1).select(
             F.lit(version + 1).cast("long").alias("version"),
             F.lit(folder).alias("folder"),
+            F.lit(kind).alias("kind"),
             F.lit(note).alias("note"),
         )
         row.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
@@ -63,6 +90,19 @@ class VersionedTable:
     def replace(self, df: DataFrame, note: str = "", partition_by: Sequence[str] = ()) -> int:
         return self.publish(self.write_version(df, partition_by), note)
 
+    def append(self, delta: DataFrame, note: str = "") -> int:
+        """Publish the rows of one batch; the first commit of a table is its base."""
+        kind = "delta" if self.current()[1] else "base"
+        return self.publish(self.write_version(delta), note, kind)
+
+    def compact(self, note: str = "compacted") -> int:
+        return self.replace(self.read(), note)
+
+
+def path_exists(spark: SparkSession, location: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
 
 def read_table(
     spark: SparkSession, path: str, schema: str | None = None, merge: bool = False
@@ -96,34 +136,38 @@ def apply_upsert(
 ) -> DataFrame:
     """Merge a batch into stored tables and return its outcomes.
 
-    The batch is written once as a staging version, so that the three results do not read the
-    landing files again. Snapshots are appended before the postings become visible; since a
-    snapshot is only added when its (key, hash) is unseen, a repeated run adds nothing twice.
+    The batch is written once as staging data, so the results do not read the landing files
+    again, and only the rows it touches are written. Snapshots are appended before the
+    postings become visible; a snapshot is only added when its (key, hash) is unseen, so a
+    repeated run adds nothing twice. A batch whose note is already listed returns no outcomes.
     """
     spark = postings.spark
+    postings.keys = postings.keys or list(keys)
     staged = postings.write_version(incoming)
     batch = spark.read.parquet(f"{postings.root}/{staged}")
     current = postings.read()
     if current is None:
         empty = batch.limit(0).withColumn("content_hash", F.lit(None).cast("string"))
         current = empty.withColumn("last_seen_at", now)
-    snapshot_schema = (
+    schema = (
         ", ".join(f"{k} {batch.schema[k].dataType.simpleString()}" for k in keys)
         + ", content_hash string, change_kind string, fetched_at "
         + batch.select(now.alias("n")).schema["n"].dataType.simpleString()
         + ", cleaned_text string"
     )
-    path = spark._jvm.org.apache.hadoop.fs.Path(snapshots_path)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(path):
-        known = spark.read.schema(snapshot_schema).parquet(snapshots_path)
+    if path_exists(spark, snapshots_path):
+        known = spark.read.schema(schema).parquet(snapshots_path)
     else:
-        known = spark.createDataFrame([], snapshot_schema)
+        known = spark.createDataFrame([], schema)
     result = upsert_versioned(
         current, known, batch, keys=keys, hash_cols=hash_cols, now=now, text_col=text_col
     )
-    folder = postings.write_version(result.current)
     outcomes = postings.write_version(result.outcomes)
-    result.new_snapshots.write.mode("append").parquet(snapshots_path)
-    postings.publish(folder, note)
-    return spark.read.parquet(f"{postings.root}/{outcomes}")
+    done = bool(note) and postings.has_note(note)
+    if not done:
+        folder = postings.write_version(result.delta)
+        result.new_snapshots.write.mode("append").parquet(snapshots_path)
+        kind = "delta" if postings.current()[1] else "base"
+        postings.publish(folder, note, kind)
+    merged = spark.read.parquet(f"{postings.root}/{outcomes}")
+    return merged.limit(0) if done else merged

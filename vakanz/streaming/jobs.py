@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from vakanz.operators.common import lag_by_bucket
+from vakanz.operators.common import lag_by_bucket, time_bucket
 from vakanz.sources.landing import Spec, normalize_payload, to_posting
 from vakanz.sources.tables import VersionedTable, apply_upsert
 
@@ -128,10 +128,10 @@ def fold_failures(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 def changes_in(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Rows of a batch whose value differs from the one before, across batches.
 
-    ``batch``: key, value, at, tie. Inside the batch the value before comes from day-wise
+    ``batch``: key, value, at, tie. Inside the batch the value before comes from hourly
     windows; the first row of a key is compared with the stored last value.
     """
-    rows = lag_by_bucket(batch, ["key"], ["at", "tie"], F.to_date("at"), {"value": "previous"})
+    rows = lag_by_bucket(batch, ["key"], ["at", "tie"], time_bucket("at"), {"value": "previous"})
     before = F.col("previous")
     if state is not None:
         rows = rows.join(state.select("key", F.col("value").alias("_stored")), "key", "left")
