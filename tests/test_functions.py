@@ -213,3 +213,45 @@ def test_titles(spark):
     assert evaluate(spark, pages.generic_title, " Careers - ") is True
     assert evaluate(spark, pages.heading_title, "x\n# Office  Manager \n") == "Office Manager"
     assert evaluate(spark, pages.title_from_url, "https://a.de/jobs/office-manager_x") == "Office Manager X"
+
+
+def pack(source, maximum=520):
+    """Plain packing of sentences, written for comparison only."""
+    import re
+
+    chunks, current = [], ""
+    for sentence in re.split(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ0-9])", source):
+        words, pieces, line = sentence.split(" "), [], ""
+        if len(sentence) <= maximum:
+            pieces = [sentence]
+        else:
+            for word in words:
+                while len(word) > maximum and not line:
+                    pieces, word = [*pieces, word[:maximum]], word[maximum:]
+                if line and len(line) + 1 + len(word) > maximum:
+                    pieces, line = [*pieces, line], word
+                else:
+                    line = f"{line} {word}".strip()
+            pieces = [*pieces, line] if line else pieces
+        for i, piece in enumerate(pieces):
+            cut = len(pieces) > 1
+            joined = f"{current} {piece}".strip()
+            if current and (cut or len(joined) > maximum):
+                chunks.append(current)
+                current = piece
+            else:
+                current = joined
+    return [*chunks, current] if current else chunks
+
+
+def test_text_chunks_equal_plain_packing(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 400))]
+        texts.append(" ".join(w.capitalize() + "." if rng.random() < rng.choice((0.02, 0.2)) else w for w in words))
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.c for r in df.select(text.text_chunks(F.col("v")).alias("c")).collect()]
+    assert got == [pack(t) for t in texts]

@@ -96,6 +96,72 @@ def parse_targets(sources: DataFrame, source_key: str = "source_id", metadata: s
     ).filter(F.col("target_url").isNotNull())
 
 
+RESULTS = (
+    "array<struct<target:string,status:string,error:string,records_emitted:bigint,"
+    "documents_seen:bigint,pages_rejected:bigint,duplicates_skipped:bigint,query_filtered:bigint,"
+    "page_error_count:bigint>>"
+)
+ERRORS = "array<struct<target:string,label:string,error:string>>"
+
+
+def run_target_results(
+    runs: DataFrame, targets: DataFrame, *, source_key: str = "source_id"
+) -> DataFrame:
+    """Target results of finished runs, read from their JSON details, for ``target_report``.
+
+    A run that lists no targets but started all of them stands for every target of its source:
+    failed where its errors name the target, completed elsewhere. Of these runs only the newest
+    per source can decide anything, since it covers all targets. ``runs``: source, run_id,
+    run_at, details.
+    """
+
+    def part(path: str) -> Column:
+        return F.get_json_object("details", f"$.connector.{path}")
+
+    read = runs.select(
+        source_key,
+        "run_id",
+        "run_at",
+        F.from_json(part("target_results"), RESULTS).alias("_results"),
+        F.from_json(part("target_errors"), ERRORS).alias("_errors"),
+        part("targets_started").try_cast("int").alias("_started"),
+    )
+    opened = open_array(read, [source_key, "run_id", "run_at"], F.col("_results"), "_r")
+    own = opened.select(
+        source_key, "run_id", "run_at", F.lit(False).alias("fallback"),
+        F.trim("_r.target").alias("target_url"),
+        *[F.col(f"_r.{c}").alias(c) for c in RESULT_COLUMNS],
+    ).filter(F.coalesce(F.col("target_url"), F.lit("")) != "")
+
+    counts = targets.groupBy(source_key).agg(F.count("*").alias("_targets"))
+    whole = read.filter(F.coalesce(F.size("_results"), F.lit(0)) <= 0).join(counts, source_key)
+    whole = whole.filter(F.col("_started") >= F.col("_targets"))
+    newest = latest_per_key(whole, [source_key], ["run_id"])
+    errors = F.coalesce("_errors", F.array().cast(ERRORS))
+    hit = F.try_element_at(
+        F.filter(
+            errors,
+            lambda e: e["target"].eqNullSafe(F.col("target_url"))
+            | e["label"].eqNullSafe(F.col("target_label")),
+        ),
+        F.lit(1),
+    )
+    every = newest.join(targets, source_key).withColumn("_hit", hit)
+    fallback = every.select(
+        source_key, "run_id", "run_at", F.lit(True).alias("fallback"), "target_url",
+        F.when(F.col("_hit").isNull(), "completed").otherwise("failed").alias("status"),
+        F.col("_hit.error").alias("error"),
+        *[F.lit(None).cast("bigint").alias(c) for c in RESULT_COLUMNS[2:]],
+    )
+    return own.unionByName(fallback)
+
+
+RESULT_COLUMNS = (
+    "status", "error", "records_emitted", "documents_seen", "pages_rejected",
+    "duplicates_skipped", "query_filtered", "page_error_count",
+)
+
+
 def target_report(
     targets: DataFrame,
     postings: DataFrame,

@@ -158,7 +158,10 @@ def discover_details(spark, d):
     return pages.discover_details(p, seen, strong_paths=_STRONG)
 
 
-@query("jsonld_posting")
+@query(
+    "jsonld_posting",
+    "SELECT page_id, CAST(page_id AS VARCHAR) AS identifier FROM pages WHERE page_id % 2 = 0",
+)
 def jsonld_posting(spark, d):
     """Every page wrapped with a JSON-LD block made from its own title and number."""
     p = table(spark, d, "pages")

@@ -206,6 +206,39 @@ def target_report(spark, d):
     return treport(spark, d).select(*_TR)
 
 
+@query(
+    "run_target_results",
+    """WITH t AS (SELECT DISTINCT user_id % 4 AS source_id, concat('u', CAST(user_id % 12 AS VARCHAR)) AS target_url FROM events),
+       r AS (SELECT event_id AS run_id, user_id % 4 AS source_id, user_id, event_type FROM events WHERE event_type IN ('view', 'click', 'error')),
+       own AS (SELECT source_id, run_id, false AS fallback, concat('u', CAST(user_id % 12 AS VARCHAR)) AS target_url, 'completed' AS status, NULL AS error FROM r WHERE event_type = 'view'),
+       f AS (SELECT source_id, max(run_id) AS run_id, arg_max(user_id, run_id) AS user_id FROM r WHERE event_type = 'click' GROUP BY source_id)
+       SELECT * FROM own UNION ALL SELECT f.source_id, run_id, true, t.target_url, CASE WHEN t.target_url = concat('u', CAST(f.user_id % 12 AS VARCHAR)) THEN 'failed' ELSE 'completed' END,
+         CASE WHEN t.target_url = concat('u', CAST(f.user_id % 12 AS VARCHAR)) THEN 'boom' END FROM f JOIN t ON t.source_id = f.source_id""",
+)
+def run_target_results(spark, d):
+    """A run lists its target, or starts all targets with one error, or starts too few."""
+    e = table(spark, d, "events")
+    url = F.concat(F.lit("u"), (F.col("user_id") % 12).cast("string"))
+    targets = e.select((F.col("user_id") % 4).alias("source_id"), url.alias("target_url")).distinct()
+    targets = targets.withColumn("target_label", F.concat(F.lit("label "), "target_url"))
+    listed = F.concat(
+        F.lit('{"connector":{"target_results":[{"target":"'), url, F.lit('","status":"completed"}]}}')
+    )
+    started = F.concat(
+        F.lit('{"connector":{"targets_started":12,"target_errors":[{"target":"'), url,
+        F.lit('","error":"boom"}]}}'),
+    )
+    few = F.lit('{"connector":{"targets_started":1}}')
+    kind = F.col("event_type")
+    runs = e.filter(kind.isin("view", "click", "error")).select(
+        (F.col("user_id") % 4).alias("source_id"), F.col("event_id").alias("run_id"),
+        F.col("ts").alias("run_at"),
+        F.when(kind == "view", listed).when(kind == "click", started).otherwise(few).alias("details"),
+    )
+    rows = reports.run_target_results(runs, targets)
+    return rows.select("source_id", "run_id", "fallback", "target_url", "status", "error")
+
+
 # --- sources --------------------------------------------------------------------------------
 
 SOURCES_SQL = """

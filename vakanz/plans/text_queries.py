@@ -220,7 +220,20 @@ def contact_extract(spark, d):
     return contacts(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "email")
 
 
-@query("contact_phones")
+_PHONE = r"(?:^|[^\p{L}\p{N}_])((?:(?:\+|00)[0-9]{1,3}[\s./()\-]*)?(?:[0-9][\s./()\-]*){7,15})"
+
+
+@query(
+    "contact_phones",
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+      k AS (SELECT * FROM l WHERE NOT (regexp_matches(line, '(?:^|[^\p{{L}}\p{{N}}_])[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}(?:$|[^\p{{L}}\p{{N}}_])') AND regexp_matches(line, '(?i)geb|birth'))),
+      p AS (SELECT doc_id, pos, regexp_matches(line, '(?i)(?:^|[^a-z0-9_])(?:tel|telefon|mobil|mobile|phone)(?:$|[^a-z0-9_])') AS labelled,
+        unnest(regexp_extract_all(line, '{_PHONE}', 1)) AS v, generate_subscripts(regexp_extract_all(line, '{_PHONE}', 1), 1) AS n FROM k),
+      c AS (SELECT *, regexp_replace(v, '^[ .,/()\-]+|[ .,/()\-]+$', '', 'g') AS phone FROM p),
+      r AS (SELECT doc_id, phone, row_number() OVER (PARTITION BY doc_id ORDER BY labelled DESC, pos, n) AS rn FROM c
+        WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)
+      SELECT doc_id, phone FROM r WHERE rn = 1""",
+)
 def contact_phones(spark, d):
     from vakanz.operators.profiles import contacts
 
