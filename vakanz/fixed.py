@@ -585,3 +585,67 @@ WORKING_TIME_FLAGS = (
     ("istGeringfuegigeBeschaeftigung", "MINIJOB"),
 )
 NO_ANSWER = ("keine_angabe", "keine_angaben", "nicht_bekannt")
+
+# --- fixed values: work modes and language names in scores -------------------------------
+REMOTE_MODES = ("remote", "fully remote", "vollständig remote")
+LANGUAGE_ALIASES = {"deutsch": "de", "german": "de", "englisch": "en", "english": "en"}
+
+# --- fixed values: preference fields that change what is collected -----------------------
+COVERAGE_FIELDS = (
+    "preferred_states",
+    "include_germany_remote",
+    "primary_role_terms",
+    "additional_role_terms",
+)
+
+# --- fixed values: words that mark a role, forms that mark a company ---------------------
+ROLE_WORDS = (
+    "assistenz",
+    "assistant",
+    "referent",
+    "manager",
+    "coordinator",
+    "koordinator",
+    "sachbearbeit",
+    "specialist",
+    "consultant",
+    "controller",
+    "administrator",
+    "secretary",
+    "sekretär",
+    "sekretaer",
+    "chief of staff",
+    "director",
+    "head of",
+    "team lead",
+    "teamleit",
+    "projektleit",
+    "project lead",
+    "office management",
+    "operations",
+    "analyst",
+    "advisor",
+    "officer",
+)
+COMPANY_WORDS = (
+    "gmbh",
+    "ag",
+    "kg",
+    "se",
+    "ug",
+    "holding",
+    "gruppe",
+    "group",
+    "company",
+    "unternehmen",
+    "e.v.",
+    "ltd",
+    "limited",
+    "llc",
+    "inc",
+    "incorporated",
+    "corp",
+    "corporation",
+    "plc",
+    "partners",
+)

@@ -169,10 +169,6 @@ def rubric_score(
 
 # --- fit score ---------------------------------------------------------------------------
 
-REMOTE_MODES = ("remote", "fully remote", "vollständig remote")
-LANGUAGE_ALIASES = {"deutsch": "de", "german": "de", "englisch": "en", "english": "en"}
-
-
 @dataclass(frozen=True)
 class Profile:
     """What a posting is compared with: confirmed skills and preferences."""
@@ -301,7 +297,7 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
 
     spoken, language = _set(profile.languages), normalize_text(col("language"))
     alias = language
-    for long, short in LANGUAGE_ALIASES.items():
+    for long, short in fixed.LANGUAGE_ALIASES.items():
         alias = F.when(language == long, F.lit(short)).otherwise(alias)
     fits = language.isin(*spoken) | alias.isin(*spoken) if spoken else F.lit(False)
     dims.append(
@@ -317,7 +313,7 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
         return max(0.0, min(1.0, default if value is None else value))
 
     weight = (
-        F.when(mode.isin(*REMOTE_MODES), F.lit(weight_of(profile.remote_weight, 0.2)))
+        F.when(mode.isin(*fixed.REMOTE_MODES), F.lit(weight_of(profile.remote_weight, 0.2)))
         .when(mode == "hybrid", F.lit(weight_of(profile.hybrid_weight, 0.55)))
         .otherwise(F.lit(weight_of(profile.onsite_weight, 1.0)))
     )
@@ -337,7 +333,7 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     start = profile.commute_penalty_minutes or 60
     limit = max(start, profile.max_commute_minutes or 75)
     minutes = col("commute_minutes", "bigint").cast("bigint")
-    commutes = has & minutes.isNotNull() & ~mode.isin(*REMOTE_MODES)
+    commutes = has & minutes.isNotNull() & ~mode.isin(*fixed.REMOTE_MODES)
     dims.append(
         Dimension(
             "commute",
