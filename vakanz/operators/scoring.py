@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 
 from vakanz import fixed
 from vakanz.functions.parse import coerce_list, first_number
-from vakanz.functions.text import (
-    contains_any,
-    matching_terms,
-    normalize_text,
-    py_normalize,
-)
+from vakanz.functions.text import matching_terms, normalize_text, py_normalize
 
 REASON = (
     "struct<code:string,label:string,effect:string,points:double,possible_points:double,"
@@ -515,9 +510,3 @@ def evaluate(
 def half_up(value: float, digits: int = 1) -> float:
     """The rounding rule of the engine for driver-side constants."""
     return float(Decimal(str(value)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
-
-
-__all__ = [
-    "DEFAULT_RUBRIC", "Dimension", "Group", "Profile", "Rubric", "contains_any", "evaluate",
-    "fit_dimensions", "fit_score", "half_up", "reason", "rubric_score", "structured_columns",
-]

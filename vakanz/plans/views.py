@@ -7,7 +7,6 @@ stay zone-free as in the files, so results do not depend on the session's zone.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vakanz import fixed
 from vakanz.operators.scoring import Group, Rubric
