@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vakanz.llm import exact_dedup, mixing, quality_rules, url_filter
-from vakanz.llm.common import table
+from vakanz.llm import chat, exact_dedup, mixing, quality_rules, token_blocks, url_filter
+from vakanz.llm.common import stage, table
 from vakanz.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 # Fixed values of the URL query.
@@ -59,3 +59,20 @@ def op10(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "ratio")
+
+
+@query("op3_token_blocks")
+def op3(spark, sf_dir):
+    import public_tokenizers
+
+    return token_blocks.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+EXTRA_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op5_chat_format")
+def op5(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.digests(stage(chat.format_windows(rows.unionByName(extra))))
