@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vakanz.llm import chat, exact_dedup, mixing, quality_rules, token_blocks, url_filter
+from vakanz.llm import chat, exact_dedup, mixing, quality_rules, token_blocks, toxicity, url_filter
 from vakanz.llm.common import stage, table
+from vakanz.llm.labelled import fold_of
 from vakanz.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 # Fixed values of the URL query.
@@ -76,3 +77,11 @@ def op5(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string")
     return chat.digests(stage(chat.format_windows(rows.unionByName(extra))))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").filter(fold_of(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), known)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
