@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vakanz.llm import chat, exact_dedup, mixing, quality_rules, token_blocks, toxicity, url_filter
+from vakanz.llm import (
+    chat, exact_dedup, mixing, quality_model, quality_rules, token_blocks, toxicity, url_filter,
+)
 from vakanz.llm.common import stage, table
 from vakanz.llm.labelled import fold_of
 from vakanz.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -85,3 +87,11 @@ def op4(spark, sf_dir):
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), known)
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_quality_model")
+def op2(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").filter(fold_of(F.col("doc_id"), 4) != 2)
+    scored = quality_model.score_quality(table(spark, sf_dir, "documents"), known)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
