@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vakanz.llm import (
-    chat, exact_dedup, mixing, quality_model, quality_rules, token_blocks, toxicity, url_filter,
+    chat, exact_dedup, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity, url_filter,
 )
 from vakanz.llm.common import stage, table
 from vakanz.llm.labelled import fold_of
@@ -95,3 +95,8 @@ def op2(spark, sf_dir):
     scored = quality_model.score_quality(table(spark, sf_dir, "documents"), known)
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_near_dup")
+def op9(spark, sf_dir):
+    return near_dup.near_components(table(spark, sf_dir, "documents"), words=4, percent=80)
