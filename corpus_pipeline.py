@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import exact_dedup, mixing, quality_rules
+from vakanz.llm import best_fit, exact_dedup, mixing, near_dup, quality_rules
 from vakanz.llm.common import stage, table
 
 ORACLE_SQL = None
@@ -25,7 +25,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents once per pass of the mix; every source near its target."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words: bin, doc_ids, n_words, text. Copies the mix made never share a bin."""
+    return best_fit.pack_texts(docs)
+
+
+STAGES = [
+    ("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("source mix", mixed),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

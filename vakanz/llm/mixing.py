@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import n_words, stage
+from vakanz.llm.common import SPACE, WORD, n_words, stage
 
 CHUNK = 1 << 16  # slots ranked together
 CELLS = 1 << 12  # cells of [0, 1) by which a point finds its source
@@ -149,3 +149,43 @@ def taken_words(parts: DataFrame, placed: DataFrame, goal: DataFrame) -> DataFra
     named = goal.select(F.col("source").alias("g"), "source_size", "target")
     return rows.join(named, F.col("source").eqNullSafe(F.col("g"))).select(
         "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "start")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it was."""
+    words, gaps = F.split(text, SPACE), F.split(text, WORD)
+    # one of the two begins the text; the other then begins with an empty string
+    lead = F.when(F.get(words, F.lit(0)) == "", F.lit(1)).otherwise(F.lit(0))
+    pieces = F.zip_with(F.slice(words, lead + 1, n.cast("int")), F.slice(gaps, 1, n.cast("int")), lambda w, g: F.concat(g, w))
+    return F.array_join(pieces, "")
+
+
+def mixed_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options,
+) -> DataFrame:
+    """The mix as rows of ``docs``: a document once per whole pass that takes it.
+
+    Where a source's target ends inside a document, that pass gives its words up to there. Rows of
+    size 0 are in no mix. Rows that agree in id and source are told apart by their place, so
+    each gets its own passes.
+    """
+    parts, placed, goal = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken_words(parts, placed, goal).filter("taken > 0").select("doc_id", "source", "size", "taken", "start")
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("start")
+    taken = stage(taken.withColumn("copy", F.row_number().over(same)))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("src"),
+        n_words(F.col(text_col)).alias("words"))
+    repeated = taken.filter("copy > 1").select("doc_id").distinct()
+    key = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    if not repeated.isEmpty():
+        again = Window.partitionBy("id", "src", "words").orderBy("id")
+        rows = rows.withColumn("nth", F.row_number().over(again))
+        key = key & (F.col("nth") == F.col("copy"))
+    got = rows.join(taken, key)
+    got = got.withColumn("left", F.explode(F.sequence(F.col("taken"), F.lit(1).cast("long"), -F.col("size"))))
+    whole = F.col("left") >= F.col("size")
+    out = got.withColumn("text_", F.when(whole, F.col(f"row.{text_col}")).otherwise(
+        first_words(F.col(f"row.{text_col}"), F.col("left"))))
+    return out.select(*[
+        F.col("text_").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

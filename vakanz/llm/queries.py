@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vakanz.llm import (
-    chat, exact_dedup, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity, url_filter,
+    best_fit, chat, exact_dedup, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity, url_filter,
 )
 from vakanz.llm.common import stage, table
 from vakanz.llm.labelled import fold_of
@@ -100,3 +100,9 @@ def op2(spark, sf_dir):
 @query("op9_near_dup")
 def op9(spark, sf_dir):
     return near_dup.near_components(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op6_best_fit")
+def op6(spark, sf_dir):
+    # equal texts are one duplicate cluster
+    return best_fit.pack(table(spark, sf_dir, "documents"), cluster=exact_dedup.content_of(F.col("text")))
