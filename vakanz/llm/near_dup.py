@@ -259,6 +259,12 @@ def near_components(
     texts = stage(rows.join(members.select("node").distinct(), "node"))
     first = likely.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     edges = links(first, texts, words, percent)
+    # an id with several texts is one document: its nodes are linked
+    several = in_graph.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x <> y")
+    if not several.isEmpty():
+        own = in_graph.join(several.select("doc_id"), "doc_id").join(nodes, ["n", "d1", "d2"]).select(
+            F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+        edges = edges.union(own)
     labels = components(edges)
     more = stage(_with_labels(likely, labels, "a", "b").filter("comp_a <> comp_b").join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
