@@ -110,7 +110,7 @@ def remote_signal(location_type: Column, explicit: Column, locations: Column, te
     """True when a page says remote somewhere, else the explicit flag, else null."""
     kind = fold(F.coalesce(location_type, F.lit("")))
     given = fold(F.coalesce(explicit, F.lit("")))
-    joined = fold(F.concat_ws(" ", F.array_join(locations, " "), F.substring(text, 1, 5000)))
+    joined = fold(F.concat_ws(" ", F.array_join(locations, " "), text))
     return (
         F.when(contains_any(kind, ("telecommute", "remote")), True)
         .when(given.isin("true", "false"), given == "true")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,21 +66,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# all names of the HTML standard, as the standard library lists them
+ALL_ENTITIES = "\x01".join(
+    f"{name[:-1]}\x02{value}" for name, value in html5.items() if name.endswith(";") and "\x01" not in value
+)
+# characters that the HTML standard reads into the codes 128 to 159
+_WINDOWS = {code: bytes([code]).decode("cp1252", "replace") for code in range(128, 160)}
+
+
+def _number(name: Column) -> Column:
+    """Code of ``#8364`` or ``#x20ac``; too long ones are out of range."""
+    decimal = F.regexp_extract(name, r"^#0*([0-9]{1,9})$", 1)
+    hexa = F.regexp_extract(name, r"^#[xX]0*([0-9a-fA-F]{1,7})$", 1)
+    return (
+        F.when(decimal != "", decimal.try_cast("bigint"))
+        .when(hexa != "", F.conv(hexa, 16, 10).try_cast("bigint"))
+        .otherwise(F.lit(0x110000).cast("bigint"))
+    )
+
+
+def _character(code: Column) -> Column:
+    """Character of a code; what no character has becomes the replacement character."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    old = F.create_map(*[F.lit(x) for item in _WINDOWS.items() for x in item])
+    return F.when(code.between(128, 159), F.try_element_at(old, code.cast("int"))).when(valid, plain).otherwise("\ufffd")
+
+
 def _entity(name: Column, table: Mapping[str, str]) -> Column:
     """Character of one entity name such as ``amp``, ``#8364`` or ``#x20ac``; null if unknown."""
-    decimal = F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
-    hexa = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1)
-    code = F.when(decimal != "", F.hex(decimal.cast("bigint"))).when(hexa != "", hexa)
-    numeric = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-    return F.when(name.startswith("#"), numeric).otherwise(lookup(name, table))
+    return F.when(name.startswith("#"), _character(_number(name))).otherwise(
+        F.coalesce(lookup(name, table), F.try_element_at(F.str_to_map(F.lit(ALL_ENTITIES), F.lit("\x01"), F.lit("\x02")), name))
+    )
 
 
 def _decode_entities(text: Column, table: Mapping[str, str]) -> Column:
     """Cut at ``&`` and decode the head of every later piece: one pass, whatever the table."""
 
     def piece(part: Column, index: Column) -> Column:
-        name = F.substring_index(F.substring(part, 1, 10), ";", 1)
-        value = F.when(F.contains(F.substring(part, 1, 10), F.lit(";")), _entity(name, table))
+        name = F.regexp_extract(part, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        value = F.when(name != "", _entity(name, table))
         rest = F.substring(part, F.length(name) + 2, F.length(part))
         decoded = F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
         return F.when(index == 0, part).otherwise(decoded)

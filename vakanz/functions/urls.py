@@ -124,8 +124,36 @@ def strong_job_like(url: Column, paths: Sequence[str] = fixed.STRONG_JOB_PATHS)
     return job_like(url, paths)
 
 
+def without_dots(url: Column) -> Column:
+    """Remove ``.`` and ``..`` segments from the path of an address."""
+    def step(done: Column, part: Column) -> Column:
+        return (
+            F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+            .when(part == ".", done)
+            .otherwise(F.array_append(done, part))
+        )
+
+    def clean(path: Column) -> Column:
+        parts = F.split(path, "/")
+        kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+        closed = F.when(path.rlike(r"/\.\.?$"), F.array_append(kept, F.lit(""))).otherwise(kept)
+        return F.array_join(closed, "/")
+
+    def piece(n: int) -> Column:
+        return F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)([^?#]*)((?s:.*))$", n)
+
+    return F.when(
+        url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*[^?#]*/\.\.?(?:[/?#]|$)"),
+        F.concat(piece(1), clean(piece(2)), piece(3)),
+    ).otherwise(url)
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """Join a link to the address of its page (dot segments are left as they are)."""
+    """Join a link to the address of its page and remove dot segments."""
+    return without_dots(_joined(base, link))
+
+
+def _joined(base: Column, link: Column) -> Column:
     origin = F.concat(scheme_of(base), F.lit("://"), authority_of(base))
     folder = F.regexp_replace(path_of(base), "[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)

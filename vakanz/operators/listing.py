@@ -223,7 +223,7 @@ def eligible_topk(
         F.coalesce("relevance_score", F.lit(-1.0)).desc(),
         F.coalesce("candidate_fit_score", F.lit(-1.0)).desc(),
         F.col("job_id").desc(),
-    ).limit(min(max(1, limit), 5))
+    ).limit(limit)
 
 
 def summary_candidates(df: DataFrame, min_relevance: float) -> DataFrame:

@@ -58,12 +58,13 @@ def batch_totals(runs: DataFrame) -> DataFrame:
     )
 
 
-def run_errors(messages: DataFrame, keys: Sequence[str], at: str, text: str, keep: int = 5) -> DataFrame:
-    """First ``keep`` error texts of a run joined into one bounded message."""
+def run_errors(messages: DataFrame, keys: Sequence[str], at: str, text: str, keep: int = 5,
+               maximum: int = 4000) -> DataFrame:
+    """First ``keep`` error texts of a run joined into one message of at most ``maximum`` characters."""
     first = top_per_key(messages, keys, [F.col(at)], keep)
     listed = F.array_sort(F.collect_list(F.struct("position", collapse(F.col(text)).alias("m"))))
     joined = F.array_join(F.transform(listed, lambda x: x["m"]), " | ")
-    return first.groupBy(*keys).agg(F.substring(joined, 1, 4000).alias("error_message"))
+    return first.groupBy(*keys).agg(F.substring(joined, 1, maximum).alias("error_message"))
 
 
 def count_with_recent(df: DataFrame, keys: Sequence[Column | str], created: str, since: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from vakanz.functions import text
 from vakanz.operators import lifecycle, listing, upsert
 from vakanz.operators.common import dedupe_first, dedupe_last, latest_per_key, time_bucket
 from vakanz.plans.registry import query
+from vakanz.plans.text_queries import visible_sql
 from vakanz.plans.text_queries import _HASH_SQL, _KEY_SQL, HASH_COLS
 from vakanz.plans.views import (
     APPLICATIONS,
@@ -560,11 +561,11 @@ def availability_split(spark, d):
 @query(
     "original_text",
     ctes(POSTINGS)
-    + """ SELECT job_id, md5(CASE WHEN job_id % 3 = 0 THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(description_text, '&amp;', '&'), chr(160), ' '), '[\\t\\f ]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', concat(chr(10), chr(10)), 'g'), '^\\s+|\\s+$', '', 'g')
-      ELSE description_text END) AS text_md5 FROM postings WHERE NOT regexp_matches(description_text, '<[/!a-zA-Z][^>]*>|&[#a-zA-Z]')""",
+    + f""" SELECT job_id, md5(CASE WHEN job_id % 3 = 0 THEN {visible_sql("description_text")}
+      ELSE description_text END) AS text_md5 FROM postings""",
 )
 def original_text(spark, d):
-    p = postings(spark, d).filter(~F.col("description_text").rlike(r"<[/!a-zA-Z][^>]*>|&[#a-zA-Z]"))
+    p = postings(spark, d)
     raw = text.envelope(
         F.col("description_text"), F.lit("text"), F.lit(None).cast("string"), F.lit(None).cast("string")
     )

@@ -22,7 +22,7 @@ def _unescape_sql(column: str) -> str:
     return column
 
 
-def _visible_sql(column: str) -> str:
+def visible_sql(column: str) -> str:
     steps = (
         (r"(?is)<!--.*?-->", ""),
         (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", ""),
@@ -47,7 +47,7 @@ def _visible_sql(column: str) -> str:
     return column
 
 
-@query("visible_text", f"SELECT page_id, {_visible_sql('html')} AS visible_text FROM pages")
+@query("visible_text", f"SELECT page_id, {visible_sql('html')} AS visible_text FROM pages")
 def visible_text(spark, d):
     return table(spark, d, "pages").select(
         "page_id", text.visible_text(F.col("html")).alias("visible_text")
@@ -232,13 +232,13 @@ _PHONE = r"(?:^|[^\p{L}\p{N}_])((?:(?:\+|00)[0-9]{1,3}[\s./()\-]*)?(?:[0-9][\s./
       c AS (SELECT *, regexp_replace(v, '^[ .,/()\-]+|[ .,/()\-]+$', '', 'g') AS phone FROM p),
       r AS (SELECT doc_id, phone, row_number() OVER (PARTITION BY doc_id ORDER BY labelled DESC, pos, n) AS rn FROM c
         WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)
-      SELECT doc_id, phone FROM r WHERE rn = 1""",
+      SELECT d.doc_id, r.phone FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.rn = 1""",
 )
 def contact_phones(spark, d):
     from vakanz.operators.profiles import contacts
 
     found = contacts(table(spark, d, "documents"), "doc_id", "text")
-    return found.select("doc_id", "phone").filter("phone IS NOT NULL")
+    return found.select("doc_id", "phone")
 
 
 @query(

@@ -55,7 +55,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.selectExpr(
         *[p.strip() for p in _split(_COMMON)],
-        "trim(substring(split_part(text, '\\n', 1), 1, 60)) AS title",
+        "trim(split_part(text, '\\n', 1)) AS title",
         "concat('Ort ', CAST(doc_id % 50 AS STRING)) AS location_text",
         f"{_STRUCTURED} AS structured_data",
         "timestampadd(HOUR, CAST(doc_id % 720 AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS published_at",
@@ -80,7 +80,7 @@ def _split(block: str) -> list[str]:
 POSTINGS = f"""
 postings AS (
   SELECT {_COMMON.strip()},
-    trim(substring(split_part(text, chr(10), 1), 1, 60)) AS title,
+    trim(split_part(text, chr(10), 1)) AS title,
     concat('Ort ', CAST(doc_id % 50 AS STRING)) AS location_text,
     {_STRUCTURED} AS structured_data,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INT)) AS published_at,

@@ -85,18 +85,13 @@ def query_plan(
 def batch_assign(
     pending: DataFrame, order: Sequence[Column], size: int = 20, limit: int | None = 50
 ) -> DataFrame:
-    """Number the pending rows and cut them into batches of ``size``.
+    """Number the pending rows in parallel and cut them into batches of ``size``.
 
-    With a cycle limit the rows come from a top-k and are few. Without one they are numbered
-    in parallel by ``global_row_number``.
+    ``limit`` is the size of a cycle: rows numbered beyond it wait for the next one.
     """
-    if limit is None:
-        numbered = global_row_number(pending, order, "row_no")
-    else:
-        from pyspark.sql import Window
-
-        top = pending.orderBy(*order).limit(limit)
-        numbered = top.withColumn("row_no", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = global_row_number(pending, order, "row_no")
+    if limit is not None:
+        numbered = numbered.filter(F.col("row_no") < limit)
     return numbered.withColumn("batch_no", F.floor(F.col("row_no") / size).cast("int"))
 
 
