@@ -287,6 +287,67 @@ def test_continuous_ingest_and_restart(spark, tmp_path):
     assert store.read().exceptAll(merged).count() == 0 and store.current()[0] == 3
 
 
+def test_two_streams_one_table(spark, tmp_path):
+    """Each stream has its own batches; neither takes the other's for its own."""
+    store = VersionedTable(spark, str(tmp_path / "postings"))
+    for name, spec, jobs_ in (
+        ("one", "arbeitnow", {"data": [{"slug": "a", "title": "A"}]}),
+        ("two", "lever", [{"id": "b", "text": "B"}]),
+        ("three", "arbeitnow", {"data": [{"slug": "c", "title": "C"}]}),
+    ):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "1.json").write_text(json.dumps({"payload": json.dumps(jobs_)}))
+        stream = jobs.read_landing(spark, str(folder), "payload string", fmt="json")
+        for _ in range(2):
+            jobs.continuous_ingest(
+                stream, SPECS[spec], store, str(tmp_path / "snap"), str(tmp_path / f"ckpt-{name}"),
+                F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'"), compact_after=2,
+            ).awaitTermination()
+    assert sorted(r.external_id for r in store.read().select("external_id").collect()) == ["a", "b", "c"]
+    held = {f for _, f in store.visible()}
+    gone = store.vacuum(hours=0)
+    assert gone and not held & set(gone) and store.read().count() == 3
+
+
+def test_concurrent_commits(spark, tmp_path):
+    """Two writers that saw the same version get two numbers; a base made from an old one is refused."""
+    from vakanz.sources.tables import ConcurrentCommit, create_once
+
+    store = VersionedTable(spark, str(tmp_path / "t"), keys=["k"])
+    frame = lambda *ks: spark.createDataFrame([(k, k) for k in ks], "k long, v long")
+    store.append(frame(1))
+    other = VersionedTable(spark, store.root, keys=["k"])
+    seen = store.current
+    store.current = lambda: (1, "stale") if not store.__dict__.pop("told", None) and store.__dict__.setdefault("told", 1) else seen()
+    other.append(frame(2))
+    assert store.append(frame(3)) == 3
+    assert sorted(r.k for r in other.read().collect()) == [1, 2, 3]
+    with pytest.raises(ConcurrentCommit):
+        other.replace(frame(9), after=2)
+    assert not create_once(spark, f"{store.root}/manifest/v-000000000003.json", "x")
+
+
+def test_stuck_run_behind_the_watermark(spark, tmp_path):
+    """A run whose rows come in the trigger in which its limit has passed is an error at once."""
+    schema = "run long, at timestamp, done boolean"
+    folder = str(tmp_path / "in")
+    day = lambda n, h=0: datetime(2026, 1, n, h)
+    for rows in ([(1, day(1), False)], [(9, day(20), True)], [(1, day(20), False)], [(9, day(20, 1), True)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.read_landing(spark, folder, schema, files_per_batch=1)
+    out = str(tmp_path / "out")
+
+    def sink(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    jobs.run_once(
+        jobs.stuck_runs(stream, "run", "at", F.col("done"), delay="26 hours"), sink, str(tmp_path / "c"), "update"
+    ).awaitTermination()
+    last = {r.run_id: r.state for r in spark.read.parquet(out).orderBy("batch").collect()}
+    assert last == {1: "error", 9: "finished"}
+
+
 def test_state_over_many_batches(spark, tmp_path):
     """Folding batch by batch gives the same as one batch over everything."""
     from pyspark.sql.types import StructType

@@ -94,6 +94,21 @@ def ingest_postings(spark, d):
     )
 
 
+@query(
+    "payload_quarantine",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'no list' ELSE 'unreadable' END AS reason
+       FROM documents WHERE doc_id % 5 IN (1, 2, 3)""",
+)
+def payload_quarantine(spark, d):
+    """Cut, foreign and missing payloads are kept with a reason; whole ones give no row."""
+    form = F.col("doc_id") % 5
+    whole = payloads(spark, d)
+    broken = whole.withColumn("payload", F.when(form == 1, F.expr("substring(payload, 1, length(payload) - 3)"))
+                              .when(form == 2, F.concat(F.lit('{"error":'), F.to_json(F.struct("doc_id")), F.lit("}")))
+                              .when(form != 3, F.col("payload")))
+    return landing.quarantine(broken, landing.SPECS["lever"]).select("doc_id", "reason")
+
+
 @query(
     "namespaced_ids",
     """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat(source, 60) ELSE source END AS board, CASE WHEN doc_id % 2 = 0 THEN repeat(CAST(doc_id AS VARCHAR), 30) ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents)

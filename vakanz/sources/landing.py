@@ -352,6 +352,32 @@ def normalize_payload(
     return split_valid(normalize_items(rows, spec))
 
 
+def quarantine(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
+    """Payloads that give no record, with a ``reason``, and records that the spec filters out.
+
+    Together with the two frames of :func:`normalize_payload` every payload and record is
+    accounted for: ``unreadable`` (null or malformed), ``no list`` (readable, none of the spec's
+    lists in it), ``filtered`` (one row per record that ``spec.keep`` leaves out, with its position).
+    """
+    kept = [c for c in df.columns if c != payload]
+    if spec.payload in ("xml", "html"):
+        blank = blank_to_null(F.col(payload)).isNull()
+        unread = df.withColumn("reason", F.when(blank, "unreadable"))
+        opener = explode_xml if spec.payload == "xml" else explode_cards
+    else:
+        parsed = df.withColumn("_payload", F.try_parse_json(payload))
+        lists = F.coalesce(*[F.try_variant_get("_payload", p, "array<variant>") for p in spec.items])
+        unread = parsed.withColumn(
+            "reason", F.when(F.col("_payload").isNull(), "unreadable").when(lists.isNull(), "no list"))
+        opener = explode_items
+    unread = unread.filter("reason IS NOT NULL").select(*kept, "reason", F.lit(None).cast("int").alias("item_pos"))
+    if spec.keep is None:
+        return unread
+    rows = opener(df, spec, payload).filter(~F.coalesce(spec.keep(F.col("item")), F.lit(False)))
+    return unread.unionByName(
+        rows.withColumn("reason", F.lit("filtered")).select(*kept, "reason", F.col("item_pos").cast("int")))
+
+
 TARGET_FIELDS = ("company", "base_url", "tenant", "language")
 
 

@@ -7,10 +7,13 @@ run that is repeated writes another folder.
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,8 @@ class VersionedTable:
         path = f"{self.root}/manifest"
         if not path_exists(self.spark, path):
             return None
-        return self.spark.read.json(path, schema=self.MANIFEST)
+        # a file that is just being written has no whole row yet
+        return self.spark.read.json(path, schema=self.MANIFEST).filter(F.col("version").isNotNull())
 
     def has_note(self, note: str) -> bool:
         manifest = self._manifest()
@@ -75,28 +79,70 @@ class VersionedTable:
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{folder}")
         return folder
 
-    def publish(self, folder: str, note: str = "", kind: str = "base") -> int:
-        """Make a written folder visible: one appended manifest row."""
-        version, _ = self.current()
-        row = self.spark.range(1).select(
-            F.lit(version + 1).cast("long").alias("version"),
-            F.lit(folder).alias("folder"),
-            F.lit(kind).alias("kind"),
-            F.lit(note).alias("note"),
-        )
-        row.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
-        return version + 1
-
-    def replace(self, df: DataFrame, note: str = "", partition_by: Sequence[str] = ()) -> int:
-        return self.publish(self.write_version(df, partition_by), note)
+    def publish(self, folder: str, note: str = "", kind: str | None = None, after: int | None = None) -> int:
+        """Make a written folder visible under the next free version.
+
+        The manifest has one file per version, which only one writer can create; the others take
+        the number after it. Without a ``kind`` the first version is a base and all others are
+        deltas. ``after`` is the version a new base was made from: if another commit came in
+        between, it would be hidden, so nothing is published and :class:`ConcurrentCommit` is raised.
+        """
+        while True:
+            version = self.current()[0] + 1
+            if after is not None and version != after + 1:
+                raise ConcurrentCommit(f"{self.root} is at version {version - 1}, not {after}")
+            row = {"version": version, "folder": folder, "note": note,
+                   "kind": kind or ("base" if version == 1 else "delta")}
+            if create_once(self.spark, f"{self.root}/manifest/v-{version:012d}.json", json.dumps(row) + "\n"):
+                return version
+
+    def replace(
+        self, df: DataFrame, note: str = "", partition_by: Sequence[str] = (), after: int | None = None
+    ) -> int:
+        return self.publish(self.write_version(df, partition_by), note, "base", after)
 
     def append(self, delta: DataFrame, note: str = "") -> int:
         """Publish the rows of one batch; the first commit of a table is its base."""
-        kind = "delta" if self.current()[1] else "base"
-        return self.publish(self.write_version(delta), note, kind)
+        return self.publish(self.write_version(delta), note)
 
     def compact(self, note: str = "compacted") -> int:
-        return self.replace(self.read(), note)
+        """Rewrite base and deltas as a new base; raises if a commit comes in meanwhile."""
+        after = self.current()[0]
+        return self.replace(self.read(), note, after=after)
+
+    def vacuum(self, hours: float = 24) -> list[str]:
+        """Delete data folders older than ``hours`` that no reader of the current version needs:
+        those before the last base, and staged ones of batches that ended or failed."""
+        held = {folder for _, folder in self.visible()}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        limit = (time.time() - hours * 3600) * 1000
+        gone = []
+        for status in files.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in held and status.getModificationTime() <= limit:
+                files.delete(status.getPath(), True)
+                gone.append(name)
+        return gone
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed first; read the table again and repeat."""
+
+
+def create_once(spark: SparkSession, location: str, content: str) -> bool:
+    """Write a small file; False if it exists, which the store decides for one writer at a time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        out = files.create(path, False)
+    except Py4JJavaError:
+        if files.exists(path):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
 
 
 def path_exists(spark: SparkSession, location: str) -> bool:
@@ -167,7 +213,6 @@ def apply_upsert(
     if not done:
         folder = postings.write_version(result.delta)
         result.new_snapshots.write.mode("append").parquet(snapshots_path)
-        kind = "delta" if postings.current()[1] else "base"
-        postings.publish(folder, note, kind)
+        postings.publish(folder, note)
     merged = spark.read.parquet(f"{postings.root}/{outcomes}")
     return merged.limit(0) if done else merged

@@ -8,6 +8,7 @@ folder, so a stopped query goes on where it was.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from vakanz.operators.common import lag_by_bucket, time_bucket
 from vakanz.sources.landing import Spec, normalize_payload, to_posting
-from vakanz.sources.tables import VersionedTable, apply_upsert
+from vakanz.sources.tables import ConcurrentCommit, VersionedTable, apply_upsert
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", glob: str | None = None,
@@ -44,16 +45,24 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
 
 def continuous_ingest(
     stream: DataFrame, spec: Spec, postings: VersionedTable, snapshots_path: str, checkpoint: str,
-    now: Column, payload: str = "payload",
+    now: Column, payload: str = "payload", compact_after: int = 50,
 ) -> StreamingQuery:
-    """Landing stream to versioned postings: normalize, then one upsert per micro-batch."""
+    """Landing stream to versioned postings: normalize, then one upsert per micro-batch.
+
+    Several streams may write one table: a batch is known by its stream (its checkpoint folder),
+    its provider and its number. After ``compact_after`` deltas the table is rewritten, unless
+    another stream commits meanwhile; then a later batch does it.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         valid, _ = normalize_payload(batch, spec, payload)
         apply_upsert(
             postings, snapshots_path, to_posting(valid), keys=["source", "external_id"],
-            hash_cols=HASHED, now=now, text_col="description_text", note=f"batch {batch_id}",
+            hash_cols=HASHED, now=now, text_col="description_text", note=f"{checkpoint} {spec.provider} {batch_id}",
         )
+        if len(postings.visible()) > compact_after:
+            with suppress(ConcurrentCommit):
+                postings.compact()
 
     return run_once(stream, sink, checkpoint)
 
@@ -167,17 +176,22 @@ def run_with_state(
         note = f"batch {batch_id}"
         if store.has_note(note):
             return
+        version = store.current()[0]
         before = store.read()
         if emit is not None:
             emit(before, batch, batch_id)
-        store.replace(fold(before, batch), note)
+        store.replace(fold(before, batch), note, after=version)
 
     return run_once(stream, sink, checkpoint)
 
 
 def stuck_runs(stream: DataFrame, run: str, at: str, finished: Column, limit_ms: int = 3 * 3600 * 1000,
                delay: str = "10 minutes") -> DataFrame:
-    """Runs with no end within three hours of event time."""
+    """Runs with no end within three hours of event time.
+
+    A run whose limit the watermark has already passed when its rows come is an error at once: no
+    later trigger would see its timer.
+    """
     rows = stream.withWatermark(at, delay).select(
         F.col(run).alias("run_id"), F.col(at).alias("at"), finished.alias("finished")
     )
@@ -197,10 +211,14 @@ def stuck_runs(stream: DataFrame, run: str, at: str, finished: Column, limit_ms:
                 state.remove()
             yield pd.DataFrame({"run_id": [keys[0]], "state": ["finished"]})
             return
-        state.update((start,))
         deadline = start + limit_ms
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
+        if deadline <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"run_id": [keys[0]], "state": ["error"]})
+            return
+        state.update((start,))
+        state.setTimeoutTimestamp(deadline)
         yield pd.DataFrame({"run_id": [keys[0]], "state": ["running"]})
 
     return rows.groupBy("run_id").applyInPandasWithState(
