@@ -85,4 +85,4 @@ def test_windows_and_dictionaries():
     cuts = toxicity.windows(text, 64)
     assert b"".join(cuts) == text and all(c.endswith(b" ") for c in cuts) and toxicity.windows(b"", 64) == [b""]
     assert toxicity.windows(b" x ", 64) == [b" x "]
-    assert b"moronic" in b"|".join(toxicity.telling_passages([b" so moronic you "] * 30 + [b" it is "] * 9, [b" so it is you "] * 60, 4.0))
+    assert b"moronic" in b"|".join(toxicity.telling_passages([b" so moronic you "] * 30 + [b" it is "] * 9, [b" so it is you "] * 60, 4.0, 10.0))

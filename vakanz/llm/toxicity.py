@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary texts, one on the passages of
-toxic texts whose character n-grams stand in far more toxic than ordinary documents. A window is
+toxic texts whose character n-grams stand in a far larger share of toxic than of ordinary documents. A window is
 compressed once behind the ordinary dictionary and once behind both; the bytes that the toxic
 dictionary saves are its distance. A document's distances (largest, mean of the upper tenth, of the
 upper quarter, of all, and the logarithm of their number) go through a logistic calibration fitted
@@ -65,9 +65,10 @@ def grams(text: bytes) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def telling_passages(toxic: list[bytes], ordinary: list[bytes], least_z: float) -> list[bytes]:
-    """Runs of toxic texts covered by n-grams whose share of toxic documents is ``least_z`` standard
-    errors above that of ordinary ones."""
+def telling_passages(toxic: list[bytes], ordinary: list[bytes], least_z: float, least_lift: float) -> list[bytes]:
+    """Runs of toxic texts covered by telling n-grams: their share of toxic documents is ``least_lift``
+    times that of ordinary ones and ``least_z`` standard errors above it. (The errors alone would let
+    small differences tell as soon as the sample is large.)"""
     counts = []
     for texts in (toxic, ordinary):
         count = np.zeros(1 << CELL_BITS)
@@ -77,7 +78,8 @@ def telling_passages(toxic: list[bytes], ordinary: list[bytes], least_z: float)
     n, m = len(toxic), len(ordinary)
     share = (counts[0] + counts[1] + 1) / (n + m + 2)
     z = (counts[0] / n - counts[1] / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    telling = (z > least_z) & (counts[0] >= 3)
+    lift = (counts[0] + 0.5) / n / ((counts[1] + 0.5) / m)
+    telling = (z > least_z) & (lift >= least_lift) & (counts[0] >= 3)
     runs = []
     for text in toxic:
         cells = grams(text)
@@ -151,14 +153,14 @@ class Model:
 
 
 def train(sample: list[tuple[int, str, int]], window: int, ordinary_size: int, toxic_size: int, least_z: float,
-          share: float) -> Model:
+          least_lift: float, share: float) -> Model:
     """Model of (id, text, label) rows; a quarter of them, by hash, only calibrates."""
     held = [zlib.crc32(f"calibrate {i}".encode()) % 4 == 0 for i, _, _ in sample]
     kinds = [[plain(t) for (_, t, y), h in zip(sample, held) if not h and y == kind] for kind in (0, 1)]
     ordinary, toxic = ([t for t in texts if t] for texts in kinds)
     if not ordinary or not toxic:
         return Model(b"", b"", window)
-    runs = telling_passages(toxic, ordinary, least_z) or [w for t in toxic for w in windows(t, window)]
+    runs = telling_passages(toxic, ordinary, least_z, least_lift) or [w for t in toxic for w in windows(t, window)]
     order = np.random.default_rng(7)
     runs = [runs[i] for i in order.permutation(len(runs))]
     cuts = [w for t in ordinary for w in windows(t, window)]
@@ -187,8 +189,8 @@ def _scores(sent):
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    window: int = 64, ordinary_size: int = 32_768, toxic_size: int = 8_192, least_z: float = 6.0, share: float = 0.3,
-    max_toxic: int = 4_000, max_ordinary: int = 4_000, max_bytes: int = 32 << 20,
+    window: int = 64, ordinary_size: int = 32_768, toxic_size: int = 4_096, least_z: float = 5.0,
+    least_lift: float = 50.0, share: float = 0.3, max_toxic: int = 4_000, max_ordinary: int = 4_000, max_bytes: int = 32 << 20,
 ) -> DataFrame:
     """doc_id and score of every row of ``docs``; ``labels`` holds the rows to learn from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -203,5 +205,5 @@ def score_toxicity(
                 break
             sample.append((row["doc_id"], row["text"] or "", kind))
     sample.sort(key=lambda row: row[:2])
-    sent = spark.sparkContext.broadcast(train(sample, window, ordinary_size, toxic_size, least_z, share))
+    sent = spark.sparkContext.broadcast(train(sample, window, ordinary_size, toxic_size, least_z, least_lift, share))
     return rows.mapInArrow(_scores(sent), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
