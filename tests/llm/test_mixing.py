@@ -50,8 +50,7 @@ def check_mix(docs, rows, **options):
         assert 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
         assert abs(r["target"] - want[r["source"]]) < 1e-6
         got[r["source"]] += r["taken"]
-    step = options.get("block_words", 256)
-    assert all(abs(got[s] - want[s]) <= 4 * step for s in want), (got, want)
+    assert all(abs(got[s] - want[s]) <= 1 for s in want), (got, want)
     return parts
 
 

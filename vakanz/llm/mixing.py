@@ -75,8 +75,12 @@ def targets(sizes: DataFrame, weights: Sequence[float], max_passes: float, total
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def slots(shares: DataFrame, n_slots: Column | int) -> DataFrame:
-    """slot, source, source_size, rank: the schedule. ``shares`` is :func:`targets`, staged."""
+def slots(shares: DataFrame, n_slots: int, block_words: int) -> DataFrame:
+    """slot, source, source_size, target, rank: the schedule. ``shares`` is :func:`targets`, staged.
+
+    The points give a source its share of the slots but for a few. Slots beyond its target take
+    nothing; what it lacks comes in closing slots after the last point, at most a few per source.
+    """
     spark = shares.sparkSession
     order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum("target").over(order)
@@ -99,8 +103,16 @@ def slots(shares: DataFrame, n_slots: Column | int) -> DataFrame:
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
     ranked = hit.withColumn("inner", inside)
-    return ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select(
+    ranked = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select(
         "slot", "source", "source_size", "target", (F.col("offset") + F.col("inner")).alias("rank"))
+    had = counts.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("had"))
+    short = shares.join(had, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    needed = F.ceil(F.round("target") / block_words)
+    short = short.filter(needed > F.col("had")).select(
+        "source", "source_size", "target", F.explode(F.sequence(F.col("had"), needed - 1)).alias("rank"))
+    last = F.row_number().over(Window.orderBy("rank", F.col("source").asc_nulls_last())) - 1  # a few rows per source
+    closing = short.select((F.lit(n_slots) + last).cast("long").alias("slot"), "source", "source_size", "target", "rank")
+    return ranked.unionByName(closing)
 
 
 def mix(
@@ -117,11 +129,10 @@ def mix(
         placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_passes))
     wanted = goal.agg(F.sum("target")).first()[0] or 0.0
     n_slots = -(-int(wanted) // block_words)
-    plan = slots(goal, n_slots)
+    plan = slots(goal, n_slots, block_words)
     # a rank is a stretch of the source's endless repetition; it may run past the end of the source
-    begin = F.col("rank") * block_words
-    limit = F.least(F.col("source_size") * max_passes, begin + block_words)
-    plan = plan.filter(begin < F.col("source_size") * max_passes).withColumn("at", begin).withColumn("to", limit)
+    begin, end = F.col("rank") * block_words, F.round("target").cast("long")
+    plan = plan.filter(begin < end).withColumn("at", begin).withColumn("to", F.least(end, begin + block_words))
     passes = F.sequence(F.floor(F.col("at") / F.col("source_size")), F.floor((F.col("to") - 1) / F.col("source_size")))
     plan = plan.withColumn("pass", F.explode(passes))
     shift = F.col("pass") * F.col("source_size")
