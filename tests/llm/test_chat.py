@@ -59,8 +59,9 @@ def test_windows_keep_to_the_budget(talks):
             assert w["text"].count("<|turn:") == w["n_turns"] == w["text"].count("<|end|>")
             if c in range(6):
                 assert w["cost"] <= 128 + 80  # the last turn of a span may go over
-                assert (w["n_repeated"] > 0) == (i > 0)
+                assert i > 0 or w["n_repeated"] == 0
                 if c % 2:
+                    assert (w["n_repeated"] > 0) == (i > 0)
                     assert w["text"].startswith("<|turn:system|>")
         assert c not in range(6) or len(windows) > 5
 
