@@ -127,8 +127,8 @@ def rubric_score(
                     _by_count(n, group.possible, shown_points),
                     F.lit(group.possible),
                     F.slice(f"_g{i}", 1, 5),
-                    F.when(n > 0, "Die Tätigkeitsbeschreibung enthält passende Aufgaben.").otherwise(
-                        "Für diesen Aufgabenbereich wurde kein eindeutiger Hinweis gefunden."
+                    F.when(n > 0, "Terms of this group occur in the posting.").otherwise(
+                        "No term of this group occurs."
                     ),
                 )
             )
@@ -136,25 +136,25 @@ def rubric_score(
         items.append(
             reason(
                 "role_title",
-                "Passende Rollenbezeichnung",
+                "Title terms",
                 F.when(hit, "positive").otherwise("neutral"),
                 F.when(hit, rubric.title_points).otherwise(0),
                 F.lit(rubric.title_points),
                 F.slice("_gt", 1, 3),
                 F.when(
                     hit,
-                    "Der Titel unterstützt die Einordnung; Aufgaben bleiben stärker gewichtet.",
-                ).otherwise("Der Titel allein liefert keinen Treffer."),
+                    "A wanted term occurs in the title.",
+                ).otherwise("No wanted term occurs in the title."),
             )
         )
         negative = reason(
             "unrelated_assistance",
-            "Andere Assistenzfunktion",
+            "Unrelated role",
             F.lit("negative"),
             F.lit(-rubric.penalty),
             F.lit(0),
             F.col("_gf"),
-            F.lit("Die Anzeige scheint eine fachfremde Assistenzrolle zu beschreiben."),
+            F.lit("Only terms of unrelated roles occur."),
         )
         items.append(F.when(unrelated, negative))
         df = df.withColumn(reasons, F.filter(F.array(*items), lambda r: r.isNotNull()))
@@ -261,7 +261,7 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     dims.append(
         Dimension(
             "skills",
-            "Qualifikationsüberschneidung",
+            "Skills in common",
             35 * F.try_divide(F.size(overlap).cast("double"), F.size(required)),
             F.when(known, F.lit(35.0)),
             F.when(F.size(overlap) > 0, "positive").otherwise("negative"),
@@ -270,19 +270,19 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
                 known,
                 F.concat(
                     F.size(overlap).cast("string"),
-                    F.lit(" von "),
+                    F.lit(" of "),
                     F.size(required).cast("string"),
-                    F.lit(" erkannten Anforderungen passen."),
+                    F.lit(" required skills are in the profile."),
                 ),
-            ).otherwise("Anforderungen oder bestätigte Profilkompetenzen fehlen."),
+            ).otherwise("The posting or the profile names no skills."),
         )
     )
 
     for name, label, wanted, weight, good, bad in (
-        ("employment_type", "Arbeitszeitmodell", profile.employment_types, 15,
-         "Die Arbeitszeit passt.", "Die Arbeitszeit weicht ab."),
-        ("contract_type", "Vertragsart", profile.contract_types, 10,
-         "Die Vertragsart passt.", "Die Vertragsart weicht ab."),
+        ("employment_type", "Employment type", profile.employment_types, 15,
+         "Wanted employment type.", "Other employment type."),
+        ("contract_type", "Contract type", profile.contract_types, 10,
+         "Wanted contract type.", "Other contract type."),
     ):
         text, choice = normalize_text(col(name)), _set(wanted)
         dims.append(
@@ -296,9 +296,9 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
         alias = F.when(language == long, F.lit(short)).otherwise(alias)
     fits = language.isin(*spoken) | alias.isin(*spoken) if spoken else F.lit(False)
     dims.append(
-        _choice("language", "Anzeigensprache", (language != "") & F.lit(bool(spoken)), fits, 10,
+        _choice("language", "Language of the posting", (language != "") & F.lit(bool(spoken)), fits, 10,
                 F.array(F.coalesce(col("language"), F.lit(""))),
-                "Die Sprache ist im Profil vorhanden.", "Die Sprache fehlt im Profil.")
+                "A language of the profile.", "Not a language of the profile.")
     )
 
     has = F.lit(profile.has_preferences)
@@ -315,12 +315,12 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     dims.append(
         Dimension(
             "work_mode",
-            "Arbeitsortmodell",
+            "Workplace",
             20 * weight,
             F.when(has, F.lit(20.0)),
             F.when(weight >= 0.75, "positive").when(weight < 0.4, "negative").otherwise("neutral"),
             F.array(F.coalesce(F.nullif(col("remote_type"), F.lit("")), F.lit("Präsenz"))),
-            F.lit("Die Punktzahl folgt den sichtbaren Präsenz-/Hybrid-/Remote-Gewichten."),
+            F.lit("Points by the profile's weight of this workplace."),
             silent=True,
         )
     )
@@ -332,16 +332,16 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     dims.append(
         Dimension(
             "commute",
-            "Einfache Fahrtzeit",
+            "Commute, one way",
             F.when(minutes <= start, F.lit(10.0))
             .when(minutes >= limit, F.lit(0.0))
             .otherwise((limit - minutes) * 10.0 / max(1, limit - start)),
             F.when(commutes, F.lit(10.0)),
             F.when(minutes <= start, "positive").when(minutes >= limit, "negative")
             .otherwise("neutral"),
-            F.array(F.concat(minutes.cast("string"), F.lit(" Minuten"))),
-            F.when(commutes, "Abwertung beginnt am eingestellten Schwellenwert.").otherwise(
-                "Keine lokale Fahrtzeit vorhanden; daher keine Abwertung."
+            F.array(F.concat(minutes.cast("string"), F.lit(" min"))),
+            F.when(commutes, "Full points up to the first limit, none from the second.").otherwise(
+                "No commute known; not counted."
             ),
         )
     )
@@ -353,7 +353,7 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     dims.append(
         Dimension(
             "salary",
-            "Gehalt",
+            "Salary",
             F.when(salary >= goal, F.lit(10.0))
             .when(salary >= (low or 0), 5 + (salary - (low or 0)) * 5.0 / max(1, goal - (low or 0)))
             .otherwise(F.lit(0.0)),
@@ -361,21 +361,21 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
             F.when(salary >= goal, "positive").when(salary >= (low or 0), "neutral")
             .otherwise("negative"),
             F.array(
-                F.concat(F.translate(F.format_number(salary, 0), ",", "."), F.lit(" EUR/Jahr"))
+                F.concat(F.translate(F.format_number(salary, 0), ",", "."), F.lit(" EUR a year"))
             ),
-            F.when(paid, "Bewertung anhand der eingestellten Mindest- und Zielwerte.").otherwise(
-                "Keine belastbare Gehaltsangabe; deshalb keine Abwertung."
+            F.when(paid, "Points between the profile's minimum and target.").otherwise(
+                "No salary known; not counted."
             ),
         )
     )
 
     for code, name, label, wanted, points, good, bad in (
-        ("industry", "industries", "Branchenpräferenz", profile.industries, 10,
-         "Die Branche entspricht deiner Präferenz.",
-         "Die Branche weicht von deiner Präferenz ab."),
-        ("company_size", "company_sizes", "Unternehmensgröße", profile.company_sizes, 5,
-         "Die Unternehmensgröße entspricht deiner Präferenz.",
-         "Die Unternehmensgröße weicht von deiner Präferenz ab."),
+        ("industry", "industries", "Industry", profile.industries, 10,
+         "Wanted industry.",
+         "Other industry."),
+        ("company_size", "company_sizes", "Company size", profile.company_sizes, 5,
+         "Wanted company size.",
+         "Other company size."),
     ):
         values, choice = F.coalesce(col(name, "array<string>"), none), _set(wanted)
         hit = F.exists(values, _mutual_with(choice))
@@ -387,10 +387,10 @@ def fit_dimensions(columns: Mapping[str, Column], profile: Profile) -> list[Dime
     travel = col("travel_percent", "int").cast("int")
     cap = profile.max_travel_percent
     dims.append(
-        _choice("travel", "Reisetätigkeit", travel.isNotNull() & F.lit(cap is not None),
+        _choice("travel", "Travel", travel.isNotNull() & F.lit(cap is not None),
                 travel <= (cap or 0), 5, F.array(F.concat(travel.cast("string"), F.lit(" %"))),
-                "Die Reisetätigkeit liegt innerhalb deiner Grenze.",
-                "Die Reisetätigkeit überschreitet deine Grenze.")
+                "Travel within the limit.",
+                "Travel above the limit.")
     )
     return dims
 
@@ -452,9 +452,9 @@ def fit_score(
             )
             items.append(F.when(known, shown) if d.silent else shown)
         empty = reason(
-            "insufficient_profile_data", "Noch zu wenig Profildaten", F.lit("neutral"),
+            "insufficient_profile_data", "Profile too empty", F.lit("neutral"),
             F.lit(0), F.lit(0), F.array(),
-            F.lit("Der neutrale Startwert bleibt sichtbar, bis Angaben vorliegen."),
+            F.lit("The start value stands until the profile has more."),
         )
         items.append(F.when(possible == 0, empty))
         df = df.withColumn(reasons, F.filter(F.array(*items), lambda r: r.isNotNull()))
