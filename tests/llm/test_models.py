@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm.conftest import prose
 from vakanz.llm import quality_model, queries, toxicity
 from vakanz.llm.labelled import fold_of, labelled_rows
 
@@ -48,6 +49,38 @@ def test_toxicity_with_more_to_learn_from(spark):
     assert auc(scored.loc[600:].to_numpy(), [r[2] for r in rows[600:]]) > 0.97
 
 
+def test_toxicity_sample_is_spread_over_the_table(spark, caplog):
+    """Texts above the byte bound leave no kind, source or text out of the sample."""
+    rows = []
+    for i in range(400):
+        text = prose(i, 40)
+        if i % 4 == 0:
+            text += " wretchling" if i < 200 else " dunderclod"
+        rows.append((i, text, int(i % 4 == 0)))
+    rows[0] = (0, prose(0, 9_000) + " wretchling", 1)  # the first toxic text alone is above the bound
+    rows[1] = (1, prose(1, 9_000), 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
+    fresh = spark.createDataFrame([(1_000 + i, prose(i, 50) + (" dunderclod" if i % 2 else ""), i % 2) for i in range(100)],
+                                  "doc_id long, text string, toxic int")
+    scored = toxicity.score_toxicity(docs.unionByName(fresh), docs, max_bytes=30_000, max_toxic=100, max_ordinary=300)
+    scored = scored.filter("doc_id >= 1000").toPandas().sort_values("doc_id")["score"]
+    assert auc(scored.to_numpy(), [i % 2 for i in range(100)]) > 0.95
+    assert not caplog.records
+    toxicity.score_toxicity(docs, docs.filter("toxic = 0"))
+    assert "kind toxic" in caplog.text
+
+
+def test_bounded_texts():
+    text = toxicity.plain(" ".join(f"word{i}" for i in range(5_000)))
+    cut = toxicity.bounded(text, 4_096, 64)
+    assert 3_900 < len(cut) <= 4_096 and all(w in set(text.split()) for w in cut.split())
+    places = [text.find(w) for w in toxicity.windows(cut, 64)]
+    assert max(places) > len(text) * 0.9 and toxicity.bounded(text, len(text), 64) == text
+    assert toxicity.bounded(b" " + b"x" * 9_000 + b" ", 100, 64) == b" " + b"x" * 99
+    assert toxicity.water_level([5, 100, 1], 26) == 20 and toxicity.water_level([1, 2], 9) == 2
+    assert toxicity.water_level([], 9) == 0 and toxicity.water_level([10, 10, 10], 9) == 3
+
+
 @pytest.mark.parametrize(("score", "empty"), [(toxicity.score_toxicity, 0.0), (quality_model.score_quality, 0.5)])
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs, score, empty):
     label = {"label_col": "y"}

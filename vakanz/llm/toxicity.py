@@ -7,18 +7,21 @@ dictionary saves are its distance. A document's distances (largest, mean of the
 upper quarter, of all, and the logarithm of their number) go through a logistic calibration fitted
 on labelled documents that trained no dictionary.
 
-Training works on a bounded sample: at most ``max_toxic`` and ``max_ordinary`` labelled documents by
-hash of their id, and at most ``max_bytes`` of text of each kind (whole documents). Scoring reads every
-window of every text, in batches of one task.
+Training works on a bounded sample: at most ``max_toxic`` and ``max_ordinary`` labelled texts by hash
+of their id, and at most ``max_bytes`` of text of each kind. If the texts of a kind are longer, all
+of them stay and the long ones give as many whole windows, from all over the text, as an equal share
+allows, so no kind and no source is left out. ``max_windows`` bounds the ordinary windows (drawn at random
+from the sample) that the dictionary trainer reads. Calibration and scoring read every window of every text.
 
 Defined results: null and empty texts have one empty window and get the score of distance 0; without
-labelled documents of both kinds every score is 0; repeated rows are scored one by one; labels that
+labelled texts with words of both kinds every score is 0 and a warning is logged; repeated rows are scored one by one; labels that
 are null or contradict each other are left out; an empty table gives an empty result; only the id
 and the text are read.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from dataclasses import dataclass
 
@@ -33,6 +36,7 @@ from vakanz.llm.labelled import labelled_rows
 CELL_BITS = 20
 GRAM = 6
 LEVEL = 3
+LOG = logging.getLogger(__name__)
 
 
 def plain(text: str | None) -> bytes:
@@ -52,6 +56,32 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return out or [b""]
 
 
+def water_level(sizes: list[int], room: int) -> int:
+    """Largest bound for one size so that all sizes under it fit into ``room``."""
+    for i, size in enumerate(sorted(sizes)):
+        share = room // (len(sizes) - i)
+        if size > share:
+            return share
+        room -= size
+    return max(sizes, default=0)
+
+
+def bounded(text: bytes, room: int, size: int) -> bytes:
+    """A text that fits, else whole windows from all over it, in their order; a window that alone is
+    larger than ``room`` is passed over, and cut if there is no other."""
+    if len(text) <= room:
+        return text
+    cuts = windows(text, size)
+    kept, left = [], room
+    for i in np.argsort(np.arange(len(cuts)) * 0.6180339887498949 % 1, kind="stable"):
+        if len(cuts[i]) <= left:
+            kept.append(i)
+            left -= len(cuts[i])
+        if left < size:
+            break
+    return b"".join(cuts[i] for i in sorted(kept)) or text[:room]
+
+
 def grams(text: bytes) -> np.ndarray:
     """Cells of the character n-grams, in order."""
     codes = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
@@ -152,28 +182,44 @@ class Model:
         self.weights = beta
 
 
-def train(sample: list[tuple[int, str, int]], window: int, ordinary_size: int, toxic_size: int, least_z: float,
-          least_lift: float, share: float) -> Model:
-    """Model of (id, text, label) rows; a quarter of them, by hash, only calibrates."""
-    held = [zlib.crc32(f"calibrate {i}".encode()) % 4 == 0 for i, _, _ in sample]
-    kinds = [[plain(t) for (_, t, y), h in zip(sample, held) if not h and y == kind] for kind in (0, 1)]
-    ordinary, toxic = ([t for t in texts if t] for texts in kinds)
-    if not ordinary or not toxic:
-        return Model(b"", b"", window)
+def train(ordinary: list[bytes], toxic: list[bytes], window: int, ordinary_size: int, toxic_size: int, least_z: float,
+          least_lift: float, max_windows: int) -> Model:
+    """Dictionaries of plain texts of both kinds."""
     runs = telling_passages(toxic, ordinary, least_z, least_lift) or [w for t in toxic for w in windows(t, window)]
     order = np.random.default_rng(7)
     runs = [runs[i] for i in order.permutation(len(runs))]
     cuts = [w for t in ordinary for w in windows(t, window)]
-    cuts = [cuts[i] for i in order.permutation(len(cuts))[:40_000]]
-    model = Model(
+    cuts = [cuts[i] for i in order.permutation(len(cuts))[:max_windows]]
+    return Model(
         train_dictionary(cuts, ordinary_size),
         train_dictionary([b"".join(runs[i:i + 8]) for i in range(0, len(runs), 8)], toxic_size), window)
-    rest = [(t, y) for (_, t, y), h in zip(sample, held) if h]
-    y = np.array([y for _, y in rest])
-    if len(set(y.tolist())) < 2:
-        rest, y = [(t, y) for _, t, y in sample], np.array([y for _, _, y in sample])
-    model.calibrate(np.array([model.features(t) for t, _ in rest]), y, share)
-    return model
+
+
+def calibrates(doc_id) -> bool:
+    """A quarter of the labelled documents, by hash, trains no dictionary."""
+    return zlib.crc32(f"calibrate {doc_id}".encode()) % 4 == 0
+
+
+def _plain_cuts(rooms, window):
+    def cut(batches):
+        for batch in batches:
+            ids, digests, kinds, texts = batch.columns
+            cuts = [bounded(plain(t), rooms[k], window) for t, k in zip(texts.to_pylist(), kinds.to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [ids, digests, kinds, pa.array(cuts, pa.binary())], ["doc_id", "digest", "kind", "cut"])
+
+    return cut
+
+
+def _features(sent):
+    def features(batches):
+        model = sent.value
+        for batch in batches:
+            ids, digests, kinds, texts = batch.columns
+            x = pa.array([model.features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([ids, digests, kinds, x], ["doc_id", "digest", "kind", "x"])
+
+    return features
 
 
 def _scores(sent):
@@ -187,23 +233,57 @@ def _scores(sent):
     return score
 
 
+def _fitted(rows: DataFrame, ids: DataFrame, most: tuple[int, int], max_bytes: int, window: int, share: float,
+            **sizes) -> Model:
+    """Model of the labelled texts; ``ids`` holds doc_id and kind. Equal rows count once."""
+    spark = rows.sparkSession
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    key = ["doc_id", "digest", "kind"]
+    known = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(ids), "doc_id")
+    known = known.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    lengths = known.select(*key, F.octet_length("text").alias("size")).distinct()
+
+    def of_kind(kind: int) -> list:
+        order = lengths.filter(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+        return order.limit(most[kind]).collect()
+
+    def texts_of(chosen: list, fn, column: str) -> list:
+        """One result per chosen text, in a fixed order."""
+        wanted = spark.createDataFrame([tuple(r)[:3] for r in chosen], f"doc_id {id_type}, digest long, kind int")
+        made = known.join(F.broadcast(wanted), key).select(*key, "text").mapInArrow(
+            fn, f"doc_id {id_type}, digest long, kind int, {column}")
+        value = column.split()[0]
+        return sorted(made.groupBy(key).agg(F.first(value).alias(value)).collect(), key=lambda r: tuple(r)[:3])
+
+    sample = [of_kind(kind) for kind in (0, 1)]
+    empty = [name for name, found in zip(("ordinary", "toxic"), sample) if not found]
+    if empty:
+        LOG.warning("no labelled text of kind %s to learn from: every score is 0", " and ".join(empty))
+        return Model(b"", b"", window)
+    learn = [[r for r in found if not calibrates(r["doc_id"])] or found for found in sample]
+    rooms = [max(window, water_level([r["size"] for r in found], max_bytes)) for found in learn]
+    cuts = texts_of(learn[0] + learn[1], _plain_cuts(rooms, window), "cut binary")
+    model = train(*[[bytes(r["cut"]) for r in cuts if r["kind"] == kind] for kind in (0, 1)], window, **sizes)
+    rest = [[r for r in found if calibrates(r["doc_id"])] for found in sample]
+    if not rest[0] or not rest[1]:
+        rest = sample
+    seen = texts_of(rest[0] + rest[1], _features(spark.sparkContext.broadcast(model)), "x array<double>")
+    model.calibrate(np.array([r["x"] for r in seen]), np.array([r["kind"] for r in seen]), share)
+    return model
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     window: int = 64, ordinary_size: int = 32_768, toxic_size: int = 4_096, least_z: float = 5.0,
     least_lift: float = 50.0, share: float = 0.3, max_toxic: int = 4_000, max_ordinary: int = 4_000, max_bytes: int = 32 << 20,
+    max_windows: int = 40_000,
 ) -> DataFrame:
     """doc_id and score of every row of ``docs``; ``labels`` holds the rows to learn from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    sample = []
-    for kind, most in ((0, max_ordinary), (1, max_toxic)):
-        ids = labelled_rows(labels, id_col, label_col, kind, most)
-        held = 0
-        for row in rows.join(F.broadcast(ids), "doc_id").toLocalIterator():
-            held += len(row["text"] or "")
-            if held > max_bytes:
-                break
-            sample.append((row["doc_id"], row["text"] or "", kind))
-    sample.sort(key=lambda row: row[:2])
-    sent = spark.sparkContext.broadcast(train(sample, window, ordinary_size, toxic_size, least_z, least_lift, share))
+    most = (max_ordinary, max_toxic)
+    ids = [labelled_rows(labels, id_col, label_col, kind, most[kind]).withColumn("kind", F.lit(kind)) for kind in (0, 1)]
+    model = _fitted(
+        rows, ids[0].unionByName(ids[1]), most, max_bytes, window, share, ordinary_size=ordinary_size, toxic_size=toxic_size,
+        least_z=least_z, least_lift=least_lift, max_windows=max_windows)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_scores(sent), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
