@@ -310,6 +310,42 @@ def test_two_streams_one_table(spark, tmp_path):
     assert gone and not held & set(gone) and store.read().count() == 3
 
 
+def test_ingest_keeps_what_gives_no_posting(spark, tmp_path):
+    """Broken pages, filtered and invalid items are kept once with their reason, also if a batch is repeated."""
+    folder, store = tmp_path / "in", VersionedTable(spark, str(tmp_path / "postings"))
+    folder.mkdir()
+    item = lambda i, **more: {"id": i, "title": f"T{i}", "candidate_required_location": "Worldwide"} | more
+    whole = json.dumps({"jobs": [item(1), item(2, title=" "), item(3, candidate_required_location="USA only")]})
+    payloads = [whole, whole[:-4], json.dumps({"error": 1}), None]
+    (folder / "1.json").write_text("\n".join(json.dumps({"page": i, "payload": p}) for i, p in enumerate(payloads)))
+    stream = jobs.read_landing(spark, str(folder), "page long, payload string", fmt="json")
+    for checkpoint in ("a", "a", "b"):
+        jobs.continuous_ingest(
+            stream, SPECS["remotive"], store, str(tmp_path / "snap"), str(tmp_path / checkpoint),
+            F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'"),
+        ).awaitTermination()
+    lost = spark.read.parquet(f"{store.root}-rejected").filter(F.col("note").contains(f"{tmp_path}/a "))
+    rows = sorted((r.landed, r.reason, r.item_pos) for r in lost.collect())
+    assert rows == [('{"page":0}', "filtered", 2), ('{"page":0}', "invalid", 1), ('{"page":1}', "unreadable", None),
+                    ('{"page":2}', "no list", None), ('{"page":3}', "unreadable", None)]
+    raw = {r.reason: r.raw for r in lost.filter("raw IS NOT NULL").collect()}
+    assert raw["unreadable"] == payloads[1] and json.loads(raw["filtered"])["id"] == 3 and '"id":2' in raw["invalid"]
+    assert [r.external_id for r in store.read().collect()] == ["1"]
+
+
+def test_quarantine_of_feeds_and_pages(spark):
+    from vakanz.sources import landing
+
+    spec = SPECS["personio"]
+    feed = f"<feed><{spec.xml_items}><id>1</id></{spec.xml_items}>"
+    rows = [(1, feed + "</feed>"), (2, feed + f"<{spec.xml_items}><id>2</id>"), (3, "<feed></feed>"), (4, " ")]
+    got = landing.quarantine(spark.createDataFrame(rows, "k long, payload string"), spec).collect()
+    assert sorted((r.k, r.reason) for r in got) == [(2, "cut off"), (3, "no list"), (4, "unreadable")]
+    cards = next(s for s in SPECS.values() if s.payload == "html")
+    got = landing.quarantine(spark.createDataFrame([(1, "<p>Service down</p>")], "k long, payload string"), cards)
+    assert [(r.reason, r.raw) for r in got.collect()] == [("no list", "<p>Service down</p>")]
+
+
 def test_concurrent_commits(spark, tmp_path):
     """Two writers that saw the same version get two numbers; a base made from an old one is refused."""
     from vakanz.sources.tables import ConcurrentCommit, create_once

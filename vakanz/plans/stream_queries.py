@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vakanz.plans.registry import query
+from vakanz.plans.source_queries import payloads
+from vakanz.plans.views import table
 from vakanz.session import ensure_checkpoint_dir
+from vakanz.sources import landing
 from vakanz.sources.tables import VersionedTable
 from vakanz.streaming import jobs
 
@@ -152,3 +155,56 @@ def stream_stuck_runs(spark, d):
     rows = jobs.stuck_runs(events(spark, d), "user_id", "at", F.col("event_type") == "purchase")
     history = final_table(rows, "update")
     return history.groupBy("run_id").agg(F.max_by("state", F.when(F.col("state") == "running", 0).otherwise(1)).alias("state"))
+
+
+def page_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as one landed page of two items; of some the second can't be worked from here."""
+    page = F.col("page_id")
+
+    def item(ident, title, place, text):
+        return F.struct(ident.cast("string").alias("id"), title.alias("title"),
+                        place.alias("candidate_required_location"), text.alias("description"), F.col("url").alias("url"))
+
+    items = F.array(
+        item(page, F.concat(F.lit("Page "), page.cast("string")), F.lit("Germany"), F.col("html")),
+        item(-page - 1, F.when(page % 4 != 0, "second"), F.when(page % 6 == 1, "USA only").otherwise("Worldwide"),
+             F.lit(None).cast("string")))
+    whole = F.to_json(F.struct(items.alias("jobs")))
+    cut = F.when(page % 7 == 0, F.expr("substring(whole, 1, length(whole) - 2)")).otherwise(F.col("whole"))
+    return table(spark, d, "pages").withColumn("whole", whole).select("page_id", cut.alias("payload"))
+
+
+@query(
+    "stream_ingest",
+    """WITH d AS (SELECT doc_id AS id, doc_id % 5 AS form, doc_id % 4 = 0 AS bare FROM documents)
+       SELECT 'lever' AS source, CAST(id AS VARCHAR) AS landed_id, CASE form WHEN 2 THEN 'no list' ELSE 'unreadable' END AS outcome FROM d WHERE form IN (1, 2, 3)
+       UNION ALL SELECT 'lever', CAST(id AS VARCHAR), 'posting' FROM d WHERE form NOT IN (1, 2, 3)
+       UNION ALL SELECT 'lever', CASE WHEN bare THEN CAST(id AS VARCHAR) ELSE CAST(-id - 1 AS VARCHAR) END, CASE WHEN bare THEN 'invalid' ELSE 'posting' END FROM d WHERE form NOT IN (1, 2, 3)
+       UNION ALL SELECT 'remotive', CAST(page_id AS VARCHAR), CASE WHEN page_id % 7 = 0 THEN 'unreadable' ELSE 'posting' END FROM pages
+       UNION ALL SELECT 'remotive', CASE WHEN page_id % 6 = 1 OR page_id % 4 = 0 THEN CAST(page_id AS VARCHAR) ELSE CAST(-page_id - 1 AS VARCHAR) END,
+         CASE WHEN page_id % 6 = 1 THEN 'filtered' WHEN page_id % 4 = 0 THEN 'invalid' ELSE 'posting' END FROM pages WHERE page_id % 7 <> 0""",
+)
+def stream_ingest(spark, d):
+    """Two providers into one table: files land twice, each time the streams start again and take two batches."""
+    root = scratch(spark)
+    form = F.col("doc_id") % 5
+    documents = payloads(spark, d).withColumn(
+        "payload", F.when(form == 1, F.expr("substring(payload, 1, length(payload) - 3)"))
+        .when(form == 2, F.concat(F.lit('{"error":'), F.to_json(F.struct("doc_id")), F.lit("}")))
+        .when(form != 3, F.col("payload")))
+    store = VersionedTable(spark, f"{root}/postings")
+    now = F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'")
+    for half in (0, 1):
+        for rows, key, provider in ((documents, "doc_id", "lever"), (page_payloads(spark, d), "page_id", "remotive")):
+            folder = f"{root}/in-{provider}"
+            rows.filter(F.pmod(F.xxhash64(key), F.lit(2)) == half).write.mode("append").parquet(folder)
+            files = len(spark.read.parquet(folder).inputFiles()) // (half + 1)
+            stream = jobs.read_landing(spark, folder, f"{key} long, payload string", files_per_batch=-(-files // 2))
+            jobs.continuous_ingest(
+                stream, landing.SPECS[provider], store, f"{root}/snapshots", f"{root}/checkpoint-{provider}", now,
+            ).awaitTermination()
+    kept = store.read().select("source", F.col("external_id").alias("landed_id"), F.lit("posting").alias("outcome"))
+    ids = F.from_json("landed", "doc_id string, page_id string")
+    lost = spark.read.parquet(f"{root}/postings-rejected").select(
+        "source", F.coalesce(ids["doc_id"], ids["page_id"]).alias("landed_id"), F.col("reason").alias("outcome"))
+    return kept.unionByName(lost)

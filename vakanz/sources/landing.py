@@ -357,28 +357,52 @@ def quarantine(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame
 
     Together with the two frames of :func:`normalize_payload` every payload and record is
     accounted for: ``unreadable`` (null or malformed), ``no list`` (readable, none of the spec's
-    lists in it), ``filtered`` (one row per record that ``spec.keep`` leaves out, with its position).
+    lists, items or cards in it), ``cut off`` (XML whose items are not all closed; the closed ones are
+    records), ``filtered`` (one row per record that ``spec.keep`` leaves out, with its position).
+    ``raw`` holds the payload, or the record that was filtered.
     """
     kept = [c for c in df.columns if c != payload]
     if spec.payload in ("xml", "html"):
         blank = blank_to_null(F.col(payload)).isNull()
-        unread = df.withColumn("reason", F.when(blank, "unreadable"))
-        opener = explode_xml if spec.payload == "xml" else explode_cards
+        if spec.payload == "xml":
+            body = F.regexp_replace(payload, NAME_SPACE, "<$1")
+            opened = F.regexp_count(body, F.lit(rf"<{spec.xml_items}(?=[\s>])"))
+            closed = F.regexp_count(body, F.lit(f"</{spec.xml_items}>"))
+            reason = F.when(opened > closed, "cut off").when(closed == 0, "no list")
+            opener = explode_xml
+        else:
+            reason = F.when(F.regexp_count(card_body(spec, payload), F.lit(spec.cards)) == 0, "no list")
+            opener = explode_cards
+        unread = df.withColumn("reason", F.when(blank, "unreadable").otherwise(reason))
     else:
         parsed = df.withColumn("_payload", F.try_parse_json(payload))
         lists = F.coalesce(*[F.try_variant_get("_payload", p, "array<variant>") for p in spec.items])
         unread = parsed.withColumn(
             "reason", F.when(F.col("_payload").isNull(), "unreadable").when(lists.isNull(), "no list"))
         opener = explode_items
-    unread = unread.filter("reason IS NOT NULL").select(*kept, "reason", F.lit(None).cast("int").alias("item_pos"))
+    unread = unread.filter("reason IS NOT NULL").select(
+        *kept, "reason", F.lit(None).cast("int").alias("item_pos"), F.col(payload).alias("raw"))
     if spec.keep is None:
         return unread
     rows = opener(df, spec, payload).filter(~F.coalesce(spec.keep(F.col("item")), F.lit(False)))
-    return unread.unionByName(
-        rows.withColumn("reason", F.lit("filtered")).select(*kept, "reason", F.col("item_pos").cast("int")))
+    return unread.unionByName(rows.select(
+        *kept, F.lit("filtered").alias("reason"), F.col("item_pos").cast("int"), F.to_json("item").alias("raw")))
+
+
+def left_out(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
+    """Everything landed that becomes no posting, with ``reason`` (of :func:`quarantine`, or ``invalid``),
+    ``item_pos`` and ``raw``; ``landed`` is the rest of the landed row as JSON."""
+    rest = [c for c in df.columns if c != payload]
+    df = df.withColumn("landed", F.to_json(F.struct(*rest)) if rest else F.lit(None).cast("string"))
+    shape = ["landed", "reason", "item_pos", "raw"]
+    _, rejected = normalize_payload(df, spec, payload)
+    invalid = rejected.select(
+        "landed", F.lit("invalid").alias("reason"), F.col("item_pos").cast("int").alias("item_pos"), "raw")
+    return quarantine(df, spec, payload).select(*shape).unionByName(invalid)
 
 
 TARGET_FIELDS = ("company", "base_url", "tenant", "language")
+NAME_SPACE = r"<(/?)[A-Za-z_][\w.-]*:"
 
 
 def explode_xml(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
@@ -388,7 +412,7 @@ def explode_xml(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFram
     lists. Each child of an item is read as ``name -> [texts]``.
     """
     tag = spec.xml_items
-    body = F.regexp_replace(payload, r"<(/?)[A-Za-z_][\w.-]*:", "<$1")
+    body = F.regexp_replace(payload, NAME_SPACE, "<$1")
     items = F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1)
     rows = open_array(df, [c for c in df.columns if c != payload], items, "_xml", "item_pos")
     names = spec.items
@@ -415,6 +439,14 @@ def xml_texts(xml: Column, name: str) -> Column:
     return F.filter(F.transform(plain, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def card_body(spec: Spec, payload: str) -> Column:
+    """The text in which the cards of a page are looked for."""
+    from vakanz.functions.text import unescape
+
+    body = F.regexp_replace(payload, r"<!\[CDATA\[|\]\]>", "")
+    return unescape(body) if spec.escaped else body
+
+
 def explode_cards(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
     """Result cards of a landed HTML page: one pattern per card, one per field of a card.
 
@@ -422,10 +454,7 @@ def explode_cards(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFr
     """
     from vakanz.functions.text import collapse, unescape
 
-    body = F.regexp_replace(payload, r"<!\[CDATA\[|\]\]>", "")
-    if spec.escaped:
-        body = unescape(body)
-    cards = F.regexp_extract_all(body, F.lit(spec.cards), 0)
+    cards = F.regexp_extract_all(card_body(spec, payload), F.lit(spec.cards), 0)
     rows = open_array(df, [c for c in df.columns if c != payload], cards, "_card", "item_pos")
     texts = [
         blank_to_null(

@@ -7,6 +7,7 @@ folder, so a stopped query goes on where it was.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from vakanz.operators.common import lag_by_bucket, time_bucket
-from vakanz.sources.landing import Spec, normalize_payload, to_posting
+from vakanz.sources.landing import Spec, left_out, normalize_payload, to_posting
 from vakanz.sources.tables import ConcurrentCommit, VersionedTable, apply_upsert
 
 
@@ -45,20 +46,29 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
 
 def continuous_ingest(
     stream: DataFrame, spec: Spec, postings: VersionedTable, snapshots_path: str, checkpoint: str,
-    now: Column, payload: str = "payload", compact_after: int = 50,
+    now: Column, payload: str = "payload", compact_after: int = 50, rejected_path: str | None = None,
 ) -> StreamingQuery:
     """Landing stream to versioned postings: normalize, then one upsert per micro-batch.
 
+    What gives no posting (:func:`landing.left_out`) is written with the provider and the batch's note,
+    before the postings become visible, to ``rejected_path``, else to a folder named like the postings
+    with ``-rejected`` behind it. A batch has its own folder there, so a repeated one replaces its rows.
+
     Several streams may write one table: a batch is known by its stream (its checkpoint folder),
     its provider and its number. After ``compact_after`` deltas the table is rewritten, unless
     another stream commits meanwhile; then a later batch does it.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        note = f"{checkpoint} {spec.provider} {batch_id}"
         valid, _ = normalize_payload(batch, spec, payload)
+        lost = left_out(batch, spec, payload).select(
+            F.lit(spec.provider).alias("source"), F.lit(note).alias("note"), "*")
+        folder = f"batch=b{hashlib.sha256(note.encode()).hexdigest()[:32]}"
+        lost.write.mode("overwrite").parquet(f"{rejected_path or postings.root + '-rejected'}/{folder}")
         apply_upsert(
             postings, snapshots_path, to_posting(valid), keys=["source", "external_id"],
-            hash_cols=HASHED, now=now, text_col="description_text", note=f"{checkpoint} {spec.provider} {batch_id}",
+            hash_cols=HASHED, now=now, text_col="description_text", note=note,
         )
         if len(postings.visible()) > compact_after:
             with suppress(ConcurrentCommit):
