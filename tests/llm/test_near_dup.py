@@ -85,6 +85,17 @@ def test_an_id_with_several_texts_is_one_document(spark):
     assert result(near_dup.near_components(docs, words=4)) == brute(rows, 4)
 
 
+def test_deduplicate_compares_rows_not_ids(spark):
+    """Unrelated texts under one id all stay; copies without an id go."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(9)) for x in "abcd")
+    rows = [(7, a), (5, b), (5, a), (None, b), (None, c), (None, c), (9, ""), (9, d), (None, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "key long, body string")
+        kept = near_dup.deduplicate(docs, id_col="key", text_col="body", words=4)
+        got = sorted(((r["key"], r["body"]) for r in kept.collect()), key=str)
+        assert got == sorted([(5, a), (5, b), (9, ""), (9, d), (None, c), (None, None)], key=str)
+
+
 def test_query_on_the_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert result(queries.op9(spark, sf_dir)) == brute(rows, 4)

@@ -20,8 +20,8 @@ Bucket members, pairs and labels are joins and partial sums, so a large group is
 Defined results: null texts and texts without a word have an empty set and are linked with nothing;
 a text shorter than a shingle has its whole word sequence as its one shingle; rows that repeat a
 doc_id are one node of the graph (any of their texts links it); rows with a null doc_id are not part
-of the graph: component_id null, kept true; an empty table gives an empty result; other columns are
-only carried by :func:`deduplicate`.
+of the graph: component_id null, kept true; an empty table gives an empty result. :func:`deduplicate`
+carries all columns and takes each row, also one that repeats an id or has none, as a document.
 """
 
 from __future__ import annotations
@@ -296,16 +296,20 @@ def near_components(
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with all columns of ``docs``."""
-    judged = stage(near_components(docs, id_col=id_col, **options))
-    gone = judged.filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
-    left = left.join(gone, F.col("id") == F.col("gone_id"), "left_anti")
-    repeated = judged.filter("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        repeated = repeated.select(F.col("doc_id").alias("again_id"))
-        single = left.join(repeated, F.col("id") == F.col("again_id"), "left_anti").select("row")
-        again = left.join(repeated, F.col("id") == F.col("again_id")).groupBy("id").agg(F.first("row").alias("row"))
-        return single.unionByName(again.select("row")).select("row.*")
-    return left.select("row.*")
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, with all columns of ``docs``.
+
+    Rows are compared by their texts alone, whatever their ids: the graph runs on a row number that is
+    written with the rows. Of a component the row with the lowest id stays (null ids last), then by hash of
+    the text, then by row number; rows without a word all stay.
+    """
+    rows = stage(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_no")))
+    row_id, text = F.col("row")[id_col], F.col("row")[text_col]
+    judged = near_components(rows.select("row_no", text.alias("text")), id_col="row_no", **options)
+    judged = stage(judged.select(F.col("doc_id").alias("row_no"), "component_id"))
+    rank = rows.select("row_no", F.struct(
+        row_id.isNull().alias("no_id"), row_id.alias("id"), F.xxhash64(text).alias("digest"), "row_no").alias("rank"))
+    best = rank.join(judged, "row_no").groupBy("component_id").agg(
+        F.count("*").alias("size"), F.min("rank")["row_no"].alias("best_no")).filter("size > 1")
+    gone = judged.join(best, "component_id").filter("row_no <> best_no").select("row_no")
+    return rows.join(gone, "row_no", "left_anti").select("row.*")
