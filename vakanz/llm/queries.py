@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vakanz.llm import (
-    best_fit, chat, exact_dedup, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity, url_filter,
+    best_fit, chat, exact_dedup, merkle, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity,
+    url_filter,
 )
 from vakanz.llm.common import stage, table
 from vakanz.llm.labelled import fold_of
@@ -106,3 +107,65 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     # equal texts are one duplicate cluster
     return best_fit.pack(table(spark, sf_dir, "documents"), cluster=exact_dedup.content_of(F.col("text")))
+
+
+# Every level is a recursion step over both trees; the CRC-32 is folded bit by bit.
+OP13_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda c, b: list_reduce(
+    [xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+hashed AS (SELECT doc_id, source, {leaf} AS leaf,
+    sha256({fields} || {changed}) AS other FROM docs),
+base AS (SELECT row_number() OVER () AS rid, doc_id, source, leaf, other, coalesce('n' || source, '-') AS grp,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS size FROM hashed),
+nodes AS (SELECT 0 AS lvl, grp, idx, size, leaf AS hash FROM base UNION ALL
+  SELECT lvl + 1, grp, idx // 16, (max(size) + 15) // 16, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM nodes WHERE size > 1 GROUP BY lvl, grp, idx // 16),
+tops AS (SELECT n.lvl AS height, n.grp, n.hash, row_number() OVER (ORDER BY b.source NULLS FIRST) - 1 AS idx,
+    count(*) OVER () AS size
+  FROM nodes n JOIN (SELECT DISTINCT grp, source FROM base) b USING (grp) WHERE n.size = 1),
+upper AS (SELECT 0 AS lvl, idx, size, hash FROM tops UNION ALL
+  SELECT lvl + 1, idx // 16, (max(size) + 15) // 16, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM upper WHERE size > 1 GROUP BY lvl, idx // 16),
+root AS (SELECT hash FROM upper WHERE size = 1),
+beside AS (
+  SELECT b.rid, n.lvl AS step, n.idx, n.hash, n.idx < b.idx // (16 ** n.lvl)::BIGINT AS left_of
+  FROM base b JOIN nodes n ON n.grp = b.grp AND n.size > 1 AND n.idx // 16 = b.idx // (16 ** (n.lvl + 1))::BIGINT
+    AND n.idx <> b.idx // (16 ** n.lvl)::BIGINT
+  UNION ALL
+  SELECT b.rid, t.height + u.lvl, u.idx, u.hash, u.idx < t.idx // (16 ** u.lvl)::BIGINT
+  FROM base b JOIN tops t USING (grp) JOIN upper u ON u.size > 1
+    AND u.idx // 16 = t.idx // (16 ** (u.lvl + 1))::BIGINT AND u.idx <> t.idx // (16 ** u.lvl)::BIGINT),
+proofs AS (SELECT rid, sha256(string_agg(hash, '' ORDER BY step, idx)) AS proof FROM beside GROUP BY rid),
+sides AS (SELECT rid, step, coalesce(string_agg(hash, '' ORDER BY idx) FILTER (left_of), '') AS l,
+    coalesce(string_agg(hash, '' ORDER BY idx) FILTER (NOT left_of), '') AS r FROM beside GROUP BY rid, step),
+heights AS (SELECT b.rid, b.other, t.height + (SELECT max(lvl) FROM upper) AS steps, t.hash AS subroot
+  FROM base b JOIN tops t USING (grp)),
+folded AS (SELECT rid, 0 AS step, steps, other AS hash FROM heights UNION ALL
+  SELECT f.rid, f.step + 1, f.steps, sha256(coalesce(s.l, '') || f.hash || coalesce(s.r, ''))
+  FROM folded f LEFT JOIN sides s ON s.rid = f.rid AND s.step = f.step WHERE f.step < f.steps)
+SELECT b.doc_id, b.leaf, h.subroot, (SELECT hash FROM root) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+    f.hash AS folded_root, f.hash = (SELECT hash FROM root) AS verified
+FROM base b JOIN heights h USING (rid) JOIN folded f ON f.rid = b.rid AND f.step = f.steps
+LEFT JOIN proofs p ON p.rid = b.rid
+""".format(
+    leaf="sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+                                 for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")",
+    fields=" || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars")),
+    changed="coalesce(strlen(text) || ':' || CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN "
+            f"translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}') ELSE text END, '-')",
+)
+
+
+@query("op13_merkle", OP13_SQL)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = merkle.leaf_of([*head, merkle.tampered(F.col("text"), F.col("doc_id"))])
+    made = merkle.manifest(docs, merkle.leaf_of([*head, F.col("text")]), F.col("source"), [F.col("doc_id")],
+                           F.struct("doc_id", changed.alias("changed")))
+    folded = merkle.fold(F.col("path"), F.col("row.changed"))
+    return made.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
