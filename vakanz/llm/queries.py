@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vakanz.llm import (
     best_fit, chat, exact_dedup, merkle, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity,
-    url_filter,
+    url_filter, whitening,
 )
 from vakanz.llm.common import stage, table
 from vakanz.llm.labelled import fold_of
@@ -169,3 +169,8 @@ def op13(spark, sf_dir):
     folded = merkle.fold(F.col("path"), F.col("row.changed"))
     return made.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.by_component(*whitening.whiten(table(spark, sf_dir, "embeddings")))
