@@ -8,8 +8,8 @@ slot in its run and by the length of the run, are its siblings; rows in slot 0 h
 The proof of a row is the list of its siblings from its leaf up to the root, handed down from each
 level to the one below.
 
-Rows are numbered by a range sort, and a window covers ``CHUNK`` consecutive nodes of a group, a
-multiple of every run, so a group with a third of all rows is spread over many tasks. Levels shrink
+Rows are numbered by a range sort, and a window covers ``WINDOW_RUNS`` runs
+of a group, so a group with a third of all rows is spread over many tasks. Levels shrink
 by ``fan``; each is written once and read again.
 
 Defined results: a null field is hashed as ``-``, other fields with their length, so a null and an
@@ -31,7 +31,7 @@ from vakanz.llm.common import stage
 from vakanz.operators.common import global_row_number
 
 FAN = 16
-WINDOW_RUNS = 256  # runs of a window
+WINDOW_RUNS = 32  # runs of a window
 SALTS = 32
 PATH = "array<struct<left: string, right: string>>"
 

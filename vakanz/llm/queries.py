@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vakanz.llm import (
-    best_fit, chat, exact_dedup, merkle, mixing, near_dup, quality_model, quality_rules, token_blocks, toxicity,
-    url_filter, whitening,
+    best_fit, chat, exact_dedup, hnsw, merkle, mixing, near_dup, quality_model, quality_rules, token_blocks,
+    toxicity, url_filter, whitening,
 )
 from vakanz.llm.common import stage, table
 from vakanz.llm.labelled import fold_of
@@ -174,3 +174,9 @@ def op13(spark, sf_dir):
 @query("op11_whitening")
 def op11(spark, sf_dir):
     return whitening.by_component(*whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+@query("op12_neighbours")
+def op12(spark, sf_dir):
+    found = hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
