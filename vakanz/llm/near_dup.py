@@ -9,11 +9,15 @@ soon as it falls below ``miss``. Pairs that stay are checked on their full sets.
 
 Only components matter, so copies are never expanded into pairs:
 
-1. every node of a band bucket is compared with the bucket's lowest and highest node; of the
-   surviving pairs each node first checks the one with the most agreeing values;
+1. every node of a band bucket is compared with the bucket's hub and its lowest node; of the
+   surviving pairs each node first checks the one with the most agreeing values. The hub is the
+   node whose buckets are the fullest: the copy with the fewest changes of its own;
 2. then the other surviving pairs whose ends are still in different components;
-3. then, in buckets that still hold several components, the nodes outside the largest one with
-   the others: all pairs of a bucket whose ends are not connected yet. Nothing is left after that.
+3. then the nodes of buckets that still hold several components meet by their rarest shingles.
+   In one order of all shingles, rarest first, two sets of the wanted similarity share one among
+   the first of each, and its place in both bounds what else they can share. A copy too far from
+   its hub has nearly that many shingles of its own, so these are the ones it meets others by.
+   Nothing is left after that.
 
 Bucket members, pairs and labels are joins and partial sums, so a large group is spread over tasks.
 
@@ -30,7 +34,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vakanz.llm.common import stage
@@ -38,6 +42,7 @@ from vakanz.llm.common import stage
 BANDS, ROWS = 42, 6
 VALUES = BANDS * ROWS
 BATCH = 36  # signature values compared at a time
+SALTS = 64
 CHUNK = 1 << 20  # bytes of a text hashed at a time
 SCHEMA = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary"
 
@@ -229,6 +234,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _elements(words: int):
+    def rows(batches):
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingles(text, words)
+                mark = int(mix(found ^ _LETTER[0]).sum(dtype=np.uint64).astype(np.int64))
+                for at in range(0, len(found), CHUNK):
+                    part = found[at:at + CHUNK].view(np.int64)
+                    same = lambda v, k=len(part): pa.array(np.full(k, v, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [same(node), same(mark), same(len(found)), pa.array(part)], ["node", "mark", "n", "e"])
+
+    return rows
+
+
+def rare_pairs(texts: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b of different components that can reach the threshold, by their rarest shingles.
+
+    ``texts`` has node and text, ``comps`` node and comp. Of two sets with n and m shingles that reach
+    the threshold t = percent * (n + m) / (100 + percent) are common; the first common one in the order
+    of all shingles is at place n - t + 1 or before in one and m - t + 1 or before in the other.
+    """
+    sets = stage(texts.select("node", "text").mapInArrow(_elements(words), "node long, mark long, n long, e long"))
+    shared = sets.groupBy("e").agg(F.count("*").alias("f")).filter("f > 1")
+    one = Window.partitionBy("node", "mark")
+    placed = sets.join(shared, "e").withColumn(
+        "place", F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("f", "e")))
+    first = stage(placed.filter(F.col("place") * 100 <= F.col("n") * (100 - percent) + 100).join(comps, "node").select(
+        "e", "node", "comp", "n", "place"))
+    sizes = first.groupBy("e", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("e").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    open_ = first.join(main.filter("comps > 1"), "e")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "place")]
+    outside = open_.filter("comp <> main").select("e", *side("a"))
+    common = (F.col("n_a") + F.col("n_b")) * percent
+    fits = (F.col("comp_a") != F.col("comp_b")) & (
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (
+        F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + percent) + 100 + percent >= common)
+    both = outside.alias("x").join(open_.select(F.col("e").alias("e_b"), *side("b")).alias("y"), (F.col("e") == F.col("e_b")) & fits)
+    return both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
 def _with_labels(pairs: DataFrame, labels: DataFrame, *sides: str) -> DataFrame:
     for x in sides:
         named = labels.select(F.col("node").alias(x), F.col("comp").alias(f"found_{x}"))
@@ -251,9 +298,13 @@ def near_components(
     nodes = stage(in_graph.groupBy("n", "d1", "d2").agg(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = stage(members.join(ends, "bucket"))  # of buckets with two nodes or more
-    star = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
+    full = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stage(members.join(full, "bucket"))  # of buckets with two nodes or more
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    ends = members.join(weights, "node").groupBy("bucket").agg(
+        F.min("node").alias("low"), F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    members = stage(members.select("node", "bucket").join(ends, "bucket"))
+    star = members.select(F.col("node").alias("a"), F.explode(F.array("low", "hub")).alias("b")).filter("a <> b").distinct()
     likely = stage(survivors(star, nodes, percent, miss))
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     texts = stage(rows.join(members.select("node").distinct(), "node"))
@@ -272,15 +323,9 @@ def near_components(
         labels = components(edges)
     spread = _with_labels(members.select(F.col("node").alias("a"), "bucket"), labels, "a")
     mixed = spread.groupBy("bucket").agg(F.min("comp_a").alias("x"), F.max("comp_a").alias("y")).filter("x < y")
-    spread = stage(spread.join(mixed.select("bucket"), "bucket"))
-    if not spread.isEmpty():
-        sizes = spread.groupBy("bucket", "comp_a").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp_a")).alias("m")).select(
-            "bucket", F.col("m.comp_a").alias("main"))
-        outside = spread.join(main, "bucket").filter("comp_a <> main").select("bucket", "a", "comp_a")
-        others = spread.select("bucket", F.col("a").alias("b"), F.col("comp_a").alias("comp_b"))
-        left = outside.join(others, "bucket").filter("comp_a <> comp_b").select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    comps = stage(spread.join(mixed.select("bucket"), "bucket").select(F.col("a").alias("node"), F.col("comp_a").alias("comp")).distinct())
+    if not comps.isEmpty():
+        left = rare_pairs(texts.join(comps.select("node"), "node"), comps, words, percent)
         left = left.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
         left = stage(survivors(left, nodes, percent, miss))
         if not left.isEmpty():
@@ -311,5 +356,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         row_id.isNull().alias("no_id"), row_id.alias("id"), F.xxhash64(text).alias("digest"), "row_no").alias("rank"))
     best = rank.join(judged, "row_no").groupBy("component_id").agg(
         F.count("*").alias("size"), F.min("rank")["row_no"].alias("best_no")).filter("size > 1")
-    gone = judged.join(best, "component_id").filter("row_no <> best_no").select("row_no")
+    # by salt, so the rows of a large component go to many tasks
+    best = best.select("component_id", "best_no", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = judged.withColumn("salt", F.pmod(F.hash("row_no"), F.lit(SALTS)))
+    gone = salted.join(best, ["component_id", "salt"]).filter("row_no <> best_no").select("row_no")
     return rows.join(gone, "row_no", "left_anti").select("row.*")
