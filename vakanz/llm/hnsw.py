@@ -2,8 +2,8 @@
 
 Equal vectors are one node, which carries the smallest ids of its rows: no more than ``k + 1`` of
 them can ever be in an answer, so nothing is lost and a vector that a third of all rows share is one
-node. Nodes are dealt to shards by hash. A shard's hierarchical graph is built in a fixed order with
-levels drawn from the vector's hash, so a task that runs again builds the same graph, and is written
+node. Nodes are dealt to shards by hash. A shard's hierarchical graph is built in the order of that hash with
+levels from a fixed seed, so a task that runs again builds the same graph, and is written
 as flat arrays: vectors, neighbours of the ground level (``2 * LINKS`` a node, -1 where unused),
 neighbours of the upper levels and where a node's upper levels begin. Every query then searches every
 shard; queries of a shard are cut into parts of ``QUERIES``, each with its copy of the graph. Distances
@@ -226,7 +226,8 @@ def build_index(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
     size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
     shards = shards_of(size.n, size.dim or 1)
     dealt = nodes.withColumn("shard", F.pmod(F.hash(F.col("place")), F.lit(shards)))
-    return stage(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX)), shards
+    # by range, so that a few shards don't meet in one task
+    return stage(dealt.repartitionByRange(shards, "shard").groupBy("dim", "shard").applyInArrow(_build, INDEX)), shards
 
 
 def nearest(

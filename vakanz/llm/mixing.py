@@ -14,7 +14,8 @@ per source.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of
 its own, after all others; an empty table gives an empty mix; rows repeated in the input are
-separate documents; other columns are not read.
+separate documents; other columns are not read. A document's place depends on its id and its text,
+so rows that share an id or have none are spread like all others.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import SPACE, WORD, n_words, stage
+from vakanz.llm.common import n_words, stage
 
 CHUNK = 1 << 16  # slots ranked together
 CELLS = 1 << 12  # cells of [0, 1) by which a point finds its source
@@ -34,7 +35,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets:
     """doc_id, source, size and the place ``start`` of every document in its source's order."""
     rows = stage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit("mix"), F.col(id_col)).alias("spot")))
+        F.xxhash64(F.lit("mix"), F.col(id_col), F.xxhash64(text_col)).alias("spot")))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("spot", 40) % buckets).withColumn(
         "row_no", F.monotonically_increasing_id())
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -162,41 +163,34 @@ def taken_words(parts: DataFrame, placed: DataFrame, goal: DataFrame) -> DataFra
         "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "start")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word, white space as it was."""
-    words, gaps = F.split(text, SPACE), F.split(text, WORD)
-    # one of the two begins the text; the other then begins with an empty string
-    lead = F.when(F.get(words, F.lit(0)) == "", F.lit(1)).otherwise(F.lit(0))
-    pieces = F.zip_with(F.slice(words, lead + 1, n.cast("int")), F.slice(gaps, 1, n.cast("int")), lambda w, g: F.concat(g, w))
-    return F.array_join(pieces, "")
-
-
 def mixed_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options,
 ) -> DataFrame:
-    """The mix as rows of ``docs``: a document once per whole pass that takes it.
+    """The mix as rows of ``docs``: a document once per pass that takes it, always whole.
 
-    Where a source's target ends inside a document, that pass gives its words up to there. Rows of
-    size 0 are in no mix. Rows that agree in id and source are told apart by their place, so
-    each gets its own passes.
+    Where a source's target ends inside a document, that pass takes it if the source then is nearer to
+    its target than without it, so a source misses its target by half a document at most. Rows of
+    size 0 are in no mix. Rows that agree in id, source and size get their passes in the order of
+    their texts' hashes; rows that agree in the text as well can't be told apart.
     """
     parts, placed, goal = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    taken = taken_words(parts, placed, goal).filter("taken > 0").select("doc_id", "source", "size", "taken", "start")
+    taken = taken_words(parts, placed, goal).filter("taken > 0")
+    passes = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
+    taken = taken.select("doc_id", "source", "size", "start", passes.alias("passes"))
     same = Window.partitionBy("doc_id", "source", "size").orderBy("start")
-    taken = stage(taken.withColumn("copy", F.row_number().over(same)))
+    every = placed.filter("size > 0").select("doc_id", "source", "size", "start")
+    copies = every.withColumn("copy", F.row_number().over(same)).alias("c")
+    taken = stage(copies.join(taken.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")) & (
+        F.col("c.start") == F.col("t.start")), "left").select("c.doc_id", "c.source", "c.size", "copy", "passes"))
+    repeated = not taken.filter("copy > 1").isEmpty()
+    taken = taken.filter("passes > 0")
     rows = docs.select(
         F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("src"),
         n_words(F.col(text_col)).alias("words"))
-    repeated = taken.filter("copy > 1").select("doc_id").distinct()
     key = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    if not repeated.isEmpty():
-        again = Window.partitionBy("id", "src", "words").orderBy("id")
+    if repeated:
+        again = Window.partitionBy("id", "src", "words").orderBy(F.xxhash64(f"row.{text_col}"))
         rows = rows.withColumn("nth", F.row_number().over(again))
         key = key & (F.col("nth") == F.col("copy"))
-    got = rows.join(taken, key)
-    got = got.withColumn("left", F.explode(F.sequence(F.col("taken"), F.lit(1).cast("long"), -F.col("size"))))
-    whole = F.col("left") >= F.col("size")
-    out = got.withColumn("text_", F.when(whole, F.col(f"row.{text_col}")).otherwise(
-        first_words(F.col(f"row.{text_col}"), F.col("left"))))
-    return out.select(*[
-        F.col("text_").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    got = rows.join(taken, key).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return got.select("row.*")
