@@ -364,51 +364,75 @@ def test_concurrent_commits(spark, tmp_path):
     assert not create_once(spark, f"{store.root}/manifest/v-000000000003.json", "x")
 
 
-def test_stuck_run_behind_the_watermark(spark, tmp_path):
-    """A run whose rows come in the trigger in which its limit has passed is an error at once."""
+def _files(spark, rows, schema, folder):
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.read_landing(spark, folder, schema, files_per_batch=1)
+
+
+def test_stuck_runs(spark, tmp_path):
+    """A run is an error when event time has passed its limit, whenever its rows come; a late end finishes it."""
     schema = "run long, at timestamp, done boolean"
-    folder = str(tmp_path / "in")
     day = lambda n, h=0: datetime(2026, 1, n, h)
-    for rows in ([(1, day(1), False)], [(9, day(20), True)], [(1, day(20), False)], [(9, day(20, 1), True)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.read_landing(spark, folder, schema, files_per_batch=1)
-    out = str(tmp_path / "out")
+    rows = ([(1, day(1), False), (3, day(1), False)], [(9, day(20), True)], [(1, day(20), False), (2, day(1), False)],
+            [(9, day(20, 1), True), (4, day(20), False)], [(3, day(2), True)])
+    stream, out = _files(spark, rows, schema, str(tmp_path / "in")), str(tmp_path / "out")
 
     def sink(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
 
-    jobs.run_once(
-        jobs.stuck_runs(stream, "run", "at", F.col("done"), delay="26 hours"), sink, str(tmp_path / "c"), "update"
-    ).awaitTermination()
-    last = {r.run_id: r.state for r in spark.read.parquet(out).orderBy("batch").collect()}
-    assert last == {1: "error", 9: "finished"}
+    jobs.run_once(jobs.run_states(stream, "run", "at", F.col("done")), sink, str(tmp_path / "c"), "update").awaitTermination()
+    newest = F.max_by(F.struct("start", "last", "finished"), "batch").alias("s")
+    states = spark.read.parquet(out).groupBy("run_id").agg(newest).select("run_id", "s.*")
+    assert {r.run_id: r.state for r in jobs.stuck_runs(states).collect()} == {
+        1: "error", 2: "error", 3: "finished", 4: "running", 9: "finished"}
 
 
 def test_state_over_many_batches(spark, tmp_path):
-    """Folding batch by batch gives the same as one batch over everything."""
-    from pyspark.sql.types import StructType
-
-    rows = [(i % 4, datetime(2026, 1, 1 + i // 10, i % 10), i % 5 == 0, i % 7 == 3, "abc"[i % 3], i) for i in range(120)]
-    schema = "key long, at timestamp, failed boolean, success boolean, value string, tie long"
-    df = spark.createDataFrame(rows, schema)
-    folder = tmp_path / "in"
-    for n in range(4):
-        df.filter(F.col("tie").between(n * 30, n * 30 + 29)).coalesce(1).write.mode("append").parquet(str(folder))
-    stream = jobs.read_landing(spark, str(folder), schema, files_per_batch=1)
-    assert isinstance(df.schema, StructType)
-    store = VersionedTable(spark, str(tmp_path / "fail"))
-    jobs.run_with_state(stream, store, jobs.fold_failures, str(tmp_path / "c1")).awaitTermination()
-    once = jobs.fold_failures(None, df)
-    assert store.current()[0] == 4
-    assert store.read().exceptAll(once).count() == 0 == once.exceptAll(store.read()).count()
-
-    last = VersionedTable(spark, str(tmp_path / "last"))
+    """Rows in any order, each batch late against the ones before and one given twice, end in the batch result."""
+    rows = [(i % 4, datetime(2026, 1, 1 + i // 10, i % 10), i, i % 5 == 0, i % 7 == 3, None if i % 11 == 0 else "abc"[i % 3])
+            for i in range(120)]
+    schema = "key long, at timestamp, tie long, failed boolean, success boolean, value string"
+    shuffled = sorted(rows, key=lambda r: r[2] * 37 % 101)
+    parts = [shuffled[n:n + 24] for n in range(0, 120, 24)] + [shuffled[24:48]]
+    stream, df = _files(spark, parts, schema, str(tmp_path / "in")), spark.createDataFrame(rows, schema)
+    flags = ["key", "at", "tie", "failed", "success"]
+    store = jobs.KeyedRows(spark, str(tmp_path / "fail"), schema.replace(", value string", ""), buckets=3)
+    jobs.keep_rows(stream.select(*flags), store, str(tmp_path / "c1"), jobs.open_failures).awaitTermination()
+    once = jobs.failure_counts(df)
+    found = jobs.failure_counts(store.read())
+    assert found.exceptAll(once).count() == 0 == once.exceptAll(found).count()
+    assert store.read().count() < df.count()
+
+    plain = "key long, at timestamp, tie long, value string"
+    last, out = (jobs.KeyedRows(spark, str(tmp_path / n), plain, buckets=3) for n in ("last", "out"))
+    jobs.keep_rows(stream.select("key", "at", "tie", "value"), last, str(tmp_path / "c2"), derive=jobs.changes_in,
+                   derived=out).awaitTermination()
+    whole = jobs.changes_in(df.select("key", "at", "tie", "value"))
+    assert out.read().exceptAll(whole).count() == 0 == whole.exceptAll(out.read()).count()
+    assert last.touched(df.limit(0)) == [] and last.read([]).count() == 0
+
+
+def test_hot_keys_are_split_and_merged(spark, tmp_path):
+    """One key with most rows: parts are reduced on their own, the result is that of the whole."""
+    at = lambda i: datetime(2026, 1, 1 + i // 96, i // 4 % 24, i % 4 * 15)
+    rows = [(0 if i % 3 else i % 5, at(i * (7 if i > 60 else 1)), i) for i in range(200)]
+    schema = "key long, at timestamp, n long"
+    stream = _files(spark, [rows[i::4] for i in range(4)], schema, str(tmp_path / "in"))
     out = str(tmp_path / "out")
 
-    def emit(before, batch, batch_id):
-        jobs.changes_in(before, batch).write.mode("append").parquet(out)
-
-    jobs.run_with_state(stream, last, jobs.fold_last, str(tmp_path / "c2"), emit).awaitTermination()
-    whole = jobs.changes_in(None, df)
-    assert spark.read.parquet(out).exceptAll(whole).count() == 0
-    assert spark.read.parquet(out).count() == whole.count()
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/{batch_id}")
+
+    jobs.run_once(jobs.partial_sessions(stream, "at", "key", "2 hours", "60 days", salts=4), sink, str(tmp_path / "c"),
+                  "complete").awaitTermination()
+    parts = spark.read.parquet(f"{out}/3")
+    want = spark.createDataFrame(rows, schema).groupBy(F.session_window("at", "2 hours").alias("w"), "key").agg(
+        F.count("*").alias("n")).select("key", "w.start", "w.end", "n")
+    found = jobs.merge_sessions(parts, "key")
+    assert found.exceptAll(want).count() == 0 == want.exceptAll(found).count()
+    assert parts.count() > want.count()
+    seen = []
+    jobs.run_once(jobs.dedupe_stream(stream, ["key"], "at", "60 days"), lambda b, _: seen.extend(b.collect()),
+                  str(tmp_path / "d")).awaitTermination()
+    assert sorted(r.key for r in seen) == sorted({r[0] for r in rows})

@@ -314,6 +314,13 @@ SKILL_TERMS = {
         "expense reporting",
     ),
 }
+# words of a section or a level, never a skill of their own
+NO_SKILLS = (
+    "skills", "kenntnisse", "kompetenzen", "tools", "software", "advanced", "intermediate", "beginner",
+    "fortgeschritten", "grundkenntnisse",
+)
+# document titles that are no name
+RESUME_TITLES = ("lebenslauf", "curriculum vitae", "resume", "résumé", "bewerbung")
 SECTION_HEADINGS = {
     "summary": (
         "profil",
@@ -574,6 +581,19 @@ PREFERENCE_LABELS = {
     "maximum travel": "max_travel_percent",
 }
 
+# --- fixed values: role list headings, mode weights, commute limits in prose ------------
+ROLE_SECTION_LABELS = {
+    "hauptbegriffe": "primary_role_terms",
+    "main role terms": "primary_role_terms",
+    "primary role terms": "primary_role_terms",
+    "zusatzliche titel": "additional_role_terms",
+    "additional titles": "additional_role_terms",
+    "similar titles": "additional_role_terms",
+}
+# weights for onsite, hybrid, remote
+MODE_WEIGHTS = {"onsite": (1.0, 0.55, 0.2), "hybrid": (0.75, 1.0, 0.35), "remote": (0.4, 0.7, 1.0)}
+COMMUTE_PATTERN = r"(?:maximum|maximal(?:e)?|hochstens)\D{0,24}(\d{1,3})\s*(?:minutes|minuten|min)"
+
 # --- fixed values: working-time flags and their labels ----------------------------------
 WORKING_TIME_FLAGS = (
     ("arbeitszeitVollzeit", "VOLLZEIT"),

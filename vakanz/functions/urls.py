@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vakanz import fixed
-from vakanz.functions.text import blank_to_null, lookup, unescape
+from vakanz.functions.text import blank_to_null, let, lookup, unescape
 
 URI = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -21,6 +21,12 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.trim(url), URI, group)
 
 
+def parts_of(url: Column) -> Column:
+    """``struct<scheme,authority,path,query>``; bind it with ``let`` where several parts are used."""
+    return F.struct(F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("authority"),
+                    _part(url, 3).alias("path"), _part(url, 4).alias("query"))
+
+
 def scheme_of(url: Column) -> Column:
     return F.lower(_part(url, 1))
 
@@ -46,10 +52,6 @@ def bare_host(url: Column) -> Column:
     return F.regexp_replace(host_of(url), r"^www\.", "")
 
 
-def same_site(left: Column, right: Column) -> Column:
-    return F.coalesce(bare_host(left) == bare_host(right), F.lit(False))
-
-
 def _decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 
@@ -60,7 +62,11 @@ def _encode(c: Column) -> Column:
 
 def query_pairs(url: Column) -> Column:
     """Decoded ``array<struct<key,value>>`` of the query string."""
-    pieces = F.filter(F.split(query_of(url), "&"), lambda p: p != "")
+    return _pairs(query_of(url))
+
+
+def _pairs(query: Column) -> Column:
+    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
     return F.transform(
         pieces,
         lambda p: F.struct(
@@ -74,9 +80,13 @@ def query_pairs(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Lower scheme and host, no fragment or tracking keys, sorted query, no final slash."""
+    return let(parts_of(url), _canonical)
+
+
+def _canonical(parts: Column) -> Column:
     pairs = F.array_sort(
         F.filter(
-            query_pairs(url),
+            _pairs(parts["query"]),
             lambda p: ~F.lower(p["key"]).startswith("utm_")
             & ~F.lower(p["key"]).isin(*fixed.TRACKING_KEYS),
         )
@@ -85,16 +95,16 @@ def canonical_url(url: Column) -> Column:
         F.transform(pairs, lambda p: F.concat(_encode(p["key"]), F.lit("="), _encode(p["value"]))),
         "&",
     )
-    path = F.regexp_replace(path_of(url), "/+$", "")
-    path = F.when(path_of(url).isin("", "/"), F.lit("/")).otherwise(path)
+    path = F.regexp_replace(parts["path"], "/+$", "")
+    path = F.when(parts["path"].isin("", "/"), F.lit("/")).otherwise(path)
     built = F.concat(
-        scheme_of(url),
+        parts["scheme"],
         F.lit("://"),
-        F.lower(authority_of(url)),
+        F.lower(parts["authority"]),
         path,
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
+        let(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))),
     )
-    absolute = scheme_of(url).isin("http", "https") & (authority_of(url) != "")
+    absolute = parts["scheme"].isin("http", "https") & (parts["authority"] != "")
     return F.when(absolute, built)
 
 
@@ -114,10 +124,13 @@ def job_like(
     paths: Sequence[str] = fixed.JOB_PATHS,
     query_keys: Sequence[str] = fixed.JOB_QUERY_KEYS,
 ) -> Column:
-    path = F.regexp_replace(F.lower(path_of(url)), "/+$", "")
-    by_path = path.rlike("|".join(f"(?:{p})" for p in paths))
-    by_key = F.exists(query_pairs(url), lambda p: F.lower(p["key"]).isin(*query_keys))
-    return by_path | by_key
+    def judged(parts: Column) -> Column:
+        path = F.regexp_replace(F.lower(parts["path"]), "/+$", "")
+        by_path = path.rlike("|".join(f"(?:{p})" for p in paths))
+        by_key = F.exists(_pairs(parts["query"]), lambda p: F.lower(p["key"]).isin(*query_keys))
+        return by_path | by_key
+
+    return let(parts_of(url), judged)
 
 
 def strong_job_like(url: Column, paths: Sequence[str] = fixed.STRONG_JOB_PATHS) -> Column:
@@ -150,35 +163,38 @@ def without_dots(url: Column) -> Column:
 
 def resolve(base: Column, link: Column) -> Column:
     """Join a link to the address of its page and remove dot segments."""
-    return without_dots(_joined(base, link))
+    found = let(F.struct(base.alias("url"), parts_of(base).alias("parts"), link.alias("link")),
+                lambda x: _joined(x["url"], x["parts"], x["link"]))
+    return let(found, without_dots)
 
 
-def _joined(base: Column, link: Column) -> Column:
-    origin = F.concat(scheme_of(base), F.lit("://"), authority_of(base))
-    folder = F.regexp_replace(path_of(base), "[^/]*$", "")
+def _joined(base: Column, parts: Column, link: Column) -> Column:
+    origin = F.concat(parts["scheme"], F.lit("://"), parts["authority"])
+    folder = F.regexp_replace(parts["path"], "[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme_of(base), F.lit(":"), link))
+        .when(link.startswith("//"), F.concat(parts["scheme"], F.lit(":"), link))
         .when(link.startswith("/"), F.concat(origin, link))
         .when(link == "", base)
         .when(
             link.startswith("?") | link.startswith("#"),
-            F.concat(origin, path_of(base), link),
+            F.concat(origin, parts["path"], link),
         )
         .otherwise(F.concat(origin, folder, link))
     )
 
 
 def page_links(url: Column, html: Column, markdown: Column | None = None) -> Column:
-    """Distinct absolute links of a page in reading order: markdown links first, then hrefs."""
-    hrefs = F.transform(
-        F.regexp_extract_all(
-            html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1
-        ),
-        lambda h: resolve(url, unescape(h)),
-    )
-    links = F.coalesce(hrefs, F.array().cast("array<string>"))
+    """Distinct absolute links of a page in reading order: markdown links first, then hrefs.
+
+    The hrefs are decoded, joined and cleaned in three passes, so each step is computed once a link.
+    """
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1)
+    decoded = F.transform(found, unescape)
+    joined = let(F.struct(url.alias("url"), parts_of(url).alias("parts"), decoded.alias("links")), lambda x: F.transform(
+        x["links"], lambda link: _joined(x["url"], x["parts"], link)))
+    links = F.coalesce(F.transform(joined, without_dots), F.array().cast("array<string>"))
     if markdown is not None:
         marked = F.regexp_extract_all(markdown, F.lit(r"\]\(\s*<?(https?://[^)\s>]+)"), 1)
         links = F.concat(F.coalesce(marked, F.array().cast("array<string>")), links)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vakanz import fixed
 from vakanz.operators.common import lag_by_bucket, latest_per_key, open_array, time_bucket
+from vakanz.operators.profiles import Limits, first_of, head_of
 
 
 def valid_status(status: Column) -> Column:
@@ -178,11 +179,8 @@ FACT_SCHEMA = (
 )
 
 
-def profile_facts(profiles: DataFrame, key: str, data: str) -> DataFrame:
-    """Flatten a nested profile into (evidence_id, category, value) rows with list caps.
-
-    The list limits (50 skills, 30 entries, 20 languages, 20 tasks) are part of the fact format.
-    """
+def profile_facts(profiles: DataFrame, key: str, data: str, limits: Limits = Limits()) -> DataFrame:
+    """Flatten a nested profile into (evidence_id, category, value) rows, within ``limits``."""
     p = profiles.select(key, F.from_json(data, FACT_SCHEMA).alias("d"))
 
     def scalar(name: str) -> Column:
@@ -194,9 +192,9 @@ def profile_facts(profiles: DataFrame, key: str, data: str) -> DataFrame:
             )
         )
 
-    def listed(name: str, label: str, category: str, cap: int) -> Column:
+    def listed(name: str, label: str, category: str, cap: int | None) -> Column:
         return F.transform(
-            F.slice(F.col(f"d.{name}"), 1, cap),
+            first_of(F.col(f"d.{name}"), cap),
             lambda v, i: F.struct(
                 F.concat(F.lit(f"profile.{label}."), i.cast("string")).alias("evidence_id"),
                 F.lit(category).alias("category"),
@@ -204,7 +202,7 @@ def profile_facts(profiles: DataFrame, key: str, data: str) -> DataFrame:
             ),
         )
 
-    jobs = F.slice(F.col("d.work_experience"), 1, 30)
+    jobs = first_of(F.col("d.work_experience"), limits.entries)
     experience = F.transform(
         jobs,
         lambda w, i: F.struct(
@@ -222,7 +220,7 @@ def profile_facts(profiles: DataFrame, key: str, data: str) -> DataFrame:
         F.transform(
             jobs,
             lambda w, i: F.transform(
-                F.slice(F.coalesce(w["responsibilities"], F.array().cast("array<string>")), 1, 20),
+                first_of(F.coalesce(w["responsibilities"], F.array().cast("array<string>")), limits.tasks),
                 lambda r, j: F.struct(
                     F.concat(
                         F.lit("profile.experience."), i.cast("string"),
@@ -238,16 +236,16 @@ def profile_facts(profiles: DataFrame, key: str, data: str) -> DataFrame:
     parts = [
         scalar("current_title"),
         scalar("experience_years"),
-        listed("skills", "skill", "skill", 50),
-        listed("education", "education", "education", 30),
-        listed("certifications", "certifications", "certification", 30),
-        listed("languages", "language", "language", 20),
+        listed("skills", "skill", "skill", limits.skills),
+        listed("education", "education", "education", limits.education),
+        listed("certifications", "certifications", "certification", limits.certifications),
+        listed("languages", "language", "language", limits.languages),
         experience,
         tasks,
     ]
     facts = F.concat(*[F.coalesce(part, empty) for part in parts])
     rows = open_array(p, [key], facts, "f")
-    value = F.substring(F.trim("f.value"), 1, 1000)
+    value = head_of(F.trim("f.value"), limits.item)
     return rows.select(key, "f.evidence_id", "f.category", value.alias("value")).filter(
         F.coalesce(F.col("value"), F.lit("")) != ""
     )

@@ -109,16 +109,14 @@ def availability_split(status: Column, access: Column, allow_unverified: bool =
 
 def check_candidates(
     postings: DataFrame, now: Column, *, stale_days: int = 30, limit: int = 50,
-    prefetch: int | None = None, key: str = "job_id",
+    key: str = "job_id",
 ) -> DataFrame:
     """Next postings to check: planned, saved, new, others; then the longest unseen.
 
-    Planned as a top-k. ``prefetch`` first takes the oldest ``limit * prefetch`` postings.
+    Planned as a top-k over all postings that are due.
     """
     cutoff = now - F.expr(f"INTERVAL {max(1, stale_days)} DAYS")
     stale = postings.filter(F.col("last_seen_at") <= cutoff)
-    if prefetch:
-        stale = stale.orderBy("last_seen_at", key).limit(limit * prefetch)
     status = F.coalesce(F.col("status"), F.lit(fixed.NEW))
     rank = F.lit(3)
     for name, place in fixed.CHECK_PRIORITY.items():

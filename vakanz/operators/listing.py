@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vakanz import fixed
 from vakanz.functions.text import contains_any, fold, let, normalize_text, py_fold, py_normalize
-from vakanz.operators.common import latest_per_key, top_per_key
+from vakanz.operators.common import global_row_number, latest_per_key, top_per_key
 
 
 def search_text(columns: Sequence[Column], query: str, wildcards: bool = False) -> Column:
@@ -174,14 +174,36 @@ def list_page(
     return df.orderBy(*keys).offset(offset).limit(limit)
 
 
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+
+
+def deep_pages(
+    df: DataFrame, bucket: str, order: Sequence[Column], offset: int, size: int = 100
+) -> DataFrame:
+    """``section_pages`` at any depth: rows are numbered by one range sort over (section, order).
+
+    A section's rows are neighbours in that order, so a row's place in its section is its number less that
+    of the section's first row. Every task sorts one range; none sorts a section.
+    """
+    numbered = global_row_number(df.filter(F.col(bucket).isNotNull()), [F.col(bucket).asc(), *order], "_no")
+    firsts = numbered.groupBy(bucket).agg(F.min("_no").alias("_first"), F.count("*").alias("total"))
+    rows = numbered.join(firsts, bucket).withColumn("position", (F.col("_no") - F.col("_first") + 1).cast("int"))
+    page = rows.filter((F.col("position") > offset) & (F.col("position") <= offset + size)).drop("_no", "_first")
+    return page.withColumn("has_more", F.lit(offset + size) < F.col("total"))
+
+
 def section_pages(
     df: DataFrame, bucket: str, order: Sequence[Column], offset: int = 0, size: int = 100
 ) -> DataFrame:
     """Per section its rows ``offset`` to ``offset + size``, section total and ``has_more``.
 
     Totals are a partial aggregate and rows a ranked limit pushed before the shuffle, so a
-    section that holds most rows is never sorted as a whole. A section is one of a few names.
+    section that holds most rows is never sorted as a whole. Spark plans that limit up to ``GROUP_LIMIT``
+    rows; a page behind it comes from :func:`deep_pages`, with the same rows.
+    A section is one of a few names.
     """
+    if offset + size > GROUP_LIMIT:
+        return deep_pages(df, bucket, order, offset, size)
     totals = df.groupBy(bucket).agg(F.count("*").alias("total"))
     rows = top_per_key(df, [bucket], order, offset + size).filter(F.col("position") > offset)
     return rows.join(totals, bucket).withColumn(
@@ -238,7 +260,8 @@ def posting_detail(
 
     ``children`` maps a kind to (table, id column, time column). A posting may have any number
     of children, so they are not collected into one row; a posting without children appears
-    once with a null kind. The posting columns are joined last, on the same key.
+    once with a null kind. Children meet their posting by an inner join, where the planner can split the
+    children of one posting over tasks; postings without any come from an anti join.
     """
     rows = None
     for kind, (table, child_id, at) in children.items():
@@ -249,4 +272,7 @@ def posting_detail(
             F.col(at).alias("child_at"),
         )
         rows = part if rows is None else rows.unionByName(part)
-    return postings.join(rows, key, "left")
+    alone = postings.join(rows.select(key).distinct(), key, "left_anti")
+    for name in ("child_kind", "child_id", "child_at"):
+        alone = alone.withColumn(name, F.lit(None).cast(rows.schema[name].dataType))
+    return rows.join(postings, key).select(*alone.columns).unionByName(alone)

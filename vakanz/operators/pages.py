@@ -35,67 +35,80 @@ SCHEMA_TYPE = r"(?i)^(?:.*[/#])?jobposting$"
 
 
 def match_targets(
-    pages: DataFrame, targets: DataFrame, *, page_key: str, url: str = "url"
+    pages: DataFrame, targets: DataFrame, *, page_key: str = "page_key", url: str = "url"
 ) -> DataFrame:
     """First target whose host is the page's host or a parent of it.
 
-    The page host is opened into its suffixes, so this is an equi join on the bare host; a page
-    has as many rows as its host has labels. The join is left to the planner: few targets are
-    broadcast by their measured size, many are shuffled. ``targets``: target_pos, target_url
-    and any further columns.
+    Every distinct host is opened into its suffixes once and meets the first target of each bare host
+    by an equi join; pages then look their host up. Only keys, hosts and target columns move, never a
+    page's text. ``targets``: target_pos, target_url and any further columns.
     """
     hosted = pages.select(page_key, bare_host(F.col(url)).alias("_host"))
-    suffixes = open_array(hosted, [page_key], host_suffixes(F.col("_host")), "_suffix")
     named = targets.withColumn("_suffix", bare_host(F.col("target_url")))
-    return dedupe_first(
-        suffixes.join(named, "_suffix"), [page_key], [F.col("target_pos")]
-    ).drop("_suffix")
+    order = [F.col("target_pos"), F.col("target_url")]
+    first = dedupe_first(named, ["_suffix"], order)
+    hosts = hosted.select("_host").distinct()
+    opened = open_array(hosts, ["_host"], host_suffixes(F.col("_host")), "_suffix")
+    best = dedupe_first(opened.join(first, "_suffix"), ["_host"], order).drop("_suffix")
+    return hosted.join(best, "_host").drop("_host")
+
+
+# marks a string that starts with a bracket, so that text of a value is never taken for a nested one
+_STRING_MARK = "\ue000"
+_NODES = "array<struct<path: array<int>, json: string>>"
 
 
 def json_ld_posting(html: Column) -> Column:
     """First JobPosting object of the page's JSON-LD blocks as JSON text, null when none.
 
-    Looks at the root, a root list, ``@graph`` and ``mainEntity`` of every block.
+    Objects and lists are opened level by level to any depth, each node with the path of its place, so the
+    least path is the first object in reading order. A level costs what it holds; a page without the
+    word JobPosting in a block is not opened.
     """
-    blocks = F.transform(
+    cleaned = F.transform(
         F.regexp_extract_all(html, F.lit(JSON_LD), 1),
-        lambda b: F.try_parse_json(F.regexp_replace(F.trim(b), r"^<!--|-->$", "")),
+        lambda b: F.trim(F.regexp_replace(F.trim(b), r"^<!--|-->$", "")),
     )
-    empty = F.array().cast("array<variant>")
-
-    def candidates(v: Column) -> Column:
-        root = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
-        inner = F.flatten(
-            F.transform(
-                root,
-                lambda r: F.coalesce(F.try_variant_get(r, "$['@graph']", "array<variant>"), empty),
-            )
-        )
-        main = F.filter(
-            F.transform(root, lambda r: F.try_variant_get(r, "$.mainEntity", "variant")),
-            lambda r: r.isNotNull(),
+    blocks = F.filter(cleaned, lambda b: b.rlike("(?i)jobposting") & F.try_parse_json(b).isNotNull())
+    marked = F.transform(blocks, lambda b: F.regexp_replace(b, r'"(\s*[{\[])', f'"{_STRING_MARK}$1'))
+    start = F.struct(
+        F.array().cast(_NODES).alias("found"),
+        F.transform(marked, lambda b, i: F.struct(F.array(i).alias("path"), b.alias("json"))).cast(_NODES).alias("open"),
+    )
+
+    def is_posting(node: Column) -> Column:
+        own = F.from_json(node["json"], "map<string,string>")
+        kinds = coerce_list(F.replace(F.try_element_at(own, F.lit("@type")), F.lit(_STRING_MARK), F.lit("")))
+        return node["json"].startswith("{") & F.coalesce(F.exists(kinds, lambda k: k.rlike(SCHEMA_TYPE)), F.lit(False))
+
+    def children(node: Column) -> Column:
+        inner = F.when(node["json"].startswith("{"), F.map_values(F.from_json(node["json"], "map<string,string>"))).otherwise(
+            F.from_json(node["json"], "array<string>"))
+        placed = F.transform(inner, lambda v, i: F.struct(
+            F.concat(node["path"], F.array(i)).alias("path"), v.alias("json")))
+        return F.coalesce(F.filter(placed, lambda c: c["json"].rlike(r"^[{\[]")), F.array().cast(_NODES))
+
+    def level(state: Column, _: Column) -> Column:
+        return F.struct(
+            F.concat(state["found"], F.filter(state["open"], is_posting)).cast(_NODES).alias("found"),
+            F.flatten(F.transform(state["open"], children)).cast(_NODES).alias("open"),
         )
-        return F.concat(root, inner, main)
 
-    def is_posting(v: Column) -> Column:
-        kinds = coerce_list(F.try_variant_get(v, "$['@type']", "string"))
-        return F.exists(kinds, lambda k: k.rlike(SCHEMA_TYPE))
+    text = F.array_join(marked, "")
+    depth = F.length(text) - F.length(F.translate(text, "{[", "")) + 1  # more levels than brackets can't be
+    walked = F.aggregate(F.sequence(F.lit(1), depth), start, level, lambda s: F.array_sort(s["found"]))
+    first = F.replace(F.try_element_at(walked, F.lit(1))["json"], F.lit(_STRING_MARK), F.lit(""))
+    return F.when(html.rlike("(?i)ld\\+json") & html.rlike("(?i)jobposting"), first)
 
-    every = F.flatten(F.transform(F.filter(blocks, lambda b: b.isNotNull()), candidates))
-    posting = F.try_element_at(F.filter(every, is_posting), F.lit(1))
-    return F.when(html.rlike("(?i)ld\\+json"), F.to_json(posting))
+
+def signal_flags(text: Column, groups: Sequence[Sequence[str]] = fixed.SIGNAL_GROUPS) -> Column:
+    """Which content groups of a posting occur in the text, as ``array<boolean>``."""
+    return let(fold(text), lambda folded: F.array(*[contains_any(folded, terms) for terms in groups]))
 
 
 def signal_count(text: Column, groups: Sequence[Sequence[str]] = fixed.SIGNAL_GROUPS) -> Column:
     """How many content groups of a posting occur in the text."""
-
-    def count(folded: Column) -> Column:
-        total = F.lit(0)
-        for terms in groups:
-            total = total + contains_any(folded, terms).cast("int")
-        return total
-
-    return let(fold(text), count)
+    return F.size(F.filter(signal_flags(text, groups), lambda x: x))
 
 
 def generic_title(title: Column, titles: Sequence[str] = fixed.GENERIC_TITLES) -> Column:
@@ -122,6 +135,25 @@ def html_title(html: Column) -> Column:
     )
 
 
+def page_facts(
+    pages: DataFrame,
+    *,
+    html: str = "html",
+    markdown: str | None = None,
+    signal_groups: Sequence[Sequence[str]] = fixed.SIGNAL_GROUPS,
+) -> DataFrame:
+    """What a decision needs of a page's text, read where the page is stored.
+
+    Adds ``_ld``, ``_html_title`` and ``_flags``. Compute it before pages meet their targets: a plan
+    that doesn't select the text afterwards then never moves it.
+    """
+    body = F.concat_ws(" ", F.col(markdown) if markdown else F.lit(""), F.coalesce(html, F.lit("")))
+    return pages.withColumns({
+        "_ld": json_ld_posting(F.col(html)), "_html_title": html_title(F.col(html)),
+        "_flags": signal_flags(body, signal_groups),
+    })
+
+
 def page_to_posting(
     pages: DataFrame,
     *,
@@ -138,6 +170,7 @@ def page_to_posting(
     target_company, target_location, accept_all_pages (see ``match_targets``). ``metadata`` is
     a ``map<string,string>`` column with lower-case keys. Output adds accepted, evidence,
     confidence, external_id, title, company, locations, remote, salary and dates. No shuffle.
+    Pages may come with the columns of ``page_facts``; else they are read here.
     """
     nothing = F.lit(None).cast("string")
 
@@ -156,7 +189,8 @@ def page_to_posting(
         return blank_to_null(F.get_json_object("_ld", path))
 
     marked = F.col(markdown) if markdown else F.lit("")
-    df = pages.withColumn("_ld", json_ld_posting(F.col(html)))
+    df = pages if "_ld" in pages.columns else page_facts(
+        pages, html=html, markdown=markdown, signal_groups=signal_groups)
     own = F.coalesce(blank_to_null(F.col(url)), meta("sourceURL", "url", "canonicalUrl", "ogUrl"),
                      F.col("target_url"))
     df = df.withColumn(
@@ -167,13 +201,13 @@ def page_to_posting(
         F.coalesce(
             collapse(ld("$.title")),
             meta("jobTitle", "title", "ogTitle"),
-            html_title(F.col(html)) if metadata is None else nothing,
+            F.col("_html_title") if metadata is None else nothing,
             heading_title(marked),
             title_from_url(F.col("canonical_url")),
         ),
     )
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), marked, F.coalesce(html, F.lit("")))
-    df = df.withColumn("_signals", signal_count(text, signal_groups))
+    flags = F.zip_with("_flags", signal_flags(F.coalesce("title", F.lit("")), signal_groups), lambda x, y: x | y)
+    df = df.withColumn("_signals", F.size(F.filter(flags, lambda x: x)))
 
     has_ld = F.col("_ld").isNotNull()
     like = F.coalesce(job_like(F.col("canonical_url"), job_paths), F.lit(False))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.functions.text import canonical_key, content_hash
+from vakanz.functions.text import content_hash
 from vakanz.operators.common import dedupe_first, lag_by_bucket
 
 
@@ -21,11 +21,6 @@ class Upsert(NamedTuple):
     delta: DataFrame
 
 
-def posting_key(source_id: Column, external_id: Column) -> Column:
-    """Identity of a posting, computed from its natural key, so that no counter is shared."""
-    return F.sha2(F.concat_ws("\u001f", source_id.cast("string"), external_id), 256)
-
-
 def upsert_versioned(
     current: DataFrame,
     snapshots: DataFrame,
@@ -101,12 +96,6 @@ def upsert_versioned(
     return Upsert(table, fresh, decided.select(*keys, "outcome"), delta)
 
 
-def with_canonical_key(df: DataFrame, title: str, employer: str, location: str) -> DataFrame:
-    return df.withColumn(
-        "canonical_key", canonical_key(F.col(title), F.col(employer), F.col(location))
-    )
-
-
 def change_points(
     versions: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column
 ) -> DataFrame:

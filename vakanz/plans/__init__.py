@@ -6,9 +6,11 @@ def load():
     from vakanz.plans import (  # noqa: F401
         listing_queries,
         page_queries,
+        preference_queries,
         profile_queries,
         report_queries,
         registry,
+        resume_queries,
         score_queries,
         source_queries,
         stream_queries,

@@ -121,6 +121,22 @@ def section_pages(spark, d):
     return rows.select("bucket", "o_orderkey", "position", "total", "has_more")
 
 
+@query(
+    "section_pages_deep",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn,
+        count(*) OVER (PARTITION BY l_linestatus) AS total FROM lineitem)
+       SELECT l_linestatus AS bucket, l_orderkey, l_linenumber, CAST(rn AS INT) AS position, total, 2600 < total AS has_more
+       FROM o WHERE rn > 2000 AND rn <= 2600""",
+)
+def section_pages_deep(spark, d):
+    """Behind the rank limit: places come from range partitions."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_linestatus").alias("bucket"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    page = listing.section_pages(rows, "bucket", order, 2000, 600)
+    return page.select("bucket", "l_orderkey", "l_linenumber", "position", "total", "has_more")
+
+
 @query(
     "dashboard_stats",
     ctes(*LISTING)
@@ -527,6 +543,20 @@ def retention(spark, d):
     return kept.select("doc_id", F.sha2("raw", 256).alias("raw_hash"))
 
 
+@query(
+    "retention_batch",
+    """SELECT doc_id, CASE WHEN place <= 25 THEN NULL ELSE sha256(text) END AS raw_hash FROM (SELECT *, row_number() OVER (
+         ORDER BY CASE WHEN doc_id % 200 > 90 AND text IS NOT NULL THEN 0 ELSE 1 END, doc_id % 200 DESC, doc_id)
+         + CASE WHEN doc_id % 200 > 90 AND text IS NOT NULL THEN 0 ELSE 1000000000 END AS place FROM documents)""",
+)
+def retention_batch(spark, d):
+    """The oldest 25 raw texts that are due go; the next call takes the next ones."""
+    at = F.expr("timestampadd(DAY, -CAST(doc_id % 200 AS INT), TIMESTAMP_NTZ'2024-06-01 00:00:00')")
+    snapshots = table(spark, d, "documents").select("doc_id", at.alias("fetched_at"), F.col("text").alias("raw"))
+    kept = lifecycle.retention(snapshots, ntz("2024-06-01 00:00:00"), days=90, batch=25, key="doc_id")
+    return kept.select("doc_id", F.sha2("raw", 256).alias("raw_hash"))
+
+
 @query(
     "page_verdict",
     """WITH c AS (SELECT page_id, replace(lower(regexp_replace(html, '\\s+', ' ', 'g')), 'ß', 'ss') AS h,

@@ -19,24 +19,22 @@ from vakanz.plans.text_queries import (
 )
 from vakanz.plans.views import table
 
-# Every third bare host, in name order, is a crawl target; hosts below ``blog.`` or ``m.`` are
+# Two of three bare hosts, chosen by hash, are crawl targets; hosts below ``blog.`` or ``m.`` are
 # reached through their parent.
 _ROOT = "regexp_replace(bare, '^(blog|m)\\.', '')"
 TARGETS_SQL = f"""
 hosts AS (SELECT DISTINCT {_ROOT} AS root FROM (SELECT {BARE_SQL} AS bare FROM pages)),
-numbered AS (SELECT root, row_number() OVER (ORDER BY root) AS target_pos FROM hosts),
+numbered AS (SELECT root, CAST(concat('0x', substring(md5(root), 1, 8)) AS BIGINT) AS target_pos FROM hosts WHERE root IS NOT NULL),
 targets AS (SELECT target_pos, concat('https://www.', root, '/') AS target_url, root,
   CASE WHEN target_pos % 2 = 0 THEN 'job_portal' ELSE 'company_site' END AS target_kind FROM numbered WHERE target_pos % 3 <> 0)
 """
 
 
 def targets(spark, d):
-    """Crawl targets derived from the page hosts; numbering runs over distinct hosts only."""
-    from vakanz.operators.common import global_row_number
-
+    """Crawl targets derived from the page hosts; their order is that of a hash."""
     root = F.regexp_replace(urls.bare_host(F.col("url")), r"^(blog|m)\.", "")
-    hosts = table(spark, d, "pages").select(root.alias("root")).distinct()
-    numbered = global_row_number(hosts, [F.col("root")], "n").withColumn("target_pos", F.col("n") + 1)
+    hosts = table(spark, d, "pages").select(root.alias("root")).filter("root is not null").distinct()
+    numbered = hosts.withColumn("target_pos", F.conv(F.substring(F.md5("root"), 1, 8), 16, 10).cast("bigint"))
     kind = F.when(F.col("target_pos") % 2 == 0, "job_portal").otherwise("company_site")
     return numbered.filter("target_pos % 3 <> 0").select(
         "target_pos",
@@ -77,9 +75,10 @@ posted AS (SELECT *, target_kind = 'company_site' AND title <> '' AND (like_url
 
 def posted(spark, d):
     p = table(spark, d, "pages")
+    facts = pages.page_facts(p, signal_groups=PAGE_SIGNALS)
     matched = pages.match_targets(p, targets(spark, d), page_key="page_id")
     return pages.page_to_posting(
-        p.join(matched, "page_id"), job_paths=PAGE_PATHS, signal_groups=PAGE_SIGNALS
+        facts.join(matched, "page_id"), job_paths=PAGE_PATHS, signal_groups=PAGE_SIGNALS
     )
 
 
@@ -118,19 +117,17 @@ _OUTCOME = (
        WHEN records_emitted > 0 THEN 'completed' WHEN documents_seen > 0 THEN 'insufficient' ELSE 'empty' END AS status FROM counted""",
 )
 def target_run_status(spark, d):
-    from vakanz.operators.common import dedupe_first
+    from pyspark.sql import Window
 
-    rows = posted(spark, d)
-    firsts = dedupe_first(
-        rows.select("page_id", "canonical_url"), ["canonical_url"], [F.col("page_id")]
-    ).select("page_id", F.lit(1).alias("first"))
+    place = F.row_number().over(Window.partitionBy("canonical_url").orderBy("page_id"))
+    rows = posted(spark, d).select("page_id", "target_label", "accepted", place.alias("place"))
     n = F.col("page_id")
     outcome = (
         F.when(n % 23 == 0, "error").when(~F.col("accepted"), "rejected")
-        .when(F.col("first").isNull(), "duplicate").when(n % 19 == 0, "filtered").otherwise("emitted")
+        .when(F.col("place") > 1, "duplicate").when(n % 19 == 0, "filtered").otherwise("emitted")
     )
-    outcomes = rows.join(firsts, "page_id", "left").select("target_label", outcome.alias("outcome"))
-    started = targets(spark, d).select("target_label").join(outcomes, "target_label", "left")
+    started = targets(spark, d).select("target_label").join(
+        rows.select("target_label", outcome.alias("outcome")), "target_label", "left")
     return pages.target_run_results(started, ["target_label"])
 
 
@@ -158,20 +155,30 @@ def discover_details(spark, d):
     return pages.discover_details(p, seen, strong_paths=_STRONG)
 
 
+# Blocks nested 0 to 5 deep around a page's posting, with a decoy text, a second posting and a broken block.
+_DEEP = """concat('<script type="application/ld+json">{"@type": "JobPosting", </script><script type="application/ld+json">',
+  CASE WHEN page_id % 4 = 0 THEN replace('[{"note": "{~"@type~": ~"JobPosting~"}"}, ', '~', chr(92)) ELSE '{"z": ' END,
+  repeat('{"a": [', CAST(page_id % 6 AS INT)),
+  CASE WHEN page_id % 5 = 0 THEN '{"@type": "WebPage"}' ELSE concat('{"title": "first", "@type": ',
+    CASE WHEN page_id % 3 = 0 THEN '["Thing", "http://schema.org/JobPosting"]' ELSE '"JobPosting"' END,
+    ', "identifier": {"value": "', CAST(page_id AS STRING), '"}}') END,
+  repeat(']}', CAST(page_id % 6 AS INT)),
+  CASE WHEN page_id % 4 = 0 THEN ', ' ELSE ', "a": ' END,
+  '{"x": {"@type": "JobPosting", "identifier": {"value": "later"}}}', CASE WHEN page_id % 4 = 0 THEN ']' ELSE '}' END, '</script>')"""
+
+
 @query(
     "jsonld_posting",
-    "SELECT page_id, CAST(page_id AS VARCHAR) AS identifier FROM pages WHERE page_id % 2 = 0",
+    f"""WITH b AS (SELECT page_id, {_DEEP} AS shown FROM pages),
+     j AS (SELECT page_id, regexp_extract_all(shown, '(?s)<script[^>]*>(.*?)</script>', 1) AS blocks FROM b),
+     n AS (SELECT page_id, t.id, t.value FROM j, json_tree(CAST(blocks[2] AS JSON)) t WHERE t.type = 'OBJECT'),
+     p AS (SELECT page_id, id, value, json_extract(value, '$."@type"') AS kind FROM n)
+     SELECT page_id, min_by(json_extract_string(value, '$.identifier.value'), id) AS identifier, min_by(json_extract_string(value, '$.title'), id) AS title
+     FROM p WHERE regexp_matches(CAST(kind AS VARCHAR), 'JobPosting"') GROUP BY page_id""",
 )
 def jsonld_posting(spark, d):
-    """Every page wrapped with a JSON-LD block made from its own title and number."""
-    p = table(spark, d, "pages")
-    block = F.concat(
-        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":["JobPosting"],"title":'),
-        F.to_json(F.array(F.coalesce(pages.html_title(F.col("html")), F.lit("")))),
-        F.lit(',"identifier":{"value":"'), F.col("page_id").cast("string"), F.lit('"}}]}</script>'),
-    )
-    shown = F.when(F.col("page_id") % 2 == 0, F.concat(block, "html")).otherwise(F.col("html"))
-    ld = pages.json_ld_posting(shown)
-    return p.select(
-        "page_id", F.get_json_object(ld, "$.identifier.value").alias("identifier")
-    ).filter("identifier IS NOT NULL")
+    """Every page with blocks made from its number: the posting stands at the root or up to 12 levels down."""
+    shown = table(spark, d, "pages").select("page_id", F.concat(F.expr(_DEEP), F.coalesce("html", F.lit(""))).alias("shown"))
+    ld = shown.select("page_id", pages.json_ld_posting(F.col("shown")).alias("ld")).filter("ld is not null")
+    return ld.select("page_id", F.get_json_object("ld", "$.identifier.value").alias("identifier"),
+                     F.get_json_object("ld", "$.title").alias("title"))

@@ -184,7 +184,7 @@ def child_list_sync(spark, d):
 
 @query(
     "minimized_profile",
-    """SELECT c_custkey, concat('Aktuelle Rolle: ', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN concat('; Berufserfahrung in Jahren: ', CAST(c_nationkey AS VARCHAR)) ELSE '' END) AS summary,
+    """SELECT c_custkey, concat('Rolle: ', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN concat('; Jahre im Beruf: ', CAST(c_nationkey AS VARCHAR)) ELSE '' END) AS summary,
        concat(c_mktsegment, '|Excel') AS skills, CASE c_custkey % 3 WHEN 0 THEN 'Präsenz' WHEN 1 THEN 'Hybrid' ELSE 'Remote' END AS preferred_mode FROM customer""",
 )
 def minimized_profile(spark, d):

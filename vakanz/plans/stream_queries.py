@@ -35,8 +35,17 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("at", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
 
 
+def events_in_batches(spark: SparkSession, d: str, batches: int = 5) -> DataFrame:
+    """The same stream from several files of mixed times: every micro-batch brings late rows."""
+    folder = f"{scratch(spark)}/events"
+    table(spark, d, "events").repartition(batches).write.parquet(folder)
+    rows = jobs.read_landing(spark, folder, EVENTS, files_per_batch=1)
+    return rows.withColumn("at", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
+
+
 def final_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run to the end and read the result: the last table of ``complete``, all rows else."""
+    """Run to the end and read the result: the last table of ``complete``, all rows else; those of
+    ``update`` with their ``batch_id``."""
     spark = stream.sparkSession
     root = scratch(spark)
 
@@ -51,7 +60,7 @@ def final_table(stream: DataFrame, mode: str) -> DataFrame:
     if mode == "complete":
         last = result.agg(F.max("batch_id")).scalar()
         result = result.filter(F.col("batch_id") == last)
-    return result.drop("batch_id")
+    return result if mode == "update" else result.drop("batch_id")
 
 
 @query(
@@ -81,14 +90,16 @@ def stream_sliding_counts(spark, d):
        FROM events WHERE event_type IN ('signup', 'error')) WHERE rn = 1""",
 )
 def stream_latest_decision(spark, d):
-    kept = events(spark, d).filter(F.col("event_type").isin("signup", "error"))
-    return final_table(jobs.latest_by_key(kept, "user_id", "at", "event_id", "event_type"), "complete")
+    """Each micro-batch writes the keys it changes; a key's value is that of the last batch that wrote it."""
+    kept = events_in_batches(spark, d).filter(F.col("event_type").isin("signup", "error"))
+    found = final_table(jobs.latest_by_key(kept, "user_id", "at", "event_id", "event_type"), "update")
+    return found.groupBy("user_id").agg(F.max_by("event_type", "batch_id").alias("event_type"))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, d):
-    """One file is one micro-batch, in which nothing has expired yet."""
-    kept = jobs.dedupe_stream(events(spark, d), ["user_id", "event_type"], "at")
+    """Several micro-batches of mixed times, none of them later than the bound."""
+    kept = jobs.dedupe_stream(events_in_batches(spark, d), ["user_id", "event_type"], "at", "400 days")
     return final_table(kept.select("user_id", "event_type"), "append")
 
 
@@ -99,12 +110,11 @@ def stream_dedupe(spark, d):
        SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, sid""",
 )
 def stream_sessions(spark, d):
-    found = jobs.sessions(events(spark, d), "at", "user_id")
-    found = found.select(
+    parts = final_table(jobs.partial_sessions(events(spark, d), "at", "user_id"), "complete")
+    return jobs.merge_sessions(parts, "user_id").select(
         "user_id", F.unix_micros("session_start").alias("start_us"),
         F.unix_micros("session_end").alias("end_us"), "n",
     )
-    return final_table(found, "complete")
 
 
 @query(
@@ -114,14 +124,14 @@ def stream_sessions(spark, d):
        FROM events e JOIN r ON r.user_id = e.user_id GROUP BY e.user_id""",
 )
 def stream_failure_counter(spark, d):
-    rows = events(spark, d).select(
-        F.col("user_id").alias("key"), "at", (F.col("event_type") == "error").alias("failed"),
-        (F.col("event_type") == "purchase").alias("success"),
+    rows = events_in_batches(spark, d).select(
+        F.col("user_id").alias("key"), "at", F.col("event_id").alias("tie"),
+        (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "purchase").alias("success"),
     )
     root = scratch(spark)
-    store = VersionedTable(spark, f"{root}/state")
-    jobs.run_with_state(rows, store, jobs.fold_failures, f"{root}/checkpoint").awaitTermination()
-    return store.read()
+    store = jobs.KeyedRows(spark, f"{root}/state", "key long, at timestamp, tie long, failed boolean, success boolean")
+    jobs.keep_rows(rows, store, f"{root}/checkpoint", jobs.open_failures).awaitTermination()
+    return jobs.failure_counts(store.read())
 
 
 @query(
@@ -130,20 +140,13 @@ def stream_failure_counter(spark, d):
        WHERE old IS DISTINCT FROM event_type""",
 )
 def stream_changes(spark, d):
-    rows = events(spark, d).select(
-        F.col("user_id").alias("key"), F.col("event_type").alias("value"), "at",
-        F.col("event_id").alias("tie"),
-    )
-    root = scratch(spark)
-    store = VersionedTable(spark, f"{root}/state")
-
-    def emit(before: DataFrame | None, batch: DataFrame, batch_id: int) -> None:
-        found = jobs.changes_in(before, batch)
-        found.write.mode("overwrite").parquet(f"{root}/out/part={batch_id}")
-
-    jobs.run_with_state(rows, store, jobs.fold_last, f"{root}/checkpoint", emit).awaitTermination()
-    out = spark.read.parquet(f"{root}/out").drop("part")
-    return out.select("key", "value", F.unix_micros("at").alias("at_us"))
+    """A late row changes its own pair and the next one; both are computed anew with its bucket."""
+    rows = events_in_batches(spark, d).select(
+        F.col("user_id").alias("key"), "at", F.col("event_id").alias("tie"), F.col("event_type").alias("value"))
+    root, schema = scratch(spark), "key long, at timestamp, tie long, value string"
+    store, out = jobs.KeyedRows(spark, f"{root}/state", schema), jobs.KeyedRows(spark, f"{root}/out", schema)
+    jobs.keep_rows(rows, store, f"{root}/checkpoint", derive=jobs.changes_in, derived=out).awaitTermination()
+    return out.read().select("key", "value", F.unix_micros("at").alias("at_us"))
 
 
 @query(
@@ -151,10 +154,11 @@ def stream_changes(spark, d):
     "SELECT user_id AS run_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'finished' ELSE 'error' END AS state FROM events GROUP BY user_id",
 )
 def stream_stuck_runs(spark, d):
-    """Final state of every run: an end was seen, or it timed out behind the watermark."""
-    rows = jobs.stuck_runs(events(spark, d), "user_id", "at", F.col("event_type") == "purchase")
-    history = final_table(rows, "update")
-    return history.groupBy("run_id").agg(F.max_by("state", F.when(F.col("state") == "running", 0).otherwise(1)).alias("state"))
+    """Final state of every run: an end was seen, or event time has passed its limit."""
+    found = jobs.run_states(events_in_batches(spark, d), "user_id", "at", F.col("event_type") == "purchase")
+    history = final_table(found, "update")
+    newest = F.max_by(F.struct("start", "last", "finished"), "batch_id").alias("s")
+    return jobs.stuck_runs(history.groupBy("run_id").agg(newest).select("run_id", "s.*"))
 
 
 def page_payloads(spark: SparkSession, d: str) -> DataFrame:

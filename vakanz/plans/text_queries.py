@@ -121,7 +121,22 @@ def excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("text_chunks")
+@query(
+    "text_chunks",
+    r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0085}\x{00A0}\x{000B}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents),
+       s AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]) ([A-ZÄÖÜ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM c),
+       p AS (SELECT doc_id, list_transform(flatten(list_transform(ss, lambda x: CASE WHEN length(x) <= 520 THEN [x] ELSE
+           list_transform(regexp_extract_all(x || ' ', '(?s)\S.{0,519}\s|\S{520}'), lambda y: trim(y)) END)), lambda y: {'t': y, 'n': 0}) AS pieces,
+         flatten(list_transform(ss, lambda x: CASE WHEN length(x) <= 520 THEN [false] ELSE
+           list_transform(regexp_extract_all(x || ' ', '(?s)\S.{0,519}\s|\S{520}'), lambda y: true) END)) AS cut FROM s),
+       f AS (SELECT doc_id, list_reduce(list_prepend({'done': []::VARCHAR[], 'open': '', 'cut': false}, list_transform(pieces,
+           lambda y, i: {'done': []::VARCHAR[], 'open': y.t, 'cut': cut[i]})),
+         lambda a, b: CASE WHEN a.open <> '' AND (length(trim(a.open || ' ' || b.open)) > 520 OR b.cut)
+           THEN {'done': list_append(a.done, a.open), 'open': b.open, 'cut': false}
+           ELSE {'done': a.done, 'open': trim(a.open || ' ' || b.open), 'cut': false} END) AS r FROM p)
+       SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_no, unnest(chunks) AS chunk
+       FROM (SELECT doc_id, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS chunks FROM f)""",
+)
 def text_chunks(spark, d):
     chunks = text.text_chunks(text.collapse(F.col("text")))
     return open_array(table(spark, d, "documents"), ["doc_id"], chunks, "chunk", "chunk_no")

@@ -549,7 +549,11 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def to_posting(records: DataFrame) -> DataFrame:
-    """Canonical record to the stored posting columns, with text lengths bounded."""
+    """Canonical record to the stored posting columns.
+
+    Values are stored whole, so ``canonical_key`` and the content hash see every change;
+    :func:`display_view` cuts them where a page has room for less.
+    """
     from vakanz.functions.parse import country_code, location_parts, remote_type
     from vakanz.functions.text import canonical_key, collapse, envelope, language_guess, visible_text
 
@@ -558,9 +562,6 @@ def to_posting(records: DataFrame) -> DataFrame:
             *[blank_to_null(F.try_element_at("metadata", F.lit(n))) for n in names]
         )
 
-    def cut(c: Column, n: int) -> Column:
-        return F.substring(c, 1, n)
-
     df = records.withColumn(
         "description_text", visible_text(F.col("description"), F.col("description_format"))
     )
@@ -588,25 +589,23 @@ def to_posting(records: DataFrame) -> DataFrame:
         *kept,
         F.col("source"),
         F.trim("source_job_id").alias("external_id"),
-        cut(F.coalesce("canonical_url", "apply_url"), 2000).alias("canonical_url"),
-        cut(F.trim("title"), 500).alias("title"),
-        cut(blank_to_null(collapse(F.col("company"))), 500).alias("employer"),
+        F.coalesce("canonical_url", "apply_url").alias("canonical_url"),
+        F.trim("title").alias("title"),
+        blank_to_null(collapse(F.col("company"))).alias("employer"),
         "description_text",
-        cut(F.nullif(F.array_join(places, " | "), F.lit("")), 1000).alias("location_text"),
-        cut(postcode, 20).alias("postcode"),
-        cut(city, 200).alias("city"),
-        cut(state, 200).alias("state"),
+        F.nullif(F.array_join(places, " | "), F.lit("")).alias("location_text"),
+        postcode.alias("postcode"),
+        city.alias("city"),
+        state.alias("state"),
         country_code(m("country", "land")).alias("country"),
         remote_type(
             m("remote_type", "workplace_type", "workplaceType", "arbeitsmodell"),
             F.col("remote"),
             F.col("locations"),
         ).alias("remote_type"),
-        cut(F.nullif(F.array_join("employment_types", ", "), F.lit("")), 100).alias("employment_type"),
-        cut(m("contract_type", "contractType", "befristung"), 100).alias("contract_type"),
-        cut(
-            language_guess(F.col("title"), F.col("description_text"), m("language", "sprache")), 20
-        ).alias("language"),
+        F.nullif(F.array_join("employment_types", ", "), F.lit("")).alias("employment_type"),
+        m("contract_type", "contractType", "befristung").alias("contract_type"),
+        language_guess(F.col("title"), F.col("description_text"), m("language", "sprache")).alias("language"),
         "published_at",
         F.lit(True).alias("is_active"),
         F.lit("active").alias("availability_status"),
@@ -620,3 +619,16 @@ def to_posting(records: DataFrame) -> DataFrame:
         "canonical_key",
         canonical_key(F.col("title"), F.col("employer"), F.col("location_text")),
     )
+
+
+# characters a page has room for
+DISPLAY_LENGTHS = {
+    "canonical_url": 2000, "title": 500, "employer": 500, "location_text": 1000, "postcode": 20, "city": 200,
+    "state": 200, "employment_type": 100, "contract_type": 100, "language": 20,
+}
+
+
+def display_view(postings: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """Postings with long texts cut for display; keys and hashes stay those of the whole values."""
+    wanted = DISPLAY_LENGTHS if lengths is None else lengths
+    return postings.withColumns({c: F.substring(c, 1, n) for c, n in wanted.items() if c in postings.columns})

@@ -150,25 +150,6 @@ def path_exists(spark: SparkSession, location: str) -> bool:
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
 
 
-def read_table(
-    spark: SparkSession, path: str, schema: str | None = None, merge: bool = False
-) -> DataFrame:
-    """A parquet table folder; ``merge`` reads columns added later as null."""
-    reader = spark.read.option("mergeSchema", str(merge).lower())
-    return (reader.schema(schema) if schema else reader).parquet(path)
-
-
-def read_database(
-    spark: SparkSession, url: str, table: str, *, column: str, low: int, high: int, parts: int,
-    properties: dict[str, str] | None = None,
-) -> DataFrame:
-    """A database table read in parallel ranges of a numeric column."""
-    return spark.read.jdbc(
-        url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts,
-        properties=properties or {},
-    )
-
-
 def apply_upsert(
     postings: VersionedTable,
     snapshots_path: str,

@@ -8,17 +8,16 @@ folder, so a stopped query goes on where it was.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import suppress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from vakanz.operators.common import lag_by_bucket, time_bucket
 from vakanz.sources.landing import Spec, left_out, normalize_payload, to_posting
-from vakanz.sources.tables import ConcurrentCommit, VersionedTable, apply_upsert
+from vakanz.sources.tables import ConcurrentCommit, VersionedTable, apply_upsert, path_exists
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", glob: str | None = None,
@@ -88,9 +87,22 @@ def with_lateness(stream: DataFrame, at: str, delay: str = "24 hours") -> DataFr
     return stream.withWatermark(at, delay)
 
 
-def dedupe_stream(stream: DataFrame, keys: list[str], at: str, delay: str = "24 hours") -> DataFrame:
-    """First row per key within the lateness bound; state is dropped behind it."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+SALTS = 16  # parts of a key before its parts meet
+
+
+def _part_of_key(at: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(at), F.lit(salts))
+
+
+def dedupe_stream(stream: DataFrame, keys: list[str], at: str, delay: str = "24 hours", salts: int = SALTS) -> DataFrame:
+    """One row per key within the lateness bound; state is dropped behind it.
+
+    Rows of a key are first reduced in ``salts`` parts, so the state of a key that holds a third of all
+    rows is spread over tasks; the second step meets at most one row per part.
+    """
+    parts = with_lateness(stream, at, delay).withColumn("_part", _part_of_key(at, salts))
+    first = parts.dropDuplicatesWithinWatermark([*keys, "_part"])
+    return first.dropDuplicatesWithinWatermark(keys).drop("_part")
 
 
 def windowed_counts(stream: DataFrame, at: str, by: str, length: str = "1 day", slide: str | None = None,
@@ -98,7 +110,7 @@ def windowed_counts(stream: DataFrame, at: str, by: str, length: str = "1 day",
     """Added-in-window counters, tumbling or sliding."""
     window = F.window(at, length, slide) if slide else F.window(at, length)
     return (
-        stream.withWatermark(at, delay)
+        with_lateness(stream, at, delay)
         .groupBy(window.alias("w"), by)
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), by, "n")
@@ -110,11 +122,17 @@ def latest_by_key(stream: DataFrame, key: str, at: str, tie: str, value: str) ->
     return stream.groupBy(key).agg(F.max_by(value, F.struct(at, tie)).alias(value))
 
 
-def sessions(stream: DataFrame, at: str, key: str, gap: str = "6 hours", delay: str = "24 hours") -> DataFrame:
-    """Bursts of activity of one source, closed by a gap."""
+def partial_sessions(
+    stream: DataFrame, at: str, key: str, gap: str = "6 hours", delay: str = "24 hours", salts: int = SALTS
+) -> DataFrame:
+    """Bursts of activity of a part of one source's rows, closed by a gap: key, session_start, session_end, n.
+
+    A source's rows are dealt to ``salts`` parts by time, so the sessions of a hot source are state of
+    many tasks. :func:`merge_sessions` joins the parts.
+    """
     return (
-        stream.withWatermark(at, delay)
-        .groupBy(F.session_window(at, gap).alias("w"), key)
+        with_lateness(stream, at, delay)
+        .groupBy(F.session_window(at, gap).alias("w"), key, _part_of_key(at, salts).alias("part"))
         .agg(F.count("*").alias("n"))
         .select(
             key,
@@ -125,112 +143,117 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "6 hours", delay:
     )
 
 
-def fold_failures(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Failures since the last success per key after one more batch.
+def merge_sessions(parts: DataFrame, key: str) -> DataFrame:
+    """Sessions of a source from those of its parts: overlapping stretches are one session.
 
-    ``batch``: key, at, failed, success. Both steps are partial aggregates, so a key with a
-    third of the rows is counted on the map side. A success in the batch drops the old count.
+    A part covers every moment from its first row to one gap behind its last, so parts overlap just
+    where their rows are within a gap of each other.
     """
-    last = batch.groupBy("key").agg(F.max(F.when(F.col("success"), F.col("at"))).alias("_last"))
-    after = F.col("_last").isNull() | (F.col("at") > F.col("_last"))
-    new = batch.join(last, "key").groupBy("key").agg(
-        F.count_if(F.col("failed") & after).alias("_new"),
-        F.bool_or(F.col("_last").isNotNull()).alias("_reset"),
-    )
-    if state is None:
-        return new.select("key", F.col("_new").alias("failures"))
-    joined = state.join(new, "key", "full_outer")
-    kept = F.when(F.coalesce("_reset", F.lit(False)), F.lit(0)).otherwise(F.coalesce("failures", F.lit(0)))
-    return joined.select("key", (kept + F.coalesce("_new", F.lit(0))).alias("failures"))
+    length = (F.unix_micros("session_end") - F.unix_micros("session_start")) / F.lit(1_000_000)
+    stretch = F.session_window("session_start", F.make_interval(secs=length.cast("decimal(18,6)")))
+    merged = parts.groupBy(stretch.alias("w"), key).agg(F.sum("n").alias("n"))
+    return merged.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def changes_in(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Rows of a batch whose value differs from the one before, across batches.
+class KeyedRows:
+    """Rows by key in Parquet, one folder per hash bucket of the key.
 
-    ``batch``: key, value, at, tie. Inside the batch the value before comes from hourly
-    windows; the first row of a key is compared with the stored last value.
+    A micro-batch reads and rewrites the buckets its keys fall into, by Spark's dynamic partition
+    overwrite. Rows are known by (key, at, tie), so a batch that is repeated after a failure, also one
+    that had replaced some buckets, gives the same rows again.
     """
-    rows = lag_by_bucket(batch, ["key"], ["at", "tie"], time_bucket("at"), {"value": "previous"})
-    before = F.col("previous")
-    if state is not None:
-        rows = rows.join(state.select("key", F.col("value").alias("_stored")), "key", "left")
-        before = F.when(F.col("is_first"), F.col("_stored")).otherwise(F.col("previous"))
-    return rows.filter(~before.eqNullSafe(F.col("value"))).select("key", "value", "at")
-
-
-def fold_last(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Last value per key after one more batch."""
-    new = batch.groupBy("key").agg(F.max_by("value", F.struct("at", "tie")).alias("value"))
-    if state is None:
-        return new
-    old = state.select("key", F.col("value").alias("_old"))
-    joined = old.join(new, "key", "full_outer")
-    return joined.select("key", F.coalesce("value", "_old").alias("value"))
-
-
-def run_with_state(
-    stream: DataFrame,
-    store: VersionedTable,
-    fold: Callable[[DataFrame | None, DataFrame], DataFrame],
-    checkpoint: str,
-    emit: Callable[[DataFrame | None, DataFrame, int], None] | None = None,
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
+        self.schema = schema
+        self.bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        """Bucket numbers of a batch, at most ``buckets``."""
+        return [r.b for r in batch.select(self.bucket.alias("b")).distinct().collect()]
+
+    def read(self, numbers: list[int] | None = None) -> DataFrame:
+        if not path_exists(self.spark, self.root):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, bucket int").parquet(self.root)
+        return (rows if numbers is None else rows.filter(F.col("bucket").isin(numbers))).drop("bucket")
+
+    def replace(self, rows: DataFrame) -> None:
+        """Write whole buckets; the others stay."""
+        rows.withColumn("bucket", self.bucket).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)
+
+
+def keep_rows(
+    stream: DataFrame, store: KeyedRows, checkpoint: str, keep: Callable[[DataFrame], DataFrame] | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None, derived: KeyedRows | None = None,
 ) -> StreamingQuery:
-    """Keep a keyed state table over micro-batches.
+    """Keep the rows a keyed result depends on, over micro-batches, however late rows come.
 
-    Each batch reads the visible version, folds itself in and publishes the next one under its
-    batch number; a batch that is repeated after a failure finds its number and is skipped.
-    ``emit`` sees the state before the batch.
+    ``keep`` drops rows that no later row can need; ``derive`` computes the result of the touched
+    buckets anew from the rows in them, which replaces their part of ``derived``.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        note = f"batch {batch_id}"
-        if store.has_note(note):
+        numbers = store.touched(batch)
+        if not numbers:
             return
-        version = store.current()[0]
-        before = store.read()
-        if emit is not None:
-            emit(before, batch, batch_id)
-        store.replace(fold(before, batch), note, after=version)
+        rows = store.read(numbers).unionByName(batch).dropDuplicates(["key", "at", "tie"])
+        store.replace(keep(rows) if keep else rows)
+        if derive and derived:
+            derived.replace(derive(store.read(numbers)))
 
     return run_once(stream, sink, checkpoint)
 
 
-def stuck_runs(stream: DataFrame, run: str, at: str, finished: Column, limit_ms: int = 3 * 3600 * 1000,
-               delay: str = "10 minutes") -> DataFrame:
-    """Runs with no end within three hours of event time.
+def open_failures(rows: DataFrame) -> DataFrame:
+    """Rows that failure counters need: failures after the last success, that success, the newest row.
 
-    A run whose limit the watermark has already passed when its rows come is an error at once: no
-    later trigger would see its timer.
+    ``rows``: key, at, tie, failed, success. A late success drops the failures before it, a late failure
+    counts if it is after the last success.
     """
-    rows = stream.withWatermark(at, delay).select(
-        F.col(run).alias("run_id"), F.col(at).alias("at"), finished.alias("finished")
-    )
+    spot = F.struct("at", "tie")
+    ends = rows.groupBy("key").agg(
+        F.max(F.when(F.col("success"), F.col("at"))).alias("_last"), F.max(spot).alias("_newest"))
+    joined = rows.join(ends, "key")
+    after = F.col("_last").isNull() | (F.col("at") > F.col("_last"))
+    needed = (F.col("failed") & after) | (F.col("success") & (F.col("at") == F.col("_last"))) | (spot == F.col("_newest"))
+    return joined.filter(needed).select(*rows.columns)
 
-    def update(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"run_id": [keys[0]], "state": ["error"]})
-            return
-        start, ended = (state.get[0] if state.exists else None), False
-        for frame in frames:  # one Arrow batch at a time
-            ended = ended or bool(frame["finished"].any())
-            first = int(frame["at"].min().timestamp() * 1000)
-            start = first if start is None else min(start, first)
-        if ended:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"run_id": [keys[0]], "state": ["finished"]})
-            return
-        deadline = start + limit_ms
-        if deadline <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"run_id": [keys[0]], "state": ["error"]})
-            return
-        state.update((start,))
-        state.setTimeoutTimestamp(deadline)
-        yield pd.DataFrame({"run_id": [keys[0]], "state": ["running"]})
 
-    return rows.groupBy("run_id").applyInPandasWithState(
-        update, "run_id long, state string", "start long", "update", "EventTimeTimeout"
-    )
+def failure_counts(rows: DataFrame) -> DataFrame:
+    """Failures since the last success per key."""
+    last = rows.groupBy("key").agg(F.max(F.when(F.col("success"), F.col("at"))).alias("_last"))
+    after = F.col("_last").isNull() | (F.col("at") > F.col("_last"))
+    return rows.join(last, "key").groupBy("key").agg(F.count_if(F.col("failed") & after).alias("failures"))
+
+
+def changes_in(rows: DataFrame) -> DataFrame:
+    """Rows whose value differs from the one before of their key: key, at, tie, value.
+
+    The value before comes from hourly windows, so no key is sorted in one task. A first row counts
+    unless its value is null.
+    """
+    lagged = lag_by_bucket(rows, ["key"], ["at", "tie"], time_bucket("at"), {"value": "previous"})
+    return lagged.filter(~F.col("previous").eqNullSafe(F.col("value"))).select("key", "at", "tie", "value")
+
+
+def run_states(stream: DataFrame, run: str, at: str, finished: Column) -> DataFrame:
+    """run_id, start, last, finished: what is known of every run, as a plain streaming aggregate.
+
+    Rows are summed before the shuffle, so a run with a third of all rows is one partial row a task.
+    """
+    return stream.groupBy(F.col(run).alias("run_id")).agg(
+        F.min(at).alias("start"), F.max(at).alias("last"), F.bool_or(finished).alias("finished"))
+
+
+def stuck_runs(states: DataFrame, limit: str = "3 hours", delay: str = "10 minutes") -> DataFrame:
+    """run_id and state (finished, running, error) of a table of :func:`run_states`.
+
+    A run without an end is an error once event time, less ``delay`` for late rows, has passed its start
+    by ``limit``; an end that comes later still makes it finished.
+    """
+    newest = states.agg(F.max("last").alias("newest"))
+    passed = F.col("newest") - F.expr(f"INTERVAL {delay}") >= F.col("start") + F.expr(f"INTERVAL {limit}")
+    state = F.when(F.col("finished"), "finished").when(passed, "error").otherwise("running")
+    return states.withColumn("newest", newest.scalar()).select("run_id", state.alias("state"))
