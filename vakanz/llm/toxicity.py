@@ -1,20 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary texts, one on the passages of
-toxic texts whose character n-grams stand in a far larger share of toxic than of ordinary documents. A window is
-compressed once behind the ordinary dictionary and once behind both; the bytes that the toxic
-dictionary saves are its distance. A document's distances (largest, mean of the upper tenth, of the
-upper quarter, of all, and the logarithm of their number) go through a logistic calibration fitted
-on labelled documents that trained no dictionary.
+Two zstandard dictionaries are trained, one for ordinary and one for toxic text. Both begin with the
+same content, trained on windows of both kinds, so that what every text holds costs the same behind
+either; each ends with its own pieces, the words and beginnings of words that tell its kind. Pieces are
+ranked by log-odds with a prior from all texts, in standard errors, so a few wrong labels or
+quotations lower a piece's rank and don't strike it out. A window is compressed behind both; the bytes
+that the toxic dictionary saves are its distance. A document's distances (the two largest, mean of the
+upper tenth, of the upper quarter, of all, how many windows reach each of ``THRESHOLDS``, and how many
+there are) go through a logistic calibration fitted on labelled documents that trained no dictionary.
 
 Training works on a bounded sample: at most ``max_toxic`` and ``max_ordinary`` labelled texts by hash
 of their id, and at most ``max_bytes`` of text of each kind. If the texts of a kind are longer, all
 of them stay and the long ones give as many whole windows, from all over the text, as an equal share
-allows, so no kind and no source is left out. ``max_windows`` bounds the ordinary windows (drawn at random
-from the sample) that the dictionary trainer reads. Calibration and scoring read every window of every text.
+allows, so no kind and no source is left out. ``max_windows`` bounds the windows of each kind (drawn at random
+from the sample) that the dictionary trainer reads. The labelled texts are written once and read from there. Calibration and scoring read every window of every text.
 
 Defined results: null and empty texts have one empty window and get the score of distance 0; without
-labelled texts with words of both kinds every score is 0 and a warning is logged; repeated rows are scored one by one; labels that
+labelled texts with words of both kinds every score is 0 and a warning is logged, as is one if no piece tells
+toxic texts (every document then has about the same score); repeated rows are scored one by one; labels that
 are null or contradict each other are left out; an empty table gives an empty result; only the id
 and the text are read.
 """
@@ -31,10 +34,14 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vakanz.llm.common import stage
 from vakanz.llm.labelled import labelled_rows
 
-CELL_BITS = 20
-GRAM = 6
+CELL_BITS = 22
+PIECE = (5, 12)  # bytes of a word's beginning, the space before it included
+PRIOR = 20.0  # documents that the shares of all texts count for
+THRESHOLDS = (2, 3, 4, 5)  # bytes
+RIDGE = 3.0  # rows that hold a calibration weight at 0; few labels must not fit their noise
 LEVEL = 3
 LOG = logging.getLogger(__name__)
 
@@ -68,7 +75,7 @@ def water_level(sizes: list[int], room: int) -> int:
 
 def bounded(text: bytes, room: int, size: int) -> bytes:
     """A text that fits, else whole windows from all over it, in their order; a window that alone is
-    larger than ``room`` is passed over, and cut if there is no other."""
+    larger than ``room`` is passed over."""
     if len(text) <= room:
         return text
     cuts = windows(text, size)
@@ -79,47 +86,50 @@ def bounded(text: bytes, room: int, size: int) -> bytes:
             left -= len(cuts[i])
         if left < size:
             break
-    return b"".join(cuts[i] for i in sorted(kept)) or text[:room]
-
-
-def grams(text: bytes) -> np.ndarray:
-    """Cells of the character n-grams, in order."""
-    codes = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    n = len(codes) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(GRAM):
-        h = h * np.uint64(0x100000001B3) + codes[i:n + i]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def telling_passages(toxic: list[bytes], ordinary: list[bytes], least_z: float, least_lift: float) -> list[bytes]:
-    """Runs of toxic texts covered by telling n-grams: their share of toxic documents is ``least_lift``
-    times that of ordinary ones and ``least_z`` standard errors above it. (The errors alone would let
-    small differences tell as soon as the sample is large.)"""
-    counts = []
-    for texts in (toxic, ordinary):
-        count = np.zeros(1 << CELL_BITS)
+    return b"".join(cuts[i] for i in sorted(kept))
+
+
+def pieces(text: bytes) -> set[bytes]:
+    """The different words of a text, between spaces, and their beginnings."""
+    out = set()
+    for word in set(text.split()):
+        word = b" " + word + b" "
+        out.add(word)
+        out.update(word[:n] for n in range(PIECE[0], min(len(word), PIECE[1])))
+    return out
+
+
+def _cells(found: set[bytes]) -> np.ndarray:
+    return np.fromiter({zlib.crc32(g) & (1 << CELL_BITS) - 1 for g in found}, dtype=np.int64)
+
+
+def log_odds(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Log-odds of every cell of pieces between toxic and ordinary documents, in standard errors."""
+    counts = np.zeros((2, 1 << CELL_BITS))
+    for kind, texts in enumerate((toxic, ordinary)):
         for text in texts:
-            count[np.unique(grams(text))] += 1
-        counts.append(count)
+            counts[kind][_cells(pieces(text))] += 1
     n, m = len(toxic), len(ordinary)
-    share = (counts[0] + counts[1] + 1) / (n + m + 2)
-    z = (counts[0] / n - counts[1] / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    lift = (counts[0] + 0.5) / n / ((counts[1] + 0.5) / m)
-    telling = (z > least_z) & (lift >= least_lift) & (counts[0] >= 3)
-    runs = []
-    for text in toxic:
-        cells = grams(text)
-        covered = np.zeros(len(text) + 1, dtype=np.int8)
-        hit = np.flatnonzero(telling[cells])
-        for i in range(GRAM):
-            covered[hit + i] = 1
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], covered))))
-        runs += [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
-    return runs
+    prior = PRIOR * counts.sum(axis=0) / (n + m)
+    # of PRIOR documents; both kinds get the same, so what occurs in neither or in both alike tells nothing
+    t, o = counts[0] + prior + 1e-9, counts[1] + prior + 1e-9
+    odds = np.log(t / np.maximum(n + PRIOR - t, 1e-9)) - np.log(o / np.maximum(m + PRIOR - o, 1e-9))
+    return np.where(counts.sum(axis=0) > 1, odds / np.sqrt(1 / t + 1 / o), 0.0)
+
+
+def telling_pieces(texts: list[bytes], scores: np.ndarray, least_z: float, size: int) -> bytes:
+    """The pieces of highest rank, ``size`` bytes of them at most, the best one last."""
+    ranked = {}
+    for text in texts:
+        for g in pieces(text):
+            z = scores[zlib.crc32(g) & (1 << CELL_BITS) - 1]
+            if z > least_z:
+                ranked[g] = z
+    out = b""
+    for g in sorted(ranked, key=lambda g: (-ranked[g], -len(g), g)):
+        if g not in out and len(out) + len(g) <= size:
+            out = g + out
+    return out
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -152,12 +162,14 @@ class Model:
         saved = sorted((len(a(w)) - len(b(w)) for w in cuts), reverse=True)
         n = len(saved)
         tenth, quarter = max(1, n // 10), max(1, n // 4)
-        return [saved[0], sum(saved[:tenth]) / tenth, sum(saved[:quarter]) / quarter, sum(saved) / n, np.log(n)]
+        reach = [np.log1p(sum(x >= k for x in saved)) for k in THRESHOLDS]
+        return [saved[0], saved[min(1, n - 1)], sum(saved[:tenth]) / tenth, sum(saved[:quarter]) / quarter, sum(saved) / n,
+                np.log(n), *reach]
 
     @property
     def compressors(self):
         if not hasattr(self, "_made"):
-            self._made = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
+            self._made = compressor(self.ordinary), compressor(self.toxic)
         return self._made
 
     def __getstate__(self):
@@ -174,25 +186,28 @@ class Model:
         self.centre, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = np.hstack([(x - self.centre) / self.scale, np.ones((len(x), 1))])
         w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-        beta = np.zeros(z.shape[1])
+        beta, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1]) * RIDGE
+        ridge[-1, -1] = 1e-6
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            step = (z * (w * p * (1 - p))[:, None]).T @ z + np.eye(len(beta)) * 1e-2 * len(x) / 100
-            beta = beta + np.linalg.solve(step, z.T @ (w * (y - p)) - 1e-2 * len(x) / 100 * beta)
+            step = (z * (w * p * (1 - p))[:, None]).T @ z + ridge
+            beta = beta + np.linalg.solve(step, z.T @ (w * (y - p)) - ridge @ beta)
         self.weights = beta
 
 
-def train(ordinary: list[bytes], toxic: list[bytes], window: int, ordinary_size: int, toxic_size: int, least_z: float,
-          least_lift: float, max_windows: int) -> Model:
+def train(ordinary: list[bytes], toxic: list[bytes], window: int, shared_size: int, own_size: int, least_z: float,
+          max_windows: int) -> Model:
     """Dictionaries of plain texts of both kinds."""
-    runs = telling_passages(toxic, ordinary, least_z, least_lift) or [w for t in toxic for w in windows(t, window)]
-    order = np.random.default_rng(7)
-    runs = [runs[i] for i in order.permutation(len(runs))]
-    cuts = [w for t in ordinary for w in windows(t, window)]
-    cuts = [cuts[i] for i in order.permutation(len(cuts))[:max_windows]]
-    return Model(
-        train_dictionary(cuts, ordinary_size),
-        train_dictionary([b"".join(runs[i:i + 8]) for i in range(0, len(runs), 8)], toxic_size), window)
+    order, cuts = np.random.default_rng(7), []
+    for texts in (ordinary, toxic):
+        found = [w for t in texts for w in windows(t, window)]
+        cuts += [found[i] for i in order.permutation(len(found))[:max_windows]]
+    shared = train_dictionary(cuts, shared_size)
+    odds = log_odds(toxic, ordinary)
+    own = telling_pieces(ordinary, -odds, least_z, own_size), telling_pieces(toxic, odds, least_z, own_size)
+    if not own[1]:
+        LOG.warning("no piece tells the %d toxic texts from the %d ordinary ones", len(toxic), len(ordinary))
+    return Model(shared + own[0], shared + own[1], window)
 
 
 def calibrates(doc_id) -> bool:
@@ -240,7 +255,7 @@ def _fitted(rows: DataFrame, ids: DataFrame, most: tuple[int, int], max_bytes: i
     id_type = rows.schema["doc_id"].dataType.simpleString()
     key = ["doc_id", "digest", "kind"]
     known = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(ids), "doc_id")
-    known = known.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    known = stage(known.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")))
     lengths = known.select(*key, F.octet_length("text").alias("size")).distinct()
 
     def of_kind(kind: int) -> list:
@@ -274,8 +289,7 @@ def _fitted(rows: DataFrame, ids: DataFrame, most: tuple[int, int], max_bytes: i
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    window: int = 64, ordinary_size: int = 32_768, toxic_size: int = 4_096, least_z: float = 5.0,
-    least_lift: float = 50.0, share: float = 0.3, max_toxic: int = 4_000, max_ordinary: int = 4_000, max_bytes: int = 32 << 20,
+    window: int = 64, shared_size: int = 32_768, own_size: int = 512, least_z: float = 3.0, share: float = 0.3, max_toxic: int = 4_000, max_ordinary: int = 4_000, max_bytes: int = 32 << 20,
     max_windows: int = 40_000,
 ) -> DataFrame:
     """doc_id and score of every row of ``docs``; ``labels`` holds the rows to learn from."""
@@ -283,7 +297,7 @@ def score_toxicity(
     most = (max_ordinary, max_toxic)
     ids = [labelled_rows(labels, id_col, label_col, kind, most[kind]).withColumn("kind", F.lit(kind)) for kind in (0, 1)]
     model = _fitted(
-        rows, ids[0].unionByName(ids[1]), most, max_bytes, window, share, ordinary_size=ordinary_size, toxic_size=toxic_size,
-        least_z=least_z, least_lift=least_lift, max_windows=max_windows)
+        rows, ids[0].unionByName(ids[1]), most, max_bytes, window, share, shared_size=shared_size, own_size=own_size,
+        least_z=least_z, max_windows=max_windows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_scores(sent), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
