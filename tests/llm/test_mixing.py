@@ -83,24 +83,38 @@ def test_schedule_is_even_and_repeatable(spark, sf_dir):
     assert all(len(s) == 1 and max(s.values()) <= 64 for s in held.values())
 
 
-def test_mixed_documents_hold_the_taken_words(odd_docs, odd_rows):
-    parts, placed, goal = mixing.mix(odd_docs, block_words=16)
-    want = Counter()
+def check_documents(docs, rows, **options):
+    """Whole rows only, each source as near to its target as whole rows allow."""
+    parts, placed, goal = mixing.mix(docs, **options)
+    sizes, got, target = Counter(), Counter(), {}
     for r in mixing.taken_words(parts, placed, goal).collect():
-        want[r["doc_id"]] += r["taken"]
-    out = mixing.mixed_documents(odd_docs, block_words=16)
-    assert out.columns == odd_docs.columns
-    texts, got = defaultdict(set), Counter()
-    for r in odd_rows:
-        texts[r[0]].add(r[1])
-    for r in out.select("doc_id", "text").collect():
-        got[r["doc_id"]] += size_of(r["text"])
-        assert any(t.startswith(r["text"]) or t.lstrip().startswith(r["text"]) for t in texts[r["doc_id"]] if t)
-    assert got == +want
-
-
-def test_first_words(spark):
-    text = " a  b\nc "
-    df = spark.createDataFrame([(text, i) for i in (1, 2, 3)], "t string, n long")
-    got = [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()]
-    assert got == [" a", " a  b", " a  b\nc"]
+        target[r["source"]] = r["target"]
+    given = Counter((str(r[0]), r[1], r[3]) for r in rows)
+    out = mixing.mixed_documents(docs, **options)
+    assert out.columns == docs.columns
+    made = Counter()
+    for r in out.select("doc_id", "text", "source").collect():
+        made[str(r["doc_id"]), r["text"], r["source"]] += 1
+        got[r["source"]] += size_of(r["text"])
+        sizes[r["source"]] = max(sizes[r["source"]], size_of(r["text"]))
+    assert all(n <= 3 * given[key] for key, n in made.items())
+    longest = {s: max(size_of(r[1]) for r in rows if r[3] == s) for s in target}
+    assert all(abs(got[s] - target[s]) <= longest[s] / 2 + 1 for s in target)
+    return made
+
+
+def test_mixed_documents_are_whole(spark, odd_docs, odd_rows):
+    check_documents(odd_docs, odd_rows, block_words=16)
+    rows = [(i, " ".join(f"w{j}" for j in range(5 + i * 7 % 40)), "en", "ab"[i % 2]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert check_documents(docs, rows, block_words=16) == check_documents(docs.repartition(3), rows, block_words=16)
+
+
+def test_rows_without_an_id_are_spread_and_told_apart(spark):
+    rows = [(None, f"a{i} b c", "en", "s") for i in range(60)] + [(7, f"x{i} y", "en", "t") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = mixing.sized(docs, "doc_id", "text", "source", 16)
+    assert placed.select("source", "start").distinct().count() == 100
+    made = check_documents(docs, rows, weights=(1, 1), block_words=4)
+    assert made == check_documents(docs.repartition(4), rows, weights=(1, 1), block_words=4)
+    assert len(made) > 60

@@ -30,8 +30,17 @@ def test_quality_on_held_out_rows(spark):
     assert held_out(spark, queries.op2, "quality") > 0.97
 
 
-def test_toxicity_on_held_out_rows(spark):
-    assert held_out(spark, queries.op4, "toxic") > 0.7  # 33 toxic documents to learn from
+@pytest.mark.parametrize(("where", "least", "recall", "wrong"), [
+    (SF, 0.65, 0.35, 0.06),  # 33 toxic documents to learn from, 18 to find
+    ("/root/testdata/sf0.1", 0.9, 0.62, 0.025)])
+def test_toxicity_on_held_out_rows(spark, where, least, recall, wrong):
+    labels = spark.read.parquet(f"{where}/labels.parquet")
+    rows = queries.op4(spark, where).join(labels, "doc_id").filter("held_out AND toxic IS NOT NULL").toPandas()
+    assert ((rows["score"] >= 0) & (rows["score"] <= 1)).all() and (rows["predicted"] == (rows["score"] >= 0.7)).all()
+    caught = [rows["predicted"][rows["toxic"] == kind].mean() for kind in (0, 1)]
+    found = auc(rows["score"].to_numpy(), rows["toxic"].to_numpy())
+    print(f"op4 {where}: AUC {found:.3f}, recall {caught[1]:.3f}, false positives {caught[0]:.4f}")
+    assert found > least and caught[1] > recall and caught[0] < wrong
 
 
 def test_toxicity_with_more_to_learn_from(spark):
@@ -51,16 +60,16 @@ def test_toxicity_with_more_to_learn_from(spark):
 
 def test_toxicity_sample_is_spread_over_the_table(spark, caplog):
     """Texts above the byte bound leave no kind, source or text out of the sample."""
-    rows = []
+    rows, seeds = [], random.Random(5).sample(range(10_000), 500)  # the words around have nothing to do with the kind
     for i in range(400):
-        text = prose(i, 40)
+        text = prose(seeds[i], 40)
         if i % 4 == 0:
             text += " wretchling" if i < 200 else " dunderclod"
         rows.append((i, text, int(i % 4 == 0)))
     rows[0] = (0, prose(0, 9_000) + " wretchling", 1)  # the first toxic text alone is above the bound
     rows[1] = (1, prose(1, 9_000), 0)
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
-    fresh = spark.createDataFrame([(1_000 + i, prose(i, 50) + (" dunderclod" if i % 2 else ""), i % 2) for i in range(100)],
+    fresh = spark.createDataFrame([(1_000 + i, prose(seeds[400 + i], 50) + (" dunderclod" if i % 2 else ""), i % 2) for i in range(100)],
                                   "doc_id long, text string, toxic int")
     scored = toxicity.score_toxicity(docs.unionByName(fresh), docs, max_bytes=30_000, max_toxic=100, max_ordinary=300)
     scored = scored.filter("doc_id >= 1000").toPandas().sort_values("doc_id")["score"]
@@ -76,7 +85,7 @@ def test_bounded_texts():
     assert 3_900 < len(cut) <= 4_096 and all(w in set(text.split()) for w in cut.split())
     places = [text.find(w) for w in toxicity.windows(cut, 64)]
     assert max(places) > len(text) * 0.9 and toxicity.bounded(text, len(text), 64) == text
-    assert toxicity.bounded(b" " + b"x" * 9_000 + b" ", 100, 64) == b" " + b"x" * 99
+    assert toxicity.bounded(b" " + b"x" * 9_000 + b" ", 100, 64) == b""
     assert toxicity.water_level([5, 100, 1], 26) == 20 and toxicity.water_level([1, 2], 9) == 2
     assert toxicity.water_level([], 9) == 0 and toxicity.water_level([10, 10, 10], 9) == 3
 
@@ -118,4 +127,23 @@ def test_windows_and_dictionaries():
     cuts = toxicity.windows(text, 64)
     assert b"".join(cuts) == text and all(c.endswith(b" ") for c in cuts) and toxicity.windows(b"", 64) == [b""]
     assert toxicity.windows(b" x ", 64) == [b" x "]
-    assert b"moronic" in b"|".join(toxicity.telling_passages([b" so moronic you "] * 30 + [b" it is "] * 9, [b" so it is you "] * 60, 4.0, 10.0))
+
+
+def test_pieces_are_ranked_against_noise():
+    """One wrong label or quotation in twenty takes no piece out; what both kinds hold is none."""
+    toxic = [b" so moronic you %d " % i for i in range(40)] + [b" it is %d " % i for i in range(9)]
+    ordinary = [b" so it is you %d " % i for i in range(57)] + [b" so moronic it is "] * 3
+    odds = toxicity.log_odds(toxic, ordinary)
+    own = toxicity.telling_pieces(toxic, odds, 3.0, 64)
+    assert b" moronic " in own and b" you " not in own and len(b"".join(own)) <= 64
+    assert toxicity.telling_pieces(toxic, odds, 1e9, 64) == []
+    assert toxicity.pieces(b" ab abcdefghijklmno ") == {b" ab ", b" abcdefghijklmno ", *(b" abcdefghijklmno"[:n] for n in range(5, 12))}
+
+
+def test_the_dictionaries_differ_in_their_own_pieces_only():
+    ordinary = [toxicity.plain(prose(i, 60)) for i in range(80)]
+    toxic = [toxicity.plain(prose(i + 500, 60) + " wretchling") for i in range(40)]
+    model = toxicity.train(ordinary, toxic, 64, 4_096, 256, 3.0, 1_000)
+    assert b" wretchling" in model.toxic and b"wretchling" not in model.ordinary
+    plain, rude = (model.features(f"{prose(900, 30)} {w}")[0] for w in ("", "wretchling"))
+    assert rude >= plain + 3

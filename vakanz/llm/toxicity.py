@@ -117,19 +117,20 @@ def log_odds(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     return np.where(counts.sum(axis=0) > 1, odds / np.sqrt(1 / t + 1 / o), 0.0)
 
 
-def telling_pieces(texts: list[bytes], scores: np.ndarray, least_z: float, size: int) -> bytes:
-    """The pieces of highest rank, ``size`` bytes of them at most, the best one last."""
+def telling_pieces(texts: list[bytes], scores: np.ndarray, least_z: float, size: int) -> list[bytes]:
+    """The pieces of highest rank, ``size`` bytes of them at most, the best one first; none is part of one before it."""
     ranked = {}
     for text in texts:
         for g in pieces(text):
             z = scores[zlib.crc32(g) & (1 << CELL_BITS) - 1]
             if z > least_z:
                 ranked[g] = z
-    out = b""
+    kept, joined = [], b""
     for g in sorted(ranked, key=lambda g: (-ranked[g], -len(g), g)):
-        if g not in out and len(out) + len(g) <= size:
-            out = g + out
-    return out
+        if g not in joined and len(joined) + len(g) <= size:
+            kept.append(g)
+            joined += g
+    return kept
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -198,16 +199,19 @@ class Model:
 def train(ordinary: list[bytes], toxic: list[bytes], window: int, shared_size: int, own_size: int, least_z: float,
           max_windows: int) -> Model:
     """Dictionaries of plain texts of both kinds."""
+    odds = log_odds(toxic, ordinary)
+    own = [telling_pieces(texts, z, least_z, own_size) for texts, z in ((ordinary, -odds), (toxic, odds))]
+    if not own[1]:
+        LOG.warning("no piece tells the %d toxic texts from the %d ordinary ones", len(toxic), len(ordinary))
     order, cuts = np.random.default_rng(7), []
     for texts in (ordinary, toxic):
         found = [w for t in texts for w in windows(t, window)]
-        cuts += [found[i] for i in order.permutation(len(found))[:max_windows]]
+        found = [found[i] for i in order.permutation(len(found))[:max_windows]]
+        # what tells a kind belongs to its own dictionary alone
+        cuts += [w for w in found if not any(g in w for g in own[0] + own[1])]
     shared = train_dictionary(cuts, shared_size)
-    odds = log_odds(toxic, ordinary)
-    own = telling_pieces(ordinary, -odds, least_z, own_size), telling_pieces(toxic, odds, least_z, own_size)
-    if not own[1]:
-        LOG.warning("no piece tells the %d toxic texts from the %d ordinary ones", len(toxic), len(ordinary))
-    return Model(shared + own[0], shared + own[1], window)
+    # the best piece last, where it costs least
+    return Model(*[shared + b"".join(reversed(found)) for found in own], window)
 
 
 def calibrates(doc_id) -> bool:
