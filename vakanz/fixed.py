@@ -507,7 +507,10 @@ BOARD_HOSTS = {
     "oracle": ("oraclecloud.com",),
 }
 SUBDOMAIN_PROVIDERS = ("personio", "softgarden", "recruitee", "teamtailor", "icims")
-URL_PROVIDERS = ("workday", "oracle")
+URL_PROVIDERS = ("successfactors", "workday", "oracle", "phenom", "radancy", "beesite")
+# first labels of a career site under the employer's own name
+CAREER_LABELS = ("career", "careers", "job", "jobs")
+PHENOM_HOST = "phenompeople.com"
 KNOWN_PORTALS = {
     "adzuna.de": "Adzuna",
     "glassdoor.de": "Glassdoor",

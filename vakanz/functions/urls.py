@@ -230,6 +230,15 @@ def board_provider(url: Column, hosts: Mapping[str, Sequence[str]] = fixed.BOARD
     return by_host_suffix(host_of(url), {h: p for p, hs in hosts.items() for h in hs})
 
 
+def public_host(url: Column) -> Column:
+    """Host of a web address that is open to all: a name with a dot or a public IPv4 address, port 80 or 443."""
+    port = F.regexp_extract(authority_of(url), r":(\d+)$", 1)
+    host = host_of(url)
+    inside = host.rlike(r"^(?:0|10|127)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\.|\.(?:local|internal|localhost)$")
+    ok = F.contains(host, F.lit(".")) & ~inside & port.isin("", "80", "443") & ~F.contains(authority_of(url), F.lit("@"))
+    return F.when(ok, host)
+
+
 def board_identifier(
     url: Column,
     provider: Column,
@@ -237,13 +246,22 @@ def board_identifier(
     subdomain_rule: Sequence[str] = fixed.SUBDOMAIN_PROVIDERS,
     url_rule: Sequence[str] = fixed.URL_PROVIDERS,
 ) -> Column:
-    """Tenant of a board address: from the subdomain, a path part, or a query key."""
-    host, raw = host_of(url), F.trim(url)
-    parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    first = _decode(F.try_element_at(parts, F.lit(1)))
-    second = _decode(F.try_element_at(parts, F.lit(2)))
+    """Tenant of a board: a plain identifier, or one from the subdomain, a path part or a query key.
+
+    Providers that run under their customers' names have the whole secure address as identifier.
+    """
+    return let(F.struct(F.trim(url).alias("raw"), F.lower(F.trim(provider)).alias("provider"), parts_of(url).alias("parts"),
+                        host_of(url).alias("host"), public_host(url).alias("open")),
+               lambda b: _board(b, hosts, subdomain_rule, url_rule))
+
+
+def _board(b: Column, hosts, subdomain_rule, url_rule) -> Column:
+    provider, host = b["provider"], b["host"]
+    places = F.filter(F.split(b["parts"]["path"], "/"), lambda p: p != "")
+    first = _decode(F.try_element_at(places, F.lit(1)))
+    second = _decode(F.try_element_at(places, F.lit(2)))
     wanted = F.try_element_at(
-        F.filter(query_pairs(url), lambda p: (p["key"] == "for") & (p["value"] != "")), F.lit(1)
+        F.filter(_pairs(b["parts"]["query"]), lambda p: (p["key"] == "for") & (p["value"] != "")), F.lit(1)
     )["value"]
     tenant = F.when(provider == "join", F.when(F.lower(first) == "companies", second)).when(
         provider == "greenhouse", F.coalesce(wanted, first)
@@ -252,15 +270,17 @@ def board_identifier(
         suffix = f".{hosts[name][0]}"
         cut = F.substring(host, F.lit(1), F.length(host) - len(suffix))
         tenant = tenant.when(provider == name, F.when(host.endswith(suffix), cut))
-    tenant = F.regexp_replace(F.trim(tenant.otherwise(first)), "^/+|/+$", "")
-    known = F.lit(False)
+    known, listed = F.lit(False), [p for p in hosts if p not in url_rule]
     for name, allowed in hosts.items():
         for h in allowed:
             known = known | ((provider == name) & ((host == h) | host.endswith(f".{h}")))
-    plain = F.when(
-        known & tenant.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$"),
-        F.when(provider == "personio", F.lower(tenant)).otherwise(tenant),
-    )
-    whole = F.when(known & (scheme_of(url) == "https"), F.regexp_replace(raw, "/+$", ""))
-    ok = scheme_of(url).isin("http", "https") & ~F.contains(authority_of(url), F.lit("@"))
-    return F.when(ok, F.when(provider.isin(*url_rule), whole).otherwise(plain))
+    career = (host == fixed.PHENOM_HOST) | host.endswith(f".{fixed.PHENOM_HOST}") | F.substring_index(
+        host, ".", 1).isin(*fixed.CAREER_LABELS)
+    fits = F.when(provider == "phenom", career).when(provider.isin(*hosts), known).otherwise(True)
+    whole = F.when((b["parts"]["scheme"] == "https") & b["open"].isNotNull() & fits, F.regexp_replace(b["raw"], "/+$", ""))
+    is_url = (b["parts"]["scheme"] != "") | (b["parts"]["authority"] != "")
+    reads = b["parts"]["scheme"].isin("http", "https") & ~F.contains(b["parts"]["authority"], F.lit("@")) & known
+    cut = F.when(~is_url, b["raw"]).when(reads, tenant.otherwise(first))
+    cut = F.regexp_replace(F.trim(cut), "^/+|/+$", "")
+    plain = F.when(cut.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$"), F.when(provider == "personio", F.lower(cut)).otherwise(cut))
+    return F.when(provider.isin(*url_rule) & is_url, whole).when(provider.isin(*listed, *url_rule), plain)

@@ -165,13 +165,17 @@ PAGE_ORDER = (
 
 
 def list_page(
-    df: DataFrame, limit: int, offset: int = 0, order: Sequence[tuple[str, bool]] = PAGE_ORDER
+    df: DataFrame, limit: int, offset: int = 0, order: Sequence[tuple[str, bool]] = PAGE_ORDER, total: str | None = None
 ) -> DataFrame:
-    """One page in a total order, nulls last; planned as a top-k, not as a sort."""
+    """One page in a total order, nulls last; planned as a top-k, not as a sort.
+
+    ``total`` names a column for the number of rows of all pages, which is one count beside the page.
+    """
     keys = [
         F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order
     ]
-    return df.orderBy(*keys).offset(offset).limit(limit)
+    page = df.orderBy(*keys).offset(offset).limit(limit)
+    return page if total is None else page.withColumn(total, df.agg(F.count("*").alias(total)).scalar())
 
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold

@@ -316,6 +316,11 @@ def source_status(df: DataFrame) -> DataFrame:
     return df.withColumn("shown_status", shown).withColumn("active", active)
 
 
+def status_totals(shown: DataFrame, by: str) -> DataFrame:
+    """Sources and active sources of every class, from the output of ``source_status``."""
+    return shown.groupBy(by).agg(F.count("*").alias("sources"), F.count_if("active").alias("active"))
+
+
 def recent_rows(df: DataFrame, at: str, key: str, limit: int) -> DataFrame:
     """Newest rows first, rows without a time last; a top-k."""
     return df.orderBy(F.col(at).desc_nulls_last(), F.col(key).desc()).limit(limit)

@@ -99,12 +99,12 @@ def posting_detail(spark, d):
 @query(
     "page_of_postings",
     ctes(*LISTING)
-    + """ SELECT job_id, relevance_score, candidate_fit_score, published_at FROM listed WHERE is_active
+    + """ SELECT job_id, relevance_score, candidate_fit_score, published_at, (SELECT count(*) FROM listed WHERE is_active) AS total FROM listed WHERE is_active
       ORDER BY relevance_score DESC NULLS LAST, candidate_fit_score DESC NULLS LAST, published_at DESC NULLS LAST, job_id DESC LIMIT 50 OFFSET 100""",
 )
 def page_of_postings(spark, d):
-    page = listing.list_page(listed(spark, d).filter("is_active"), 50, 100)
-    return page.select("job_id", "relevance_score", "candidate_fit_score", "published_at")
+    page = listing.list_page(listed(spark, d).filter("is_active"), 50, 100, total="total")
+    return page.select("job_id", "relevance_score", "candidate_fit_score", "published_at", "total")
 
 
 @query(

@@ -182,3 +182,82 @@ def jsonld_posting(spark, d):
     ld = shown.select("page_id", pages.json_ld_posting(F.col("shown")).alias("ld")).filter("ld is not null")
     return ld.select("page_id", F.get_json_object("ld", "$.identifier.value").alias("identifier"),
                      F.get_json_object("ld", "$.title").alias("title"))
+
+
+_PROVIDERS = ("greenhouse", "lever", "ashby", "smartrecruiters", "personio", "join", "softgarden", "workable", "recruitee",
+              "teamtailor", "icims", "successfactors", "workday", "oracle", "phenom", "radancy", "beesite")
+_TENANT = "concat('T', CAST(page_id AS STRING), '-x')"
+_FORMS = {
+    "greenhouse": f"CASE WHEN page_id % 2 = 0 THEN concat('https://boards.greenhouse.io/embed/job?x=1&for=', {_TENANT}) ELSE concat('http://job-boards.greenhouse.io/', {_TENANT}, '/jobs/1') END",
+    "lever": f"concat('https://jobs.lever.co/', {_TENANT}, '/abc')",
+    "ashby": f"concat('https://jobs.ashbyhq.com/', {_TENANT})",
+    "smartrecruiters": f"concat('https://jobs.smartrecruiters.com/', {_TENANT}, '/')",
+    "personio": f"concat('https://', {_TENANT}, '.jobs.personio.de/job/1')",
+    "join": f"concat('https://join.com/companies/', {_TENANT}, '/9')",
+    "softgarden": f"concat('https://', {_TENANT}, '.softgarden.io/de')",
+    "workable": f"concat('https://apply.workable.com/', {_TENANT}, '/')",
+    "recruitee": f"concat('https://', {_TENANT}, '.recruitee.com')",
+    "teamtailor": f"concat('https://', {_TENANT}, '.teamtailor.com/jobs')",
+    "icims": f"concat('https://', {_TENANT}, '.icims.com/jobs/search')",
+    "successfactors": "url",
+    "workday": f"concat('https://', {_TENANT}, '.wd3.myworkdayjobs.com/de/Site/')",
+    "oracle": f"concat('https://', {_TENANT}, '.fa.oraclecloud.com/hcmUI//')",
+    "phenom": f"concat(CASE WHEN page_id % 3 = 0 THEN 'https://careers.' ELSE 'https://www.' END, {_TENANT}, '.example/de/')",
+    "radancy": f"concat('https://jobs.', {_TENANT}, '.example')",
+    "beesite": f"concat(CASE WHEN page_id % 3 = 0 THEN 'http://' ELSE 'https://' END, {_TENANT}, '.example/stellen/')",
+}
+_BOARDS = "SELECT page_id, provider, CASE WHEN page_id % 5 = 0 THEN " + _TENANT + (
+    " WHEN page_id % 7 = 0 THEN concat('https://other.example/', " + _TENANT + ") WHEN page_id % 11 = 0 THEN 'https://10.0.0.1/' ELSE CASE provider ") + " ".join(
+    f"WHEN '{p}' THEN {form}" for p, form in _FORMS.items()) + " END END AS raw FROM (SELECT page_id, url, CASE page_id % 17 " + " ".join(
+    f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PROVIDERS)) + " END AS provider FROM {pages})"
+
+
+@query(
+    "board_identifiers",
+    rf"""WITH p AS ({_BOARDS.format(pages='pages')}),
+     h AS (SELECT *, lower(regexp_extract(raw, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(raw, '^[a-z]+://[^/?#]*/([^/?#]+)', 1) AS first FROM p),
+     t AS (SELECT *, CASE WHEN NOT contains(raw, '://') THEN raw
+       WHEN provider = 'greenhouse' AND ends_with(host, 'greenhouse.io') THEN coalesce(nullif(regexp_extract(raw, '[?&]for=([^&]+)', 1), ''), first)
+       WHEN provider = 'join' AND host = 'join.com' THEN regexp_extract(raw, '/companies/([^/]+)', 1)
+       WHEN provider = 'lever' AND ends_with(host, 'lever.co') OR provider = 'ashby' AND host = 'jobs.ashbyhq.com'
+         OR provider = 'smartrecruiters' AND host = 'jobs.smartrecruiters.com' OR provider = 'workable' AND ends_with(host, '.workable.com') THEN first
+       WHEN provider = 'personio' THEN regexp_extract(host, '^(.+)\.jobs\.personio\.de$', 1)
+       WHEN provider = 'softgarden' THEN regexp_extract(host, '^(.+)\.softgarden\.io$', 1)
+       WHEN provider IN ('recruitee', 'teamtailor', 'icims') THEN regexp_extract(host, concat('^(.+)\.', provider, '\.com$'), 1) END AS tenant FROM h)
+     SELECT page_id, provider, CASE WHEN contains(raw, '://') AND provider IN ('successfactors', 'workday', 'oracle', 'phenom', 'radancy', 'beesite') THEN
+       CASE WHEN starts_with(raw, 'https://') AND contains(host, '.') AND NOT starts_with(host, '10.')
+         AND (provider <> 'workday' OR ends_with(host, '.myworkdayjobs.com')) AND (provider <> 'oracle' OR ends_with(host, '.oraclecloud.com'))
+         AND (provider <> 'phenom' OR split_part(host, '.', 1) = 'careers') THEN regexp_replace(raw, '/+$', '') END
+       ELSE nullif(CASE WHEN provider = 'personio' THEN lower(tenant) ELSE tenant END, '') END AS identifier FROM t""",
+)
+def board_identifiers(spark, d):
+    """Plain identifiers, board addresses, foreign and inner hosts of all providers."""
+    rows = spark.sql(_BOARDS, pages=table(spark, d, "pages"))
+    return rows.select("page_id", "provider", urls.board_identifier(F.col("raw"), F.col("provider")).alias("identifier"))
+
+
+@query(
+    "crawl_targets",
+    """WITH p AS (SELECT page_id, page_id % 9 AS source_id, url FROM pages),
+     m AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY page_id) - 1 AS pos, page_id, url FROM p),
+     t AS (SELECT source_id, pos, CASE WHEN page_id % 4 = 1 THEN concat('L', page_id) ELSE lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) END AS target_label,
+       CASE WHEN page_id % 4 = 1 AND page_id % 3 = 0 THEN 'job_portal' ELSE 'company_site' END AS target_kind, url FROM m),
+     k AS (SELECT *, row_number() OVER (PARTITION BY source_id, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', ''), target_kind ORDER BY pos) AS rn FROM t)
+     SELECT source_id, CAST(pos AS INT) AS target_pos, target_label, target_kind FROM k WHERE rn = 1""",
+)
+def crawl_targets(spark, d):
+    """Configured targets of a source, as texts or objects; the first of one address and kind stays."""
+    from vakanz.operators import reports
+    from vakanz.sources import landing
+
+    page, own = F.col("page_id"), F.struct(F.col("url"), F.concat(F.lit("L"), F.col("page_id").cast("string")).alias("label"),
+                                           F.when(F.col("page_id") % 3 == 0, "job_portal").otherwise("other").alias("category"))
+    item = F.when(page % 4 == 1, F.to_json(own)).otherwise(F.to_json(F.struct(F.col("url").alias("u"))))
+    plain = F.regexp_replace(F.regexp_replace(item, r'^\{"u":', ""), r"\}$", "")
+    rows = table(spark, d, "pages").select((page % 9).alias("source_id"), page.alias("pos"), F.when(
+        page % 4 == 1, item).otherwise(plain).alias("item"))
+    listed = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("items"))
+    config = F.concat(F.lit('{"firecrawl":{"targets":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}}"))
+    targets = reports.parse_targets(listed.select("source_id", config.alias("metadata_json")))
+    kept = landing.dedupe_targets(targets, "source_id", "target_url", "target_kind", "target_pos")
+    return kept.select("source_id", "target_pos", "target_label", "target_kind")

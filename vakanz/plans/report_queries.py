@@ -485,6 +485,57 @@ def result_violations(spark, d):
     )
 
 
+@query(
+    "draft_review",
+    """SELECT p_partkey, CAST(least(5, greatest(0, p_size / 8.0)) AS DOUBLE) AS relevance, CASE WHEN p_partkey % 3 = 0 AND p_size >= 32 AND p_partkey % 7 > 0 THEN 'reviewed' ELSE 'needs_revision' END AS status FROM part""",
+)
+def draft_review(spark, d):
+    """Scores are bounded, and a draft is reviewed when all of them are high and nothing is open."""
+    k, size = F.col("p_partkey"), (F.col("p_size") / 8).cast("string")
+    score = apps.bounded(size, 0, 5)
+    scores = F.struct(*[score.alias(n) for n in ("relevance", "evidence", "clarity", "motivation")])
+    none = F.array().cast("array<string>")
+    open_ = F.when(k % 7 == 0, F.array(F.col("p_brand"))).otherwise(none)
+    decision = F.when(k % 3 == 0, "approve").otherwise("revise")
+    return table(spark, d, "part").select(
+        "p_partkey", score.alias("relevance"), apps.review_status(decision, scores, open_, none).alias("status"))
+
+
+@query(
+    "enriched_rows",
+    """WITH n AS (SELECT doc_id, len(string_split(text, ' ')) AS pieces FROM documents WHERE text IS NOT NULL)
+       SELECT doc_id, CASE WHEN pieces % 4 = 0 THEN 'other' ELSE 'short' END AS label, CASE WHEN pieces % 4 = 0 THEN 'label:category' END AS violation FROM n""",
+)
+def enriched_rows(spark, d):
+    """Rows sent to an external function in batches; what it returns is checked before it is used."""
+    from vakanz.sources import catalogue
+
+    def label(frame):
+        pieces = frame["text"].str.count(" ") + 1
+        return frame[["doc_id"]].assign(label=["other" if n % 4 == 0 else "short" for n in pieces])
+
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text IS NOT NULL")
+    made = catalogue.enrich(docs, label, "doc_id long, label string")
+    wrong = apps.violations(made, "doc_id", required=["label"], allowed={"label": ["short", "long"]})
+    return made.join(wrong, "doc_id", "left").select("doc_id", "label", "violation")
+
+
+@query(
+    "source_status_totals",
+    f"""WITH {SOURCES_SQL}, shown AS (SELECT s.source_id % 2 = 0 AS crawler, CASE WHEN s.source_id % 2 = 0 THEN t.state IN ('ready', 'running') ELSE s.enabled AND s.configured END AS active
+     FROM src s JOIN states t ON t.source_id = s.source_id)
+     SELECT crawler, count(*) AS sources, count(*) FILTER (WHERE active) AS active FROM shown GROUP BY crawler""",
+)
+def source_status_totals(spark, d):
+    rows = sources(spark, d).join(states(spark, d).select("source_id", "state"), "source_id")
+    crawler = F.col("source_id") % 2 == 0
+    rows = rows.select(
+        "source_id", "enabled", F.lit(True).alias("permitted"), (~F.col("configured")).alias("config_missing"),
+        F.when(F.col("state") == "error", "error").otherwise("ok").alias("status"), crawler.alias("crawler"),
+        F.when(crawler, F.col("state")).alias("state"))
+    return reports.status_totals(reports.source_status(rows), "crawler")
+
+
 @query(
     "profile_facts",
     """WITH e AS (SELECT event_id, CAST(props::JSON->>'$.k' AS INT) AS k FROM events)

@@ -320,3 +320,36 @@ def current_profile(spark, d):
         (F.col("c_custkey") % 3 != 0).alias("is_confirmed"),
     )
     return pick(profiles, "owner").select("owner", "profile_id")
+
+
+_FIT_POSTINGS = """SELECT p_partkey AS job_id, split(p_name, ' ') AS skills, array(p_brand) AS company_size,
+  split(p_type, ' ') AS industry, CASE p_size % 3 WHEN 0 THEN array('Vollzeit') WHEN 1 THEN array('Teilzeit') END AS employment_type,
+  CAST(array() AS ARRAY<STRING>) AS contract_type, CASE WHEN p_size % 7 > 0 THEN array('de') END AS language FROM {part}"""
+_FIT_PROFILES = """SELECT c_custkey AS profile_id, concat(split(p_name, ' '), CASE WHEN c_custkey % 4 = 0 THEN array(' Excel', '') ELSE array('excel') END) AS skills,
+  CASE WHEN c_custkey % 5 > 0 THEN array(lower(p_brand), 'Brand#11') END AS company_size, split(p_type, ' ') AS industry,
+  CASE WHEN c_custkey % 2 = 0 THEN array('vollzeit') ELSE array('Teilzeit', 'Minijob') END AS employment_type,
+  array('befristet') AS contract_type, CASE WHEN c_custkey % 3 > 0 THEN array('DE', 'en') ELSE array('fr') END AS language
+  FROM {customer} JOIN {part} ON p_partkey = c_custkey"""
+
+
+@query(
+    "fit_topk",
+    """WITH j AS (SELECT p_partkey AS job_id, list_distinct(string_split(lower(p_name), ' ')) AS sk, [lower(p_brand)] AS co, list_distinct(string_split(lower(p_type), ' ')) AS ind,
+         CASE p_size % 3 WHEN 0 THEN ['vollzeit'] WHEN 1 THEN ['teilzeit'] ELSE [] END AS em, CASE WHEN p_size % 7 > 0 THEN ['de'] ELSE [] END AS la FROM part),
+       p AS (SELECT c_custkey AS profile_id, list_append(string_split(lower(p_name), ' '), 'excel') AS sk, CASE WHEN c_custkey % 5 > 0 THEN [lower(p_brand), 'brand#11'] ELSE [] END AS co,
+         string_split(lower(p_type), ' ') AS ind, CASE WHEN c_custkey % 2 = 0 THEN ['vollzeit'] ELSE ['teilzeit', 'minijob'] END AS em,
+         CASE WHEN c_custkey % 3 > 0 THEN ['de', 'en'] ELSE ['fr'] END AS la FROM customer JOIN part ON p_partkey = c_custkey),
+       s AS (SELECT profile_id, job_id, 35.0 * len(list_filter(j.sk, lambda x: list_contains(p.sk, x))) / len(j.sk) + CASE WHEN list_has_any(j.co, p.co) THEN 5 ELSE 0 END
+           + CASE WHEN list_has_any(j.ind, p.ind) THEN 10 ELSE 0 END + CASE WHEN list_has_any(j.em, p.em) THEN 15 ELSE 0 END + CASE WHEN list_has_any(j.la, p.la) THEN 10 ELSE 0 END AS earned,
+         35 + CASE WHEN len(p.co) > 0 THEN 5 ELSE 0 END + 10 + CASE WHEN len(j.em) > 0 THEN 15 ELSE 0 END + CASE WHEN len(j.la) > 0 THEN 10 ELSE 0 END AS possible FROM j, p),
+       f AS (SELECT profile_id, job_id, floor(round(100.0 * earned / possible, 6) * 10 + 0.5) / 10 AS fit FROM s)
+       SELECT profile_id, job_id, CAST(fit AS DOUBLE) AS fit, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY fit DESC, job_id) AS INT) AS position FROM f
+       QUALIFY position <= 5""",
+)
+def fit_topk(spark, d):
+    """The five best postings of every profile; postings from parts, profiles from customers."""
+    from vakanz.operators import matching
+
+    part, customer = table(spark, d, "part"), table(spark, d, "customer")
+    return matching.fit_topk(
+        spark.sql(_FIT_POSTINGS, part=part), spark.sql(_FIT_PROFILES, part=part, customer=customer), 5)
