@@ -105,16 +105,20 @@ def _cells(found: set[bytes]) -> np.ndarray:
 
 def log_odds(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Log-odds of every cell of pieces between toxic and ordinary documents, in standard errors."""
-    counts = np.zeros((2, 1 << CELL_BITS))
+    counts = np.zeros((2, 1 << CELL_BITS), dtype=np.float32)
     for kind, texts in enumerate((toxic, ordinary)):
         for text in texts:
             counts[kind][_cells(pieces(text))] += 1
     n, m = len(toxic), len(ordinary)
-    prior = PRIOR * counts.sum(axis=0) / (n + m)
-    # of PRIOR documents; both kinds get the same, so what occurs in neither or in both alike tells nothing
-    t, o = counts[0] + prior + 1e-9, counts[1] + prior + 1e-9
+    known = np.flatnonzero(counts[0] + counts[1] > 1)
+    a, b = counts[0, known].astype(float), counts[1, known].astype(float)
+    # PRIOR documents with the shares of all texts, the same for both kinds
+    prior = PRIOR * (a + b) / (n + m)
+    t, o = a + prior, b + prior
     odds = np.log(t / np.maximum(n + PRIOR - t, 1e-9)) - np.log(o / np.maximum(m + PRIOR - o, 1e-9))
-    return np.where(counts.sum(axis=0) > 1, odds / np.sqrt(1 / t + 1 / o), 0.0)
+    scores = np.zeros(1 << CELL_BITS, dtype=np.float32)
+    scores[known] = odds / np.sqrt(1 / t + 1 / o)
+    return scores
 
 
 def telling_pieces(texts: list[bytes], scores: np.ndarray, least_z: float, size: int) -> list[bytes]:
