@@ -71,7 +71,7 @@ def test_toxicity_sample_is_spread_over_the_table(spark, caplog):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
     fresh = spark.createDataFrame([(1_000 + i, prose(seeds[400 + i], 50) + (" dunderclod" if i % 2 else ""), i % 2) for i in range(100)],
                                   "doc_id long, text string, toxic int")
-    scored = toxicity.score_toxicity(docs.unionByName(fresh), docs, max_bytes=30_000, max_toxic=100, max_ordinary=300)
+    scored = toxicity.score_toxicity(docs.unionByName(fresh), docs, max_bytes=90_000, max_toxic=100, max_ordinary=300)
     scored = scored.filter("doc_id >= 1000").toPandas().sort_values("doc_id")["score"]
     assert auc(scored.to_numpy(), [i % 2 for i in range(100)]) > 0.95
     assert not caplog.records
