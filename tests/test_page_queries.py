@@ -11,6 +11,14 @@ def _pages(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def test_crawl_targets_of_one_address(spark, tmp_path):
+    """Addresses of a source that differ in query, fragment or a last slash only are one target."""
+    rows = [(0, "https://a.example/x?page=2", ""), (18, "https://A.example/x/", ""), (36, "https://a.example/x#top", ""),
+            (54, "https://a.example/y?ref=1", "")]
+    got = load().QUERIES["crawl_targets"](spark, _pages(spark, tmp_path, rows)).collect()
+    assert sorted((r.source_id, r.target_pos) for r in got) == [(0, 0), (0, 3)]
+
+
 def test_contact_phone_after_a_cut_number(spark, tmp_path):
     """What follows a number of too many digits starts behind a character of its own, as in the SQL."""
     texts = ["a +1 (543) 555-9258 59.207.203.63 4349000490986231 b", "Tel. +1 (543) 555-9258", None]

@@ -505,11 +505,16 @@ def parse_boards(sources: DataFrame, key: str, config: str) -> DataFrame:
     return unique.drop("_fold")
 
 
-def dedupe_targets(targets: DataFrame, key: str, url: str, mode: str, pos: str) -> DataFrame:
-    """Crawl targets with the same canonical address and mode, first one kept."""
+def dedupe_targets(
+    targets: DataFrame, key: str, url: str, mode: str, pos: str, *, address: Column | None = None
+) -> DataFrame:
+    """Crawl targets with the same address and mode, first one kept.
+
+    ``address`` says what counts as the same; the canonical address, which keeps the query, if not given.
+    """
     from vakanz.functions.urls import canonical_url
 
-    named = targets.withColumn("_url", canonical_url(F.col(url))).withColumn(
+    named = targets.withColumn("_url", canonical_url(F.col(url)) if address is None else address).withColumn(
         "_mode", fold(F.trim(F.coalesce(mode, F.lit("crawl"))))
     )
     return dedupe_first(named, [key, "_url", "_mode"], [F.col(pos)]).drop("_url", "_mode")
