@@ -11,6 +11,19 @@ def _pages(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def test_signal_at_the_end_of_a_title(spark):
+    """The title is followed by blanks and the text, so a term can start in one and end in the other."""
+    def evidence(html, groups):
+        row = {"url": "https://firma.example/x", "html": html, "target_url": "https://firma.example/",
+               "target_kind": "company_site", "target_label": "Firma"}
+        df = pages.page_facts(spark.createDataFrame([row]), signal_groups=groups)
+        return pages.page_to_posting(df, signal_groups=groups).first().evidence
+
+    assert evidence("<title>Frau und</title>", ((" und ",), ("the ",))) == ["content_signals:1"]
+    assert evidence("x <title>Frau und</title>", (("und  x ",), (" y",))) == ["content_signals:1"]
+    assert evidence("<title>Frau Hund</title>", ((" und ",),)) == []
+
+
 def test_crawl_targets_of_one_address(spark, tmp_path):
     """Addresses of a source that differ in query, fragment or a last slash only are one target."""
     rows = [(0, "https://a.example/x?page=2", ""), (18, "https://A.example/x/", ""), (36, "https://a.example/x#top", ""),
