@@ -11,6 +11,18 @@ def _pages(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def test_targets_are_numbered_in_name_order(spark, tmp_path):
+    """Two of any three hosts in name order are targets, however their names hash."""
+    from vakanz.plans.page_queries import targets
+
+    hosts = [f"h{i:02d}.example" for i in range(30)]
+    d = _pages(spark, tmp_path, [(i, f"https://{'www.' if i % 2 else 'm.'}{h}/x", "") for i, h in enumerate(hosts)])
+    got = {r.target_label: r.target_pos for r in targets(spark, d).collect()}
+    assert got == {h: i for i, h in enumerate(hosts, 1) if i % 3}
+    for name, count in (("host_suffix_join", 20), ("page_to_posting", 20), ("target_run_status", 20)):
+        assert load().QUERIES[name](spark, d).count() == count
+
+
 def test_signal_at_the_end_of_a_title(spark):
     """The title is followed by blanks and the text, so a term can start in one and end in the other."""
     def evidence(html, groups):
