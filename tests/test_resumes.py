@@ -165,3 +165,19 @@ def test_role_lists(spark):
     v, issues = compiled(spark, None, "Hauptbegriffe:\n- Assistenz\n* assistenz\n- Office\n\nSimilar titles:\n- OFFICE\n- Empfang")
     assert issues == [] and v.primary_role_terms == ["Assistenz", "Office"] and v.additional_role_terms == ["Empfang"]
     assert compiled(spark, "", "")[1] == [("role_taxonomy", 0, "missing_primary_role_terms")]
+
+
+def test_terms_are_sought_by_plain_search_first(spark):
+    """A pattern is tried only where a spelling occurs at all; the words found stay the same."""
+    from vakanz.operators.profiles import term_mentions
+
+    terms = {"Excel": ("excel",), "German": ("deutsch", "fran\u00e7ais"), "C": ("c++",)}
+    texts = ["EXCEL und C++", "excellent deutsch.", "Fran\u00c7ais", "nothing", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(term_mentions(F.col("t"), terms).alias("f"))
+    assert [r.f for r in df.collect()][:4] == [["Excel", "C"], ["German"], ["German"], []]
+    lines = spark.createDataFrame([(["Excel, word", "ms word"], ["ms excel"]), (["nothing"], []), ([], [])],
+                                  "l array<string>, s array<string>")
+    got = lines.select(resumes.mentioned_skills(F.col("l"), F.col("s")).alias("m"),
+                       resumes.spoken_languages(F.col("l")).alias("p")).collect()
+    assert [(r.m, r.p) for r in got] == [(["Word"], []), ([], []), ([], [])]
+    assert "contains(" in df._jdf.queryExecution().analyzed().toString().lower()

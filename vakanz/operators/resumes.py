@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vakanz import fixed
 from vakanz.functions.text import (
-    blank_to_null, collapse, emails, fold, let, lookup, ordered_distinct, phones, py_fold,
+    blank_to_null, collapse, contains_any, emails, fold, let, lookup, ordered_distinct, phones, py_fold,
 )
 from vakanz.operators.common import dedupe_first, open_array
 from vakanz.operators.profiles import (
@@ -205,7 +205,11 @@ def listed_entries(lines: Column) -> Column:
 def spoken_languages(lines: Column, terms: Mapping[str, Sequence[str]] = fixed.LANGUAGE_TERMS) -> Column:
     from vakanz.operators.profiles import term_mentions
 
-    return F.array_distinct(F.flatten(F.transform(lines, lambda x: term_mentions(x, terms))))
+    spellings = [py_fold(s) for names in terms.values() for s in names]
+    nothing = F.array().cast("array<string>")
+    return let(lines, lambda all_: F.when(
+        contains_any(fold(F.array_join(all_, "\n")), spellings),
+        F.array_distinct(F.flatten(F.transform(all_, lambda x: term_mentions(x, terms))))).otherwise(nothing))
 
 
 def listed_skills(lines: Column) -> Column:
@@ -223,21 +227,27 @@ def mentioned_skills(lines: Column, listed: Column, terms: Mapping[str, Sequence
     The spelling that counts is the first one, in the order of the table, of the first line with any.
     A name found earlier counts as listed for the ones after it.
     """
-    keys = F.transform(listed, fold)
-    folded = F.transform(lines, fold)
-    found = listed
-    for name, spellings in terms.items():
-        found = _with_skill(found, folded, name, [py_fold(t) for t in spellings])
-    return F.filter(found, lambda v: ~F.array_contains(keys, fold(v)))
+    def mentioned(text: Column) -> Column:
+        found = text["listed"]
+        for name, spellings in terms.items():
+            found = _with_skill(found, text, name, [py_fold(t) for t in spellings])
+        return let(F.struct(found.alias("all"), F.transform(text["listed"], fold).alias("keys")), lambda s: F.filter(
+            s["all"], lambda v: ~F.array_contains(s["keys"], fold(v))))
+
+    folded = F.struct(F.transform(lines, fold).alias("lines"), listed.alias("listed"))
+    return let(let(folded, lambda s: F.struct(
+        s["lines"].alias("lines"), s["listed"].alias("listed"), F.array_join(s["lines"], "\n").alias("whole"))), mentioned)
 
 
-def _with_skill(found: Column, folded: Column, name: str, spellings: Sequence[str]) -> Column:
+def _with_skill(found: Column, text: Column, name: str, spellings: Sequence[str]) -> Column:
+    """``found`` and the name, if a line says it; ``text``: struct of the folded lines and their whole."""
     def word(t: str) -> str:
         return rf"(?U)(?<!\w){re.escape(t)}(?!\w)"
 
     any_of = "|".join(word(t) for t in spellings)
-    said = _first(F.filter(folded, lambda x: x.rlike(any_of)))
-    spelling = F.coalesce(*[F.when(said.rlike(word(t)), F.lit(t)) for t in spellings])
+    said = _first(F.filter(text["lines"], lambda x: contains_any(x, spellings) & x.rlike(any_of)))
+    spelling = F.when(contains_any(text["whole"], spellings), let(
+        said, lambda line: F.coalesce(*[F.when(line.rlike(word(t)), F.lit(t)) for t in spellings])))
     return let(F.struct(found.alias("all"), spelling.alias("said")), lambda s: F.when(
         s["said"].isNotNull() & ~F.exists(s["all"], lambda v: F.contains(fold(v), s["said"])),
         F.array_append(s["all"], F.lit(name))).otherwise(s["all"]))

@@ -114,7 +114,7 @@ SELECT k, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN end_month >= star
 
 def resume_texts(spark, d):
     lines = spark.sql(LINES, **{t: table(spark, d, t) for t in ("customer", "orders", "lineitem")})
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
     return lines.filter("line is not null").groupBy("k").agg(F.array_join(ordered["line"], "\n").alias("text"))
 
 
