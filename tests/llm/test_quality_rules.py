@@ -117,3 +117,15 @@ def test_rule_keeps_clean_documents(spark):
     known = judged.filter("NOT base_failed").join(labels, "doc_id")
     share = {r["quality"]: r["s"] for r in known.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
     assert share[1] > 0.985 and share[0] < 0.15
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than any fixed number: all of them make the ratios, by either join."""
+    rows = [(i, f"w{i % 700} common w{(i * 7) % 900}") for i in range(21_000)] + [(30_000 + i, f"x{i % 50} common") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.range(21_000).toDF("doc_id")
+    want = {i: ratio for i, _, ratio in brute(rows, set(range(21_000)))[0]}
+    for most in (rules.BROADCAST_IDS, 10):
+        judged = rules.judge(docs, trusted, threshold=0.0, broadcast_ids=most)
+        got = {r["doc_id"]: r["ratio"] for r in judged.select("row.doc_id", "ratio").collect()}
+        assert len(got) == len(want) and max(abs(got[i] - want[i]) for i in want) < 1e-9
