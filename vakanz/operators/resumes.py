@@ -8,7 +8,7 @@ section is returned.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from vakanz.functions.text import (
 )
 from vakanz.operators.common import dedupe_first, open_array
 from vakanz.operators.profiles import (
-    COMPANY_PATTERN, PERIOD, ROLE_PATTERN, period_interval, role_and_employer,
+    COMPANY_PATTERN, PERIOD, ROLE_PATTERN, YEAR, period_interval, role_employer,
 )
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -33,28 +33,40 @@ def heading_key(c: Column) -> Column:
     return collapse(F.regexp_replace(F.trim(F.lower(c)), r"(?U)^[#•·\-\s]+|[:#•·\-\s]+$", ""))
 
 
+def _marks(names: Iterable[str]) -> list[str]:
+    """Words of which every name holds at least one: the longest of each, less those that hold another."""
+    longest = {max(re.split(r"\s+", n), key=len) for n in names}
+    return sorted(w for w in longest if not any(o != w and o in w for o in longest))
+
+
 def heading_of(line: Column, headings: Mapping[str, Sequence[str]] = fixed.SECTION_HEADINGS) -> Column:
     """``struct<section, rest>`` of a heading line, null for others; ``rest`` follows a colon on the same line."""
     names = {py_fold(h) if "ß" in h else h: section for section, hs in headings.items() for h in hs}
-    whole = lookup(heading_key(line), names)
+    found = lambda section, rest: F.when(section.isNotNull(), F.struct(section.alias("section"), rest.alias("rest")))
+    rest = blank_to_null(F.regexp_replace(line, r"^[^:]*:", ""))
     label = F.when(F.contains(line, F.lit(":")), lookup(heading_key(F.substring_index(line, ":", 1)), names))
-    rest = F.when(whole.isNull(), blank_to_null(F.regexp_replace(line, r"^[^:]*:", "")))
-    section = F.coalesce(whole, label)
-    return F.when(section.isNotNull(), F.struct(section.alias("section"), rest.alias("rest")))
+    whole = let(lookup(heading_key(line), names), lambda section: found(section, F.lit(None).cast("string")))
+    # a plain search rules most lines out before the patterns are tried
+    return F.when(let(F.lower(line), lambda t: contains_any(t, _marks(names))),
+                  F.coalesce(whole, let(label, lambda section: found(section, rest))))
 
 
 def is_identity(line: Column) -> Column:
     """A line that can name a role or an employer."""
-    plain = ~(line == "") & (F.length(line) <= 180) & ~line.rlike(r"[.;]$") & ~line.rlike(_MAIL) & ~line.rlike(_PHONE)
-    names = F.lower(line).rlike(ROLE_PATTERN) | line.rlike(COMPANY_PATTERN) | F.contains(line, F.lit("|"))
-    return plain & (names | line.rlike(r"(?i)\s+(?:bei|at)\s+"))
+    short = ~(line == "") & (F.length(line) <= 180) & ~line.rlike(r"[.;]$")
+    role = let(F.lower(line), lambda t: contains_any(t, fixed.ROLE_WORDS))
+    names = F.contains(line, F.lit("|")) | role | line.rlike(COMPANY_PATTERN) | line.rlike(r"(?i)\s+(?:bei|at)\s+")
+    return short & names & ~_has_mail(line) & ~line.rlike(_PHONE)
+
+
+def _has_mail(line: Column) -> Column:
+    return F.contains(line, F.lit("@")) & line.rlike(_MAIL)
 
 
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, line: the trimmed lines that are not blank."""
-    lines = open_array(df, [key], F.split(F.col(text), LINE_BREAK), "_raw", "pos")
-    trimmed = F.regexp_replace("_raw", r"(?U)^\s+|\s+$", "")
-    return lines.select(key, "pos", trimmed.alias("line")).filter("line <> ''")
+    trimmed = F.transform(F.split(F.col(text), LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return open_array(df, [key], trimmed, "line", "pos").filter("line <> ''")
 
 
 def work_experience(
@@ -78,22 +90,26 @@ def work_experience(
     lines = lines.withColumn("_in_section", F.max(F.col("_own").isNotNull()).over(whole))
     lines = lines.withColumn("_line", F.when(F.col("_in_section"), F.col("_own")).otherwise(F.col("line")))
     lines = lines.filter(F.col("_line").isNotNull())
-    line, bare = F.col("_line"), F.regexp_replace("_line", PERIOD, "")
+    line, headed = F.col("_line"), F.col("_heading").isNotNull()
+    # every period holds a year; what stands beside it counts on its own line only
+    period = F.when(line.rlike(YEAR), F.nullif(F.regexp_extract(line, PERIOD, 1), F.lit("")))
     lines = lines.select(
-        key, "_line", "_in_section", F.row_number().over(order).alias("_at"),
-        F.nullif(F.regexp_extract("_line", PERIOD, 1), F.lit("")).alias("_period"),
-        F.regexp_replace(bare, _EDGES, "").alias("_beside"), is_identity(line).alias("_identity"),
-        heading_of(line, headings).isNotNull().alias("_is_heading"),
+        key, "pos", "_line", "_in_section", F.row_number().over(order).alias("_at"), period.alias("_period"),
+        is_identity(line).alias("_identity"),
+        F.when(F.col("_in_section") & headed, heading_of(line, headings).isNotNull()).otherwise(headed).alias("_is_heading"),
     )
-    step = whole.orderBy("_at")
     stops = F.col("_period").isNotNull() | F.col("_identity") | F.col("_is_heading")
     names = F.when(F.col("_identity") & F.col("_period").isNull(), F.col("_line"))
     lines = lines.withColumns({"_stops": stops, "_names": names})
     lines = lines.withColumns({
-        "_after": F.array(F.lead("_names", 1).over(step), F.lead("_names", 2).over(step)),
-        "_before": F.array(F.lag("_names", 2).over(step), F.lag("_names", 1).over(step)),
-        "_island": F.max(F.when(F.col("_stops"), F.col("_at"))).over(step.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.array(F.lead("_names", 1).over(order), F.lead("_names", 2).over(order)),
+        "_before": F.array(F.lag("_names", 2).over(order), F.lag("_names", 1).over(order)),
+        "_island": F.max(F.when(F.col("_stops"), F.col("_at"))).over(order.rowsBetween(Window.unboundedPreceding, -1)),
     })
+    # lines that open no entry and are no duty have done their part
+    lines = lines.filter(F.col("_period").isNotNull() | ~F.col("_stops"))
+    bare = F.regexp_replace(F.regexp_replace("_line", PERIOD, ""), _EDGES, "")
+    lines = lines.withColumn("_beside", F.when(F.col("_period").isNotNull(), bare))
     some = lambda a: F.filter(a, lambda x: x.isNotNull())
     nothing = F.array().cast("array<string>")
     after = F.when(F.col("_after")[0].isNotNull(), some("_after")).otherwise(nothing)
@@ -101,23 +117,22 @@ def work_experience(
     lines = lines.withColumn("_after", F.when(F.col("_beside") == "", after).otherwise(nothing))
     lines = lines.withColumn("_named_by", F.when(F.col("_beside") != "", nothing).when(
         F.size("_after") > 0, F.col("_after")).otherwise(before))
-    lines = lines.withColumn("_context", F.when(F.col("_beside") != "", F.col("_beside")).otherwise(
-        F.array_join("_named_by", " | ")))
-    role, employer = role_and_employer(F.col("_context"))
-    opens = F.col("_period").isNotNull() & (F.col("_in_section") | F.lower("_context").rlike(ROLE_PATTERN))
-    entry = F.when(opens & (F.col("_context") != ""), F.struct(
-        F.col("_at").alias("at"), F.trim("_period").alias("period"), role.alias("role"), employer.alias("employer"),
-        F.concat(F.array("_line"), "_named_by").alias("source")))
-    bare_duty = F.trim(F.regexp_replace("_line", BULLET, ""))
-    duty = F.when(~F.col("_stops") & (bare_duty != "") & ~bare_duty.rlike(_MAIL), F.struct("_at", collapse(
-        F.regexp_replace(bare_duty, r"^[ •·|,;:\-]+|[ •·|,;:\-]+$", "")).alias("text")))
+    context = F.when(F.col("_beside") != "", F.col("_beside")).otherwise(F.array_join("_named_by", " | "))
+    lines = lines.withColumn("_context", F.when(F.col("_period").isNotNull(), context))
+    opens = (F.col("_context") != "") & (F.col("_in_section") | F.lower("_context").rlike(ROLE_PATTERN))
+    lines = lines.withColumn("_who", F.when(opens, role_employer(F.col("_context"))))
+    entry = F.when(F.col("_who")["role"].isNotNull() | F.col("_who")["employer"].isNotNull(), F.struct(
+        F.col("_at").alias("at"), F.trim("_period").alias("period"), F.col("_who")["role"].alias("role"),
+        F.col("_who")["employer"].alias("employer"), F.concat(F.array("_line"), "_named_by").alias("source")))
+    tidy = lambda bare: collapse(F.regexp_replace(bare, r"^[ •·|,;:\-]+|[ •·|,;:\-]+$", ""))
+    duty = F.when(~F.col("_stops"), let(F.trim(F.regexp_replace("_line", BULLET, "")), lambda bare: F.when(
+        (bare != "") & ~_has_mail(bare), F.struct(F.col("_at").alias("at"), tidy(bare).alias("text")))))
     rows = lines.select(key, entry.alias("_entry"), duty.alias("_duty"), F.when(
         F.col("_stops"), F.col("_at") + F.size("_after")).otherwise(F.col("_island")).alias("_group"))
-    # a stop line closes its own group; the lines up to the next stop carry its number
-    grouped = rows.groupBy(key, "_group").agg(
-        F.max("_entry").alias("_e"), F.array_sort(F.collect_list("_duty")).alias("_duties")).filter("_e is not null")
-    grouped = grouped.select(key, "_e.*", ordered_distinct(F.col("_duties.text")).alias("responsibilities"))
-    grouped = grouped.filter("role is not null or employer is not null")
+    # an entry closes its own group; the lines up to the next stop carry its number
+    grouped = rows.withColumn("_duties", F.collect_list("_duty").over(Window.partitionBy(key, "_group")))
+    grouped = grouped.filter("_entry is not null").withColumn("_duties", F.sort_array("_duties"))
+    grouped = grouped.select(key, "_entry.*", ordered_distinct(F.col("_duties.text")).alias("responsibilities"))
     same = [key, fold(F.col("period")), fold(F.coalesce("role", F.lit(""))), fold(F.coalesce("employer", F.lit("")))]
     found = dedupe_first(grouped, same, [F.col("at")])
     found = found.withColumn("_span", period_interval(F.col("period"), now_month))
