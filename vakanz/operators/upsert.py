@@ -142,9 +142,14 @@ def duplicate_groups(df: DataFrame, key: str, source: str, member: str) -> DataF
 
 
 def duplicate_members(df: DataFrame, key: str, source: str, member: str) -> DataFrame:
-    """Every posting of a duplicate group with the size of its group; one row per posting."""
-    sizes = duplicate_groups(df, key, source, member).select(key, "members", "first_member")
-    return df.select(key, source, member).join(sizes, key)
+    """Every posting of a duplicate group with the size of its group; one row per posting.
+
+    The keys are dealt by member once and both sides read that exchange, so a key made of a long text is computed
+    once, and a key that many postings share lies in many tasks.
+    """
+    keyed = df.select(key, source, member).repartition(F.col(member))
+    sizes = duplicate_groups(keyed, key, source, member).select(key, "members", "first_member")
+    return keyed.join(sizes, key)
 
 
 def scores_due(

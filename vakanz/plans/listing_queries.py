@@ -399,9 +399,9 @@ def duplicate_groups(spark, d):
        SELECT k.k AS text_key, source, doc_id, members, first_member FROM k JOIN g ON g.k = k.k""",
 )
 def duplicate_members(spark, d):
-    docs = table(spark, d, "documents").select(
-        "doc_id", "source", F.sha2(text.key_part(F.col("text")), 256).alias("text_key")
-    )
+    # a key that can't be null is not computed once more to be filtered
+    key = F.coalesce(F.sha2(text.key_part(F.col("text")), 256), F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", "source", key.alias("text_key"))
     return upsert.duplicate_members(docs, "text_key", "source", "doc_id")
 
 
