@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vakanz import fixed
 from vakanz.functions.parse import parse_boolean, parse_percentage, parse_salary, state_alias
-from vakanz.functions.text import letter_key, lookup
+from vakanz.functions.text import let, letter_key, lookup
 from vakanz.operators.common import open_array
 from vakanz.operators.profiles import taxonomy_issues, taxonomy_split
 from vakanz.operators.resumes import LINE_BREAK
@@ -40,14 +40,14 @@ def _row(field: Column | str, value: Column, issue: Column | None = None) -> Col
     return F.struct(name.alias("field"), value.alias("value"), wrong.cast("string").alias("issue"))
 
 
-def split_items(value: Column) -> Column:
+def split_items(value: Column, key: Column | None = None) -> Column:
     items = F.filter(F.transform(F.split(value, "[,;]"), lambda v: F.trim(v)), lambda v: v != "")
-    return F.when(letter_key(value).isin(*fixed.NOT_SPECIFIED), F.array().cast("array<string>")).otherwise(
-        F.array_distinct(items))
+    key = letter_key(value) if key is None else key
+    return F.when(key.isin(*fixed.NOT_SPECIFIED), F.array().cast("array<string>")).otherwise(F.array_distinct(items))
 
 
-def work_mode(value: Column) -> Column:
-    key = letter_key(value)
+def work_mode(value: Column, key: Column | None = None) -> Column:
+    key = letter_key(value) if key is None else key
     return F.when(F.contains(key, F.lit("hybrid")), "hybrid").when(key.rlike("remote|entfernt"), "remote").when(
         key.rlike("prasenz|on-site|onsite"), "onsite")
 
@@ -63,35 +63,40 @@ def weights_of(mode: Column) -> Column:
 
 def labelled_row(field: Column, value: Column) -> Column:
     """The row of a labelled line: its field's parser decides the kind of value and the issue."""
-    none = F.lit(None)
-    items = split_items(value)
-    states = F.array_distinct(F.transform(items, state_alias))
-    flag, mode = parse_boolean(value), work_mode(value)
-    shares = _numbers(value, r"([0-9]{1,3})\s*%")
-    share = lambda i: (F.get(shares, F.lit(i)) / 100).alias(MODES[i])
-    times = _numbers(value, r"\b([0-9]{1,3})\b")
-    low, high = F.get(times, F.lit(0)), F.get(times, F.lit(1))
-    salary, salary_fits = parse_salary(value)
-    percent, percent_fits = parse_percentage(value)
-    bad_weights = (F.size(shares) != 3) | F.exists(shares, lambda s: s > 100)
-    bad_minutes = (F.size(times) < 2) | (low > high) | (high > 480)
-    parsers = [
-        (field.isin(*LISTS), _tagged(items=items), none),
-        (field == "preferred_states", _tagged(items=states),
-         F.when(F.exists(states, lambda s: s.isNull()), "invalid_state")),
-        (field == "include_germany_remote", _tagged(flag=flag), F.when(flag.isNull(), "invalid_boolean")),
-        (field == "workplace_preference", _tagged(mode=mode), F.when(mode.isNull(), "invalid_workplace")),
-        (field == "workplace_weights", _tagged(weights=F.struct(share(0), share(1), share(2))),
-         F.when(bad_weights, "invalid_weights")),
-        (field == "commute", _tagged(minutes=F.struct(low.alias("low"), high.alias("high"))),
-         F.when(bad_minutes, "invalid_commute")),
-        (field.isin("min_salary", "target_salary"), _tagged(number=salary), F.when(~salary_fits, "invalid_salary")),
-        (field == "max_travel_percent", _tagged(number=percent), F.when(~percent_fits, "invalid_percentage")),
-    ]
-    out = F.when(field.isNull(), _row("", _tagged(), F.lit("unknown_instruction")))
-    for fits, tagged, issue in parsers:
-        out = out.when(fits, _row(field, tagged, issue))
-    return out
+    return let(F.struct(field.alias("field"), value.alias("value"), letter_key(value).alias("key")),
+               lambda x: _labelled(x["field"], x["value"], x["key"]))
+
+
+def _labelled(field: Column, value: Column, key: Column) -> Column:
+    """Every parser stands behind its field and binds what it uses twice."""
+    row = lambda tagged, issue=None: _row(field, tagged, issue)
+    times = lambda t: row(
+        _tagged(minutes=F.struct(F.get(t, F.lit(0)).alias("low"), F.get(t, F.lit(1)).alias("high"))),
+        F.when((F.size(t) < 2) | (F.get(t, F.lit(0)) > F.get(t, F.lit(1))) | (F.get(t, F.lit(1)) > 480), "invalid_commute"))
+    share = lambda s, i: (F.get(s, F.lit(i)) / 100).alias(MODES[i])
+    shares = lambda s: row(
+        _tagged(weights=F.struct(share(s, 0), share(s, 1), share(s, 2))),
+        F.when((F.size(s) != 3) | F.exists(s, lambda v: v > 100), "invalid_weights"))
+
+    def checked(parsed: tuple[Column, Column], issue: str) -> Column:
+        return let(F.struct(parsed[0].alias("number"), parsed[1].alias("fits")), lambda p: row(
+            _tagged(number=p["number"]), F.when(~p["fits"], issue)))
+
+    states = F.array_distinct(F.transform(split_items(value, key), state_alias))
+    return (
+        F.when(field.isNull(), _row("", _tagged(), F.lit("unknown_instruction")))
+        .when(field.isin(*LISTS), row(_tagged(items=split_items(value, key))))
+        .when(field == "preferred_states", let(states, lambda s: row(
+            _tagged(items=s), F.when(F.exists(s, lambda v: v.isNull()), "invalid_state"))))
+        .when(field == "include_germany_remote", let(parse_boolean(value), lambda f: row(
+            _tagged(flag=f), F.when(f.isNull(), "invalid_boolean"))))
+        .when(field == "workplace_preference", let(work_mode(value, key), lambda m: row(
+            _tagged(mode=m), F.when(m.isNull(), "invalid_workplace"))))
+        .when(field == "workplace_weights", let(_numbers(value, r"([0-9]{1,3})\s*%"), shares))
+        .when(field == "commute", let(_numbers(value, r"\b([0-9]{1,3})\b"), times))
+        .when(field.isin("min_salary", "target_salary"), checked(parse_salary(value), "invalid_salary"))
+        .when(field == "max_travel_percent", checked(parse_percentage(value), "invalid_percentage"))
+    )
 
 
 def states_in(line: Column) -> Column:
@@ -99,48 +104,61 @@ def states_in(line: Column) -> Column:
 
     A state's place is that of its first alias, in the order of the table, that occurs.
     """
-    key, by_state = letter_key(line), {}
+    return let(letter_key(line), _states_of_key)
+
+
+def _states_of_key(key: Column) -> Column:
+    by_state = {}
     for alias, state in fixed.STATE_ALIASES.items():
         by_state.setdefault(state, []).append(alias)
     found = []
     for state, aliases in by_state.items():
         at = F.coalesce(*[F.nullif(F.locate(a, key), F.lit(0)) for a in aliases])
-        found.append(F.when(at.isNotNull(), F.struct((at - 1).alias("at"), F.lit(state).alias("state"))))
-    return F.array_sort(F.filter(F.array(*found), lambda s: s.isNotNull()))
+        found.append(F.struct((at - 1).alias("at"), F.lit(state).alias("state")))
+    return F.sort_array(F.filter(F.array(*found), lambda s: s["at"].isNotNull()))
 
 
 def prose_rows(line: Column) -> Column:
     """Rows that a line without a label sets; one row with an issue if it sets none."""
-    key, named = letter_key(line), states_in(line)
+    key = letter_key(line)
+    return let(let(key, lambda k: F.struct(k.alias("key"), _states_of_key(k).alias("named"), work_mode(line, k).alias("mode"))),
+               lambda x: _prose(x["key"], x["named"], x["mode"]))
+
+
+def _prose(key: Column, named: Column, mode: Column) -> Column:
     prefers = key.rlike("prefer|bevorzug")
-    cut = F.least(*[F.nullif(F.locate(w, key), F.lit(0)) for w in (" instead of ", " statt ")]) - 1
-    wanted = F.transform(F.filter(named, lambda s: cut.isNull() | (s["at"] < cut)), lambda s: s["state"])
+    places = let(F.least(*[F.nullif(F.locate(w, key), F.lit(0)) for w in (" instead of ", " statt ")]) - 1, lambda cut:
+                 F.transform(F.filter(named, lambda s: cut.isNull() | (s["at"] < cut)), lambda s: s["state"]))
     first = F.transform(F.slice(named, 1, 1), lambda s: s["state"])
-    states = F.when(F.size(wanted) > 0, wanted).otherwise(first)
+    states = let(places, lambda wanted: F.when(F.size(wanted) > 0, wanted).otherwise(first))
     refuses, allows = key.rlike("no remote|kein remote|ohne remote"), key.rlike("include|einbezieh|allow|offen")
-    mode = work_mode(line)
     most = F.regexp_extract(key, fixed.COMMUTE_PATTERN, 1).try_cast("int")
     rows = F.filter(F.array(
         F.when((F.size(named) > 0) & key.rlike("prefer|bevorzug|region|state"), _row("preferred_states", _tagged(items=states))),
         F.when(F.contains(key, F.lit("remote")) & (refuses | allows), _row("include_germany_remote", _tagged(flag=~refuses))),
-        F.when(prefers & mode.isNotNull(), _row("workplace_preference", _tagged(mode=mode))),
-        F.when(prefers & mode.isNotNull(), _row("workplace_weights", _tagged(weights=weights_of(mode)))),
-        F.when(most.between(1, 480), _row("commute_limit", _tagged(number=most))),
+        F.when(mode.isNotNull() & prefers, _row("workplace_preference", _tagged(mode=mode))),
+        F.when(mode.isNotNull() & prefers, _row("workplace_weights", _tagged(weights=weights_of(mode)))),
+        let(most, lambda m: F.when(m.between(1, 480), _row("commute_limit", _tagged(number=m)))),
     ), lambda r: r.isNotNull())
-    return F.when(F.size(rows) > 0, rows).otherwise(F.array(_row("", _tagged(), F.lit("unknown_instruction"))))
+    return let(rows, lambda found: F.when(F.size(found) > 0, found).otherwise(
+        F.array(_row("", _tagged(), F.lit("unknown_instruction")))))
+
+
+def _line_rows(df: DataFrame, key: str, prompt: str) -> DataFrame:
+    """``preference_rows`` with a row of nulls for a blank line or text, so that no key is lost."""
+    trimmed = F.transform(F.split(F.col(prompt), LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    lines = df.select(key, F.posexplode_outer(trimmed).alias("_pos", "line"))
+    label = lookup(letter_key(F.substring_index("line", ":", 1)), fixed.PREFERENCE_LABELS)
+    value = F.trim(F.regexp_replace("line", r"^[^:]*:", ""))
+    rows = F.when(F.col("line") != "", F.when(F.contains("line", F.lit(":")), F.array(labelled_row(label, value))).otherwise(
+        prose_rows(F.col("line"))))
+    return lines.select(key, (F.col("_pos") + 1).alias("line_number"), "line", F.explode_outer(rows).alias("_r")).select(
+        key, "line_number", "line", "_r.*")
 
 
 def preference_rows(df: DataFrame, key: str, prompt: str) -> DataFrame:
     """key, line_number, line, field, value, issue: what every line of a text sets."""
-    lines = open_array(df, [key], F.split(F.col(prompt), LINE_BREAK), "_raw", "_pos")
-    lines = lines.select(key, (F.col("_pos") + 1).alias("line_number"),
-                         F.regexp_replace("_raw", r"(?U)^\s+|\s+$", "").alias("line")).filter("line <> ''")
-    label = F.substring_index("line", ":", 1)
-    lines = lines.withColumn("_field", lookup(letter_key(label), fixed.PREFERENCE_LABELS)).withColumn(
-        "_value", F.trim(F.regexp_replace("line", r"^[^:]*:", "")))
-    has_label = F.contains("line", F.lit(":"))
-    rows = F.when(has_label, F.array(labelled_row(F.col("_field"), F.col("_value")))).otherwise(prose_rows(F.col("line")))
-    return open_array(lines, [key, "line_number", "line"], rows, "_r").select(key, "line_number", "line", "_r.*")
+    return _line_rows(df, key, prompt).filter("field is not null")
 
 
 def role_lists(df: DataFrame, key: str, taxonomy: str) -> tuple[DataFrame, DataFrame]:
@@ -181,10 +199,10 @@ def compile_preferences(
 
     ``current`` has the list fields, ``preferred_states``, ``include_germany_remote``, the three weights,
     ``commute_penalty_minutes``, ``max_commute_minutes``, the number fields, ``workplace_preference`` and
-    the two role lists. A field that no line sets keeps its value. A commute limit in prose also lowers
+    the two role lists, in one row per owner. A field that no line sets keeps its value. A commute limit in prose also lowers
     the penalty minutes set before it. A changed mode without changed weights gets that mode's weights.
     """
-    rows = preference_rows(prompts, key, prompt)
+    rows = _line_rows(prompts, key, prompt)
     number = F.col("line_number")
 
     def last(field: str) -> Column:
@@ -198,12 +216,14 @@ def compile_preferences(
     limit = F.struct(number.alias("at"), F.col("value.number").cast("int").alias("most"))
     found = rows.groupBy(key).agg(
         *[last(f) for f in single], F.max(F.when(is_pair, pair)).alias("_pair"),
-        F.collect_list(F.when(is_limit, limit)).alias("_limits"))
-    texts = prompts.select(key).distinct()
-    joined = texts.join(current, key).join(found, key, "left")
+        F.collect_list(F.when(is_limit, limit)).alias("_limits"),
+        F.collect_list(F.when(F.col("issue").isNotNull(), F.struct("line_number", "line", F.col("issue").alias("code")))).alias(
+            "_issues"))
+    # the lines are read once: settings and issues come from the same row
+    joined = found.join(current.withColumn("_current", F.lit(True)), key, "left")
     limits = F.filter(F.coalesce("_limits", F.array().cast("array<struct<at: int, most: int>>")),
                       lambda x: F.col("_pair").isNull() | (x["at"] > F.col("_pair.at")))
-    newest = F.element_at(F.array_sort(limits), -1)
+    newest = F.try_element_at(F.sort_array(limits), F.lit(-1))
     low = F.coalesce("_pair.low", "commute_penalty_minutes")
     kept = lambda f, part: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}")[part]).otherwise(F.col(f))
     shares = [F.coalesce(F.col("_workplace_weights.weights")[m], F.col(f"{m}_weight")) for m in MODES]
@@ -215,8 +235,8 @@ def compile_preferences(
     reset = (before != after) & same_weights
     weight = lambda m, s: F.when(reset, weights_of(after)[m]).otherwise(s).alias(f"{m}_weight")
     has_limits = F.size(limits) > 0
-    compiled = joined.select(
-        key, *[kept(f, "items").alias(f) for f in (*LISTS, "preferred_states")],
+    settled = joined.select(
+        key, "_issues", "_current", *[kept(f, "items").alias(f) for f in (*LISTS, "preferred_states")],
         kept("include_germany_remote", "flag").alias("include_germany_remote"),
         after.alias("workplace_preference"), *[weight(m, s) for m, s in zip(MODES, shares)],
         F.when(has_limits, F.least(low, F.array_min(F.transform(limits, lambda x: x["most"])))).otherwise(low).alias(
@@ -225,8 +245,16 @@ def compile_preferences(
             "max_commute_minutes"),
         *[kept(f, "number").alias(f) for f in NUMBERS], "primary_role_terms", "additional_role_terms",
     )
-    issues = rows.filter("issue is not null").select(
-        key, F.lit("preference_prompt").alias("source"), "line_number", "line", F.col("issue").alias("code"))
+    compiled = settled.filter("_current").drop("_issues", "_current")
+    too_large = [F.when((F.size(f) > MAX_ITEMS) | F.exists(f, lambda v: F.length(v) > MAX_CHARS), "list_too_large")
+                 for f in LISTS]
+    rules = F.filter(F.array(
+        F.when(F.col("target_salary") < F.col("min_salary"), "target_below_minimum"),
+        F.when(F.col("commute_penalty_minutes") > F.col("max_commute_minutes"), "commute_order"),
+        F.when(F.size("preferred_states") > MAX_STATES, "too_many_states"), *too_large), lambda c: c.isNotNull())
+    broken = F.transform(rules, lambda c: F.struct(F.lit(0).alias("line_number"), F.lit("").alias("line"), c.alias("code")))
+    every = F.when(F.col("_current"), F.concat("_issues", broken)).otherwise(F.col("_issues"))
+    issues = open_array(settled, [key], every, "_i").select(key, F.lit("preference_prompt").alias("source"), "_i.*")
     if taxonomy:
         lists, role_issues = role_lists(prompts, key, taxonomy)
         compiled = compiled.join(lists.select(key, F.struct("primary_role_terms", "additional_role_terms").alias("_l")), key, "left")
@@ -235,12 +263,4 @@ def compile_preferences(
         compiled = compiled.drop("_l")
         issues = issues.unionByName(role_issues.select(
             key, F.lit("role_taxonomy").alias("source"), "line_number", "line", F.col("issue").alias("code")))
-    too_large = [F.when((F.size(f) > MAX_ITEMS) | F.exists(f, lambda v: F.length(v) > MAX_CHARS), "list_too_large")
-                 for f in LISTS]
-    rules = F.array(
-        F.when(F.col("target_salary") < F.col("min_salary"), "target_below_minimum"),
-        F.when(F.col("commute_penalty_minutes") > F.col("max_commute_minutes"), "commute_order"),
-        F.when(F.size("preferred_states") > MAX_STATES, "too_many_states"), *too_large)
-    broken = open_array(compiled, [key], rules, "code")
-    return compiled, issues.unionByName(broken.select(
-        key, F.lit("preference_prompt").alias("source"), F.lit(0).alias("line_number"), F.lit("").alias("line"), "code"))
+    return compiled, issues
