@@ -186,13 +186,16 @@ def deep_pages(
 ) -> DataFrame:
     """``section_pages`` at any depth: rows are numbered by one range sort over (section, order).
 
-    A section's rows are neighbours in that order, so a row's place in its section is its number less that
-    of the section's first row. Every task sorts one range; none sorts a section.
+    A section's rows are neighbours in that order, so its first number gives the numbers of the page. Rows meet the
+    page by their own number, never by their section: every task sorts one range and none reads a section.
     """
     numbered = global_row_number(df.filter(F.col(bucket).isNotNull()), [F.col(bucket).asc(), *order], "_no")
-    firsts = numbered.groupBy(bucket).agg(F.min("_no").alias("_first"), F.count("*").alias("total"))
-    rows = numbered.join(firsts, bucket).withColumn("position", (F.col("_no") - F.col("_first") + 1).cast("int"))
-    page = rows.filter((F.col("position") > offset) & (F.col("position") <= offset + size)).drop("_no", "_first")
+    totals = numbered.groupBy(bucket).agg(F.min("_no").alias("_first"), F.count("*").alias("total"))
+    totals = totals.filter((F.col("total") > offset) & F.lit(size > 0))
+    last = F.col("_first") + F.least(F.lit(offset + size).cast("long"), F.col("total")) - 1
+    numbers = F.explode(F.sequence(F.col("_first") + offset, last)).alias("_no")
+    page = numbered.join(totals.select("_first", "total", numbers), "_no")
+    page = page.withColumn("position", (F.col("_no") - F.col("_first") + 1).cast("int")).drop("_no", "_first")
     return page.withColumn("has_more", F.lit(offset + size) < F.col("total"))
 
 
