@@ -179,9 +179,13 @@ class KeyedRows:
         return (rows if numbers is None else rows.filter(F.col("bucket").isin(numbers))).drop("bucket")
 
     def replace(self, rows: DataFrame) -> None:
-        """Write whole buckets; the others stay."""
-        rows.withColumn("bucket", self.bucket).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)
+        """Write whole buckets; the others stay.
+
+        Rows are rebalanced by bucket, or every task would write a file into every bucket; a bucket that holds
+        much more than the others, because of a hot key, is split into several tasks and files.
+        """
+        dealt = rows.withColumn("bucket", self.bucket).hint("rebalance", F.col("bucket"))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)
 
 
 def keep_rows(
