@@ -140,6 +140,27 @@ def test_pieces_are_ranked_against_noise():
     assert toxicity.pieces(b" ab abcdefghijklmno ") == {b" ab ", b" abcdefghijklmno ", *(b" abcdefghijklmno"[:n] for n in range(5, 12))}
 
 
+def test_pieces_of_toxic_texts_alone_rank_above_those_of_near_copies():
+    """Found by the check: words of a group of near copies, in both kinds, had taken the whole dictionary."""
+    copied = [b"copied%d" % i for i in range(40)]
+    own = [b" ".join((b"text%d" % i, b"lowei" + [b"en", b"ist", b"ach"][i % 3])) for i in range(300)]
+    toxic = [b" %s %s " % (t, b" ".join(copied)) if i < 40 else b" %s " % t for i, t in enumerate(own)]
+    ordinary = [b" some%d %s " % (i, b" ".join(copied)) if i < 25 else b" some%d " % i for i in range(2_700)]
+    odds = toxicity.log_odds(toxic, ordinary)
+    found = toxicity.telling_pieces(toxic, odds, 3.0, 64)
+    assert found[0] == b" lowei" and all(g.startswith(b" low") or g.startswith(b" text") for g in found[:3])
+
+
+def test_pieces_that_share_a_cell_are_told_apart(monkeypatch):
+    """A rare piece in the cell of a telling one is none."""
+    rude, rare = b" idiot ", b" meadow "
+    monkeypatch.setattr(toxicity.zlib, "crc32", lambda g, crc=zlib.crc32: crc(rude if g == rare else g))
+    toxic = [b" idiot person%d " % i for i in range(60)] + [b" meadow "]
+    ordinary = [b" person%d " % i for i in range(300)]
+    found = toxicity.telling_pieces(toxic, toxicity.log_odds(toxic, ordinary), 3.0, 64)
+    assert rude in found and rare not in found
+
+
 def test_the_dictionaries_differ_in_their_own_pieces_only():
     ordinary = [toxicity.plain(prose(i, 60)) for i in range(80)]
     toxic = [toxicity.plain(prose(i + 500, 60) + " wretchling") for i in range(40)]

@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained, one for ordinary and one for toxic text. Both begin with the
 same content, trained on windows of both kinds, so that what every text holds costs the same behind
 either; each ends with its own pieces, the words and beginnings of words that tell its kind. Pieces are
-ranked by log-odds with a prior from all texts, in standard errors, so a few wrong labels or
-quotations lower a piece's rank and don't strike it out. A window is compressed behind both; the bytes
+ranked by the signed root of their log-likelihood ratio, so a few wrong labels or quotations lower
+a piece's rank and don't strike it out, and a piece that ordinary texts never hold ranks highest. A window is compressed behind both; the bytes
 that the toxic dictionary saves are its distance. A document's distances (the two largest, mean of the
 upper tenth, of the upper quarter, of all, how many windows reach each of ``THRESHOLDS``, and how many
 there are) go through a logistic calibration fitted on labelled documents that trained no dictionary.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import logging
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,6 @@ from vakanz.llm.labelled import labelled_rows
 
 CELL_BITS = 22
 PIECE = (5, 12)  # bytes of a word's beginning, the space before it included
-PRIOR = 20.0  # documents that the shares of all texts count for
 THRESHOLDS = (2, 3, 4, 5)  # bytes
 RIDGE = 3.0  # rows that hold a calibration weight at 0; few labels must not fit their noise
 LEVEL = 3
@@ -99,36 +99,56 @@ def pieces(text: bytes) -> set[bytes]:
     return out
 
 
+def _cell(piece: bytes) -> int:
+    return zlib.crc32(piece) & (1 << CELL_BITS) - 1
+
+
 def _cells(found: set[bytes]) -> np.ndarray:
-    return np.fromiter({zlib.crc32(g) & (1 << CELL_BITS) - 1 for g in found}, dtype=np.int64)
+    return np.fromiter({_cell(g) for g in found}, dtype=np.int64)
+
+
+def _term(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
 
 
 def log_odds(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Log-odds of every cell of pieces between toxic and ordinary documents, in standard errors."""
+    """Signed root of the log-likelihood ratio of every cell of pieces between toxic and ordinary documents.
+
+    It is about in standard errors, also where a kind holds a piece in few documents or in none: there the
+    error of log-odds, which the rarer count sets, would hold the best pieces under those that a group of near
+    copies shares. What the best of so many pieces would reach by chance counts as 0.
+    """
     counts = np.zeros((2, 1 << CELL_BITS), dtype=np.float32)
     for kind, texts in enumerate((toxic, ordinary)):
         for text in texts:
             counts[kind][_cells(pieces(text))] += 1
     n, m = len(toxic), len(ordinary)
     known = np.flatnonzero(counts[0] + counts[1] > 1)
-    a, b = counts[0, known].astype(float), counts[1, known].astype(float)
-    # PRIOR documents with the shares of all texts, the same for both kinds
-    prior = PRIOR * (a + b) / (n + m)
-    t, o = a + prior, b + prior
-    odds = np.log(t / np.maximum(n + PRIOR - t, 1e-9)) - np.log(o / np.maximum(m + PRIOR - o, 1e-9))
+    t, o = counts[0, known].astype(float), counts[1, known].astype(float)
+    with_it, without = (t + o) / (n + m), (n + m - t - o) / (n + m)
+    ratio = _term(t, n * with_it) + _term(o, m * with_it) + _term(n - t, n * without) + _term(m - o, m * without)
+    rank = np.sqrt(2 * np.maximum(ratio, 0))
+    rank[rank < np.sqrt(2 * np.log(max(1, len(known))))] = 0
     scores = np.zeros(1 << CELL_BITS, dtype=np.float32)
-    scores[known] = odds / np.sqrt(1 / t + 1 / o)
+    scores[known] = np.sign(t * m - o * n) * rank
     return scores
 
 
 def telling_pieces(texts: list[bytes], scores: np.ndarray, least_z: float, size: int) -> list[bytes]:
-    """The pieces of highest rank, ``size`` bytes of them at most, the best one first; none is part of one before it."""
-    ranked = {}
+    """The pieces of highest rank, ``size`` bytes of them at most, the best one first; none is part of one before it.
+
+    Of pieces that share a cell, the one that most texts hold made its rank; the others are none.
+    """
+    seen = Counter()
     for text in texts:
         for g in pieces(text):
-            z = scores[zlib.crc32(g) & (1 << CELL_BITS) - 1]
-            if z > least_z:
-                ranked[g] = z
+            if scores[_cell(g)] > least_z:
+                seen[g] += 1
+    held = {}
+    for g in seen:
+        cell = _cell(g)
+        held[cell] = max(held.get(cell, (0, b"")), (seen[g], g))
+    ranked = {g: scores[cell] for cell, (_, g) in held.items()}
     kept, joined = [], b""
     for g in sorted(ranked, key=lambda g: (-ranked[g], -len(g), g)):
         if g not in joined and len(joined) + len(g) <= size:
@@ -214,8 +234,9 @@ def train(ordinary: list[bytes], toxic: list[bytes], window: int, shared_size: i
         # what tells a kind belongs to its own dictionary alone
         cuts += [w for w in found if not any(g in w for g in own[0] + own[1])]
     shared = train_dictionary(cuts, shared_size)
-    # the best piece last, where it costs least
-    return Model(*[shared + b"".join(reversed(found)) for found in own], window)
+    # the best piece last, where it costs least; the shared content is equally far from the end of both, so it costs the same
+    ends = [b"".join(reversed(found)) for found in own]
+    return Model(*[shared + end.rjust(max(map(len, ends)), b"\0") for end in ends], window)
 
 
 def calibrates(doc_id) -> bool:
