@@ -72,3 +72,20 @@ def test_one_part(spark, tokenizer):
     assert files.agg({"n_docs": "sum"}).first()[0] == 30
     got = sorted((tuple(r) for r in token_blocks.token_table(docs, PATH).collect()), key=lambda r: r[1])
     assert got == expected(rows, tokenizer)
+
+
+def test_words_around_line_breaks_need_no_pattern():
+    """Too slow in the check: words, commas, full stops and line breaks between them go without the pattern."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = token_blocks.Encoder(path)
+
+    def cut(text):
+        raise AssertionError(text)
+
+    made.parts.cut = cut
+    texts = ["One two.\nThree four\nfive, six.", "Größe, été.\nÉté zoné,\nzuß x", "a b\nc.\nd,\ne", "a idiot, idiot. idiot"]
+    for text in texts:
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == made.parts.tokenizer.encode(text, add_special_tokens=False).ids
+    made = token_blocks.Encoder(path)
+    for text in ["a b.,\nc", "a b\n.c", "a .\n,", "a ,", "a <|x,\ny", "a б,\nв.", "a 1,\n2.", "a b\n\nc", "a ., b", "a 日,\n本", "a b\n'll.", "a b\n's,"]:
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == made.parts.tokenizer.encode(text, add_special_tokens=False).ids

@@ -42,7 +42,7 @@ BLOCK = 128
 PERCENTILE = 90
 HEAD = struct.Struct("<4sIQI")
 SEGMENT_IDS = 1 << 20
-CACHE_PARTS = 1 << 19
+CACHE_PARTS = 1 << 20
 # Fixed value: how the byte-level tokenizer cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENTS = "part int, segment int, n_docs long, n_ids long, payload binary"
@@ -191,6 +191,7 @@ class _Parts(dict):
         self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
         self.space = chr(self.letters[32])
         self.others: dict[str, bytes] = {}
+        self.marks = {c: self.token(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -217,21 +218,35 @@ class _Parts(dict):
             self[part] = ids
         return ids
 
+    def latin(self, part: str) -> bool:
+        """Letters of the Latin script only."""
+        return part.isalpha() and (part.isascii() or max(part) < "\u0250")
+
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace():
             raise _Odd
+        mark = self.marks.get(part[-1])
+        if mark is not None and self.latin(word := part[:-1]):
+            return self[word] + mark
         if "<|" not in part and (part.isascii() or max(part) < "\u0250"):
             if part.isalpha():
                 return self.keep(part, self.token(" " + part))
-            if part[-1] in ".," and part[:-1].isalpha():
-                return self[part[:-1]] + self.often(part[-1])
             lines = part.split("\n")
             if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 # a single line break between two words is a token of its own
-                return self[lines[0]] + b"".join(self.often(t) for x in lines[1:] for t in self.cut("\n" + x))
+                return self[lines[0]] + b"".join(map(self.line, lines[1:]))
             return self.keep(part, b"".join(map(self.often, self.cut(" " + part))))
         return self.keep(part, self.whole(" " + part))
 
+    def line(self, part: str) -> bytes:
+        """Ids of a line break and the Latin part behind it; a word alone needs no pattern."""
+        if part.isalpha():
+            return self.often("\n") + self.often(part)
+        mark = self.marks.get(part[-1])
+        if mark is not None and part[:-1].isalpha():
+            return self.often("\n") + self.often(part[:-1]) + mark
+        return b"".join(map(self.often, self.cut("\n" + part)))
+
 
 class Encoder:
     """Byte-level BPE ids of whole texts, put together from those of their parts.
