@@ -436,3 +436,21 @@ def test_hot_keys_are_split_and_merged(spark, tmp_path):
     jobs.run_once(jobs.dedupe_stream(stream, ["key"], "at", "60 days"), lambda b, _: seen.extend(b.collect()),
                   str(tmp_path / "d")).awaitTermination()
     assert sorted(r.key for r in seen) == sorted({r[0] for r in rows})
+
+
+@pytest.mark.parametrize("provider", ["lever", "remotive"])
+def test_left_out_opens_a_payload_once(spark, provider):
+    """The same rows as from the frames of quarantine and normalize_payload, from one scan."""
+    items = ('[{"id":"1","text":"a","title":"a","candidate_required_location":"USA only"},null,7,{"id":" ","text":"b","title":"b"},'
+             '{"id":"2","title":"c","text":"c","candidate_required_location":"Worldwide"},{"id":"3"}]')
+    payloads = [None, "", "{", "7", "null", '{"jobs":7}', '{"error":1}', "[]", '{"jobs":[]}', items, f'{{"jobs":{items}}}']
+    df = spark.createDataFrame(list(enumerate(payloads)), "k long, payload string")
+    spec = landing.SPECS[provider]
+    landed = F.to_json(F.struct("k")).alias("landed")
+    pos = F.col("item_pos").cast("int").alias("item_pos")
+    _, rejected = landing.normalize_payload(df, spec)
+    wanted = landing.quarantine(df, spec).select(landed, "reason", pos, "raw").unionByName(
+        rejected.select(landed, F.lit("invalid").alias("reason"), pos, "raw"))
+    got = landing.left_out(df, spec)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect())) and not got.isEmpty()
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1

@@ -395,12 +395,41 @@ def left_out(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
     rest = [c for c in df.columns if c != payload]
     df = df.withColumn("landed", F.to_json(F.struct(*rest)) if rest else F.lit(None).cast("string"))
     shape = ["landed", "reason", "item_pos", "raw"]
+    if spec.payload not in ("xml", "html"):
+        return _items_left_out(df, spec, payload).select(*shape)
     _, rejected = normalize_payload(df, spec, payload)
     invalid = rejected.select(
         "landed", F.lit("invalid").alias("reason"), F.col("item_pos").cast("int").alias("item_pos"), "raw")
     return quarantine(df, spec, payload).select(*shape).unionByName(invalid)
 
 
+def _items_left_out(df: DataFrame, spec: Spec, payload: str) -> DataFrame:
+    """:func:`left_out` of JSON payloads, each opened once."""
+    if "target" not in df.columns:
+        df = df.withColumn("target", F.struct(*[F.lit(None).cast("string").alias(n) for n in TARGET_FIELDS]))
+    lists = F.coalesce(*[F.try_variant_get("_payload", p, "array<variant>") for p in spec.items])
+    opened = df.withColumn("_payload", F.try_parse_json(payload)).withColumn("_list", lists)
+    unread = F.when(F.col("_payload").isNull(), "unreadable").when(F.col("_list").isNull(), "no list")
+    kept = [c for c in df.columns if c != payload]
+    rows = opened.select(*kept, payload, unread.alias("_unread"), "_list").select(
+        *kept, "_unread", F.when(F.col("_unread").isNotNull(), F.col(payload)).alias("_whole"),
+        F.posexplode_outer("_list").alias("item_pos", "item"))
+    rows = rows.filter(F.col("item").isNotNull() | F.col("_unread").isNotNull())
+    if spec.unwrap:
+        rows = rows.withColumn("item", F.coalesce(F.try_variant_get("item", spec.unwrap, "variant"), F.col("item")))
+    item = F.col("item")
+    named = [blank_to_null(spec.fields[name](item).cast("string")).isNotNull() if name in spec.fields else F.lit(False)
+             for name in ("source_job_id", "title")]
+    good = named[0] & named[1] & blank_to_null(F.lit(spec.provider)).isNotNull()
+    reason = F.when(F.col("_unread").isNotNull(), F.col("_unread"))
+    if spec.keep is not None:
+        reason = reason.when(~F.coalesce(spec.keep(item), F.lit(False)), "filtered")
+    reason = reason.when(~F.coalesce(good, F.lit(False)), "invalid")
+    return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select(
+        "landed", "reason", F.col("item_pos").cast("int").alias("item_pos"),
+        F.when(F.col("_unread").isNotNull(), F.col("_whole")).otherwise(F.to_json("item")).alias("raw"))
+
+
 TARGET_FIELDS = ("company", "base_url", "tenant", "language")
 NAME_SPACE = r"<(/?)[A-Za-z_][\w.-]*:"
 

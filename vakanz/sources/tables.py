@@ -17,6 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vakanz.functions.text import content_hash
 from vakanz.operators.common import dedupe_first
 from vakanz.operators.upsert import upsert_versioned
 
@@ -163,13 +164,15 @@ def apply_upsert(
 ) -> DataFrame:
     """Merge a batch into stored tables and return its outcomes.
 
-    The batch is written once as staging data, so the results do not read the landing files
-    again, and only the rows it touches are written. Snapshots are appended before the
+    The batch is written once as staging data with its content hash, so the results neither read the
+    landing files nor hash the texts again, and only the rows it touches are written. Snapshots are appended before the
     postings become visible; a snapshot is only added when its (key, hash) is unseen, so a
     repeated run adds nothing twice. A batch whose note is already listed returns no outcomes.
     """
     spark = postings.spark
     postings.keys = postings.keys or list(keys)
+    if "content_hash" not in incoming.columns:
+        incoming = incoming.withColumn("content_hash", content_hash([F.col(c) for c in hash_cols]))
     staged = postings.write_version(incoming)
     batch = spark.read.parquet(f"{postings.root}/{staged}")
     current = postings.read()
