@@ -23,20 +23,24 @@ from vakanz.operators.profiles import (
 )
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"  # all but the usual one
 BULLET = r"^[✓✔►▸▪●○\-–—]+\s*"
 _EDGES = r"^[\s|,;:–—\-]+|[\s|,;:–—\-]+$"
 _MAIL = r"(?U)(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 _PHONE = r"(?U)(?<!\w)(?:(?:\+|00)[0-9]{1,3}[\s./()-]*)?(?:[0-9][\s./()-]*){7,15}"
+_DIGITS = r"(?U)[0-9](?:[\s./()-]*[0-9]){6}"  # part of every phone number
+# Unicode white space, as (?U)\s
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def heading_key(c: Column) -> Column:
     return collapse(F.regexp_replace(F.trim(F.lower(c)), r"(?U)^[#•·\-\s]+|[:#•·\-\s]+$", ""))
 
 
-def _marks(names: Iterable[str]) -> list[str]:
-    """Words of which every name holds at least one: the longest of each, less those that hold another."""
-    longest = {max(re.split(r"\s+", n), key=len) for n in names}
-    return sorted(w for w in longest if not any(o != w and o in w for o in longest))
+def _one_of(words: Iterable[str]) -> str:
+    """Pattern of the words, branching at the first letter: most places in a text are ruled out by it alone."""
+    rests = {first: sorted({w[1:] for w in words if w[:1] == first}) for first in sorted({w[:1] for w in words})}
+    return "|".join(f"{re.escape(first)}(?:{'|'.join(map(re.escape, rest))})" for first, rest in rests.items())
 
 
 def heading_of(line: Column, headings: Mapping[str, Sequence[str]] = fixed.SECTION_HEADINGS) -> Column:
@@ -46,8 +50,9 @@ def heading_of(line: Column, headings: Mapping[str, Sequence[str]] = fixed.SECTI
     rest = blank_to_null(F.regexp_replace(line, r"^[^:]*:", ""))
     label = F.when(F.contains(line, F.lit(":")), lookup(heading_key(F.substring_index(line, ":", 1)), names))
     whole = let(lookup(heading_key(line), names), lambda section: found(section, F.lit(None).cast("string")))
-    # a plain search rules most lines out before the patterns are tried
-    return F.when(let(F.lower(line), lambda t: contains_any(t, _marks(names))),
+    # the first word rules most lines out before the others are tried
+    starts = _one_of({re.split(r"\s", n)[0] for n in names})
+    return F.when(line.rlike(rf"(?iU)^[#•·\-\s]*+(?:{starts})"),
                   F.coalesce(whole, let(label, lambda section: found(section, rest))))
 
 
@@ -158,7 +163,11 @@ def looks_like_name(value: Column) -> Column:
 
 
 def has_contact(line: Column) -> Column:
-    return F.contains(line, F.lit("@")) | line.rlike(_PHONE)
+    return F.contains(line, F.lit("@")) | (line.rlike(_DIGITS) & line.rlike(_PHONE))
+
+
+def _has_period(line: Column) -> Column:
+    return line.rlike(YEAR) & line.rlike(PERIOD)
 
 
 def suggested_name(lines: Column, headings: Mapping[str, Sequence[str]] = fixed.SECTION_HEADINGS) -> Column:
@@ -169,8 +178,9 @@ def suggested_name(lines: Column, headings: Mapping[str, Sequence[str]] = fixed.
                            lambda x: one(F.regexp_extract(x, label, 1), x))
     other = F.transform(F.slice(lines, 1, 15), lambda x: one(F.regexp_replace(x, r"^[ ,;|]+|[ ,;|]+$", ""), x))
     headed = [*fixed.RESUME_TITLES, *(h for hs in headings.values() for h in hs)]
-    other = F.filter(other, lambda n: ~heading_key(n["value"]).isin(headed) & ~has_contact(n["value"]))
-    return _first(F.filter(F.concat(labelled, other), lambda n: looks_like_name(n["value"])))
+    named = lambda found: F.filter(found, lambda n: looks_like_name(n["value"]))
+    other = F.filter(named(other), lambda n: ~heading_key(n["value"]).isin(headed) & ~has_contact(n["value"]))
+    return _first(F.concat(named(labelled), other))
 
 
 def suggested_title(lines: Column, name_source: Column, headings=fixed.SECTION_HEADINGS) -> Column:
@@ -179,29 +189,62 @@ def suggested_title(lines: Column, name_source: Column, headings=fixed.SECTION_H
              r"|job\s+title|title)\s*:\s*(.+)$")
     labelled = F.transform(F.filter(F.slice(lines, 1, 30), lambda x: x.rlike(label)), lambda x: F.struct(
         F.trim(F.regexp_extract(x, label, 1)).alias("value"), x.alias("source")))
-    plain = F.filter(F.slice(lines, 1, 20), lambda x: ~x.eqNullSafe(name_source) & ~has_contact(x) & (
-        F.length(x) <= 150) & F.lower(x).rlike(ROLE_PATTERN) & ~x.rlike(PERIOD) & heading_of(x, headings).isNull())
+    role = lambda x: let(F.lower(x), lambda t: contains_any(t, fixed.ROLE_WORDS))
+    plain = F.filter(F.slice(lines, 1, 20), lambda x: (F.length(x) <= 150) & role(x) & ~x.eqNullSafe(name_source) & (
+        ~has_contact(x)) & ~_has_period(x) & heading_of(x, headings).isNull())
     plain = F.transform(plain, lambda x: F.struct(
         F.regexp_replace(x, r"^[ |,;:\-]+|[ |,;:\-]+$", "").alias("value"), x.alias("source")))
     return _first(F.concat(labelled, plain))
 
 
-def sections(lines: Column, headings: Mapping[str, Sequence[str]] = fixed.SECTION_HEADINGS) -> Column:
+def notable_lines(lines: Column, terms: Iterable[str]) -> Column:
+    """Array of ``struct<at, line>``: all lines that hold one of the terms as whole words, and few others.
+
+    Every term is known by its longest word. The text is cut into words once, so the many words that it does not
+    hold cost nothing a line.
+    """
+    terms = [py_fold(t) for t in terms]
+    letters = "".join(sorted({c for t in terms for c in t if c.isalpha() or c.isdecimal()}))
+    found = [re.findall(f"[{letters}]+", t) if letters else [] for t in terms]
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    if not found or not all(found):  # a term of marks only can be anywhere
+        return numbered
+    marks = F.array(*[F.lit(w) for w in sorted({max(ws, key=len) for ws in found})])
+
+    def choose(folded: Column) -> Column:
+        words = F.array_intersect(F.split(F.array_join(folded, "\n"), f"[^{letters}]+"), marks)
+        return let(words, lambda ws: F.filter(
+            numbered, lambda n: F.exists(ws, lambda w: F.contains(F.get(folded, n["at"]), w))))
+
+    return let(F.transform(lines, fold), choose)
+
+
+def sections(
+    lines: Column, headings: Mapping[str, Sequence[str]] = fixed.SECTION_HEADINGS, notable: Column | None = None,
+) -> Column:
     """Array of ``struct<section, lines>`` in reading order; lines before the first heading are left out.
 
-    Headings are marked, the joined text is cut at the marks: linear in the text, within its own row.
+    A section runs from its heading to the next one: linear in the text, within its own row. ``notable`` are the
+    lines that can be headings, if they are known.
     """
-    mark, gap = "\u0001", "\u0002"
+    control = ("\u0001", "\u0002")
+    blanked = lambda x: F.replace(F.replace(x, F.lit(control[0]), F.lit(" ")), F.lit(control[1]), F.lit(" "))
+    clean = let(lines, lambda all_: F.when(
+        let(F.array_join(all_, ""), lambda whole: contains_any(whole, control)), F.transform(all_, blanked)).otherwise(all_))
+    if notable is None:
+        notable = notable_lines(lines, (h for hs in headings.values() for h in hs))
+    heads = F.transform(notable, lambda n: F.struct(n["at"].alias("at"), heading_of(blanked(n["line"]), headings).alias("head")))
 
-    def marked(line: Column) -> Column:
-        return let(heading_of(line, headings), lambda h: F.when(h.isNull(), line).otherwise(
-            F.concat(F.lit(mark), h["section"], F.concat(F.lit(gap), F.coalesce(h["rest"], F.lit(""))))))
+    def cut(s: Column) -> Column:
+        return F.transform(s["heads"], lambda h, i: F.struct(
+            h["head"]["section"].alias("section"),
+            F.filter(F.concat(F.array(h["head"]["rest"]), until(s["lines"], h["at"], F.coalesce(
+                F.get(s["heads"], i + 1)["at"], F.size(s["lines"])))), lambda x: x != "").alias("lines")))
 
-    clean = F.transform(lines, lambda x: F.translate(x, mark + gap, "  "))
-    pieces = F.split(F.array_join(F.transform(clean, marked), gap), mark)
-    return F.transform(F.slice(pieces, 2, F.greatest(F.lit(1), F.size(pieces))), lambda p: F.struct(
-        F.substring_index(p, gap, 1).alias("section"),
-        F.filter(F.slice(F.split(p, gap), 2, F.length(p) + 1), lambda x: x != "").alias("lines")))
+    def until(all_: Column, head: Column, end: Column) -> Column:
+        return F.slice(all_, head + 2, end - head - 1)
+
+    return let(F.struct(clean.alias("lines"), F.filter(heads, lambda h: h["head"].isNotNull()).alias("heads")), cut)
 
 
 def section_lines(found: Column, *names: str) -> Column:
@@ -223,7 +266,7 @@ def spoken_languages(lines: Column, terms: Mapping[str, Sequence[str]] = fixed.L
     spellings = [py_fold(s) for names in terms.values() for s in names]
     nothing = F.array().cast("array<string>")
     return let(lines, lambda all_: F.when(
-        contains_any(fold(F.array_join(all_, "\n")), spellings),
+        let(fold(F.array_join(all_, "\n")), lambda whole: contains_any(whole, spellings)),
         F.array_distinct(F.flatten(F.transform(all_, lambda x: term_mentions(x, terms))))).otherwise(nothing))
 
 
@@ -231,8 +274,8 @@ def listed_skills(lines: Column) -> Column:
     """Skills of list lines: cut at separators, without bullets, levels, periods and addresses."""
     items = F.flatten(F.transform(lines, lambda x: F.split(x, r"\s*(?:[|•·;,]|\t)\s*")))
     bare = F.transform(items, lambda x: F.trim(F.regexp_replace(x, BULLET, "")))
-    fine = F.filter(bare, lambda x: (F.length(x) <= 120) & (F.size(F.split(x, r"\s+")) <= 12) & ~x.rlike(PERIOD)
-                    & ~x.rlike(_MAIL) & x.rlike("[A-Za-zÄÖÜäöüß]") & ~fold(x).isin(*fixed.NO_SKILLS))
+    fine = F.filter(bare, lambda x: (F.length(x) <= 120) & (F.size(F.split(x, r"\s+")) <= 12) & ~_has_period(x)
+                    & ~_has_mail(x) & x.rlike("[A-Za-zÄÖÜäöüß]") & ~fold(x).isin(*fixed.NO_SKILLS))
     return ordered_distinct(F.transform(fine, _tidy))
 
 
@@ -242,30 +285,30 @@ def mentioned_skills(lines: Column, listed: Column, terms: Mapping[str, Sequence
     The spelling that counts is the first one, in the order of the table, of the first line with any.
     A name found earlier counts as listed for the ones after it.
     """
+    def known(text: Column, all_: Column) -> Column:
+        said = F.array(*[F.struct(F.lit(name).alias("name"), _spelled(text, [py_fold(t) for t in spellings]).alias("said"))
+                         for name, spellings in terms.items()])
+        return F.aggregate(F.filter(said, lambda s: s["said"].isNotNull()), all_, lambda found, s: F.when(
+            F.exists(found, lambda v: F.contains(fold(v), s["said"])), found).otherwise(F.array_append(found, s["name"])))
+
     def mentioned(text: Column) -> Column:
-        found = text["listed"]
-        for name, spellings in terms.items():
-            found = _with_skill(found, text, name, [py_fold(t) for t in spellings])
-        return let(F.struct(found.alias("all"), F.transform(text["listed"], fold).alias("keys")), lambda s: F.filter(
-            s["all"], lambda v: ~F.array_contains(s["keys"], fold(v))))
+        return let(F.struct(known(text, text["listed"]).alias("all"), F.transform(text["listed"], fold).alias("keys")),
+                   lambda s: F.filter(s["all"], lambda v: ~F.array_contains(s["keys"], fold(v))))
 
     folded = F.struct(F.transform(lines, fold).alias("lines"), listed.alias("listed"))
     return let(let(folded, lambda s: F.struct(
         s["lines"].alias("lines"), s["listed"].alias("listed"), F.array_join(s["lines"], "\n").alias("whole"))), mentioned)
 
 
-def _with_skill(found: Column, text: Column, name: str, spellings: Sequence[str]) -> Column:
-    """``found`` and the name, if a line says it; ``text``: struct of the folded lines and their whole."""
+def _spelled(text: Column, spellings: Sequence[str]) -> Column:
+    """The spelling that counts, null if no line says one; ``text``: struct of the folded lines and their whole."""
     def word(t: str) -> str:
         return rf"(?U)(?<!\w){re.escape(t)}(?!\w)"
 
     any_of = "|".join(word(t) for t in spellings)
     said = _first(F.filter(text["lines"], lambda x: contains_any(x, spellings) & x.rlike(any_of)))
-    spelling = F.when(contains_any(text["whole"], spellings), let(
+    return F.when(contains_any(text["whole"], spellings), let(
         said, lambda line: F.coalesce(*[F.when(line.rlike(word(t)), F.lit(t)) for t in spellings])))
-    return let(F.struct(found.alias("all"), spelling.alias("said")), lambda s: F.when(
-        s["said"].isNotNull() & ~F.exists(s["all"], lambda v: F.contains(fold(v), s["said"])),
-        F.array_append(s["all"], F.lit(name))).otherwise(s["all"]))
 
 
 def profile_suggestions(
@@ -276,15 +319,22 @@ def profile_suggestions(
     All fields of a text come from its own row; no text moves. ``current_title`` is null where no line
     gives one; :func:`with_experience` fills it from the newest entry.
     """
-    raw = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    lines = F.filter(raw, lambda x: x != "")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    raw = F.when(contains_any(whole, _BREAKS), F.split(whole, LINE_BREAK)).otherwise(F.split(whole, "\n"))
+    lines = F.filter(F.transform(raw, lambda x: F.trim(x, F.lit(_SPACE))), lambda x: x != "")
+    # lines without a word of any heading or term are not looked at again for them
+    words = [w for table in (headings, fixed.LANGUAGE_TERMS, fixed.SKILL_TERMS) for ws in table.values() for w in ws]
     rows = df.select(key, lines.alias("_lines"))
-    rows = rows.select(key, "_lines", sections(F.col("_lines"), headings).alias("_sections"),
+    rows = rows.select(key, "_lines", notable_lines(F.col("_lines"), words).alias("_notable"),
                        suggested_name(F.col("_lines"), headings).alias("_name"))
+    rows = rows.withColumn("_sections", sections(F.col("_lines"), headings, F.col("_notable")))
     label = r"(?i)\b(?:tel|telefon|mobil|mobile|phone)\b"
-    numbers = F.transform("_lines", lambda x: F.struct(x.rlike(label).alias("labelled"), phones(x).alias("found")))
+    # plain tests choose the few lines that can give a number or an address
+    numbers = F.transform(F.filter("_lines", lambda x: x.rlike(_DIGITS)), lambda x: F.struct(
+        x.rlike(label).alias("labelled"), phones(x).alias("found")))
     rows = rows.select(
-        key, "_lines", "_name", numbers.alias("_numbers"),
+        key, "_name", numbers.alias("_numbers"), F.filter("_lines", lambda x: F.contains(x, F.lit("@"))).alias("_at"),
+        F.col("_notable.line").alias("_telling"),
         suggested_title(F.col("_lines"), F.col("_name.source"), headings).alias("_title"),
         section_lines(F.col("_sections"), "summary").alias("_summary"),
         section_lines(F.col("_sections"), "languages").alias("_languages"),
@@ -293,17 +343,16 @@ def profile_suggestions(
         section_lines(F.col("_sections"), "certifications").alias("_certifications"),
     )
     rows = rows.withColumn("_listed", listed_skills(F.col("_skills")))
-    empty = F.array().cast("array<string>")
-    mails = F.flatten(F.transform("_lines", lambda x: F.coalesce(emails(x), empty)))
+    mails = F.flatten(F.transform("_at", emails))
     phone = lambda wanted: _first(F.flatten(F.transform(
         F.filter("_numbers", lambda n: n["labelled"] == wanted), lambda n: n["found"])))
     summary = F.array_join(F.transform("_summary", lambda x: F.trim(F.regexp_replace(x, BULLET, ""))), " ")
-    spoken = F.when(F.size("_languages") > 0, F.col("_languages")).otherwise(F.col("_lines"))
+    spoken = F.when(F.size("_languages") > 0, F.col("_languages")).otherwise(F.col("_telling"))
     return rows.select(
         key, F.col("_name.value").alias("full_name"), F.col("_title.value").alias("current_title"),
         _first(mails).alias("email"), F.coalesce(phone(True), phone(False)).alias("phone"),
         blank_to_null(summary).alias("summary"), spoken_languages(spoken).alias("languages"),
-        F.concat("_listed", mentioned_skills(F.col("_lines"), F.col("_listed"))).alias("skills"),
+        F.concat("_listed", mentioned_skills(F.col("_telling"), F.col("_listed"))).alias("skills"),
         listed_entries(F.col("_education")).alias("education"),
         listed_entries(F.col("_certifications")).alias("certifications"),
     )
